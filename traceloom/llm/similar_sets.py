@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm.common import folded_values, once
+from traceloom.session import scratch_path
 
 THRESHOLD = 0.65
 MIN_SIZE = 4
@@ -34,17 +35,27 @@ BANDS = 20
 ROWS = 3
 
 
-def record_sets(df: DataFrame, key: str, values: str, min_size: int = MIN_SIZE) -> DataFrame:
-    """(record_key, items): the sorted set of each record that has at least ``min_size`` elements."""
-    x = once(df, key, values).select(F.col(key).alias("record_key"), F.array_sort(F.array_distinct(folded_values(F.col(values)))).alias("items"))
-    return x.filter(F.size("items") >= min_size)
+def record_sets(df: DataFrame, key: str, values: str, min_size: int = MIN_SIZE, order: str = "loaded_at") -> DataFrame:
+    """(record_key, loaded_at, items): the sorted set of each delivered row; null where it has
+    fewer than ``min_size`` elements."""
+    items = F.array_sort(F.array_distinct(folded_values(F.col(values))))
+    return df.filter(F.col(key).isNotNull()).select(F.col(key).alias("record_key"), F.col(order).alias("loaded_at"), F.when(F.size(items) >= min_size, items).alias("items"))
 
 
 def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: class_id, check, record_key) and (classes: class_id, check, items), equal sets in
-    one class. A class is named by 128 bits; only the first 64 travel with the bands."""
-    keyed = sets.select("record_key", "items", F.xxhash64("items").alias("class_id"), F.xxhash64(F.lit(7), "items").alias("check"))
-    return keyed.select("class_id", "check", "record_key"), keyed.select("class_id", "check", "items").dropDuplicates(["class_id", "check"])
+    one class. A class is named by 128 bits; only the first 64 travel with the bands. Rows and
+    classes are written once to the shared folder, since each is read several times: for the
+    bands, for verification and for the members."""
+    spark = sets.sparkSession
+    named = sets.select("record_key", "loaded_at", "items", F.xxhash64("items").alias("class_id"), F.xxhash64(F.lit(7), "items").alias("check"))
+    named.write.parquet(path := scratch_path(spark, "sets"))
+    named = spark.read.parquet(path)
+    narrow = named.select("record_key", "loaded_at", "class_id", "check", F.col("items").isNotNull().alias("large"))
+    members = once(narrow, "record_key", "class_id", "check", "large").filter("large").select("class_id", "check", "record_key")
+    classes = named.filter(F.col("items").isNotNull()).select("class_id", "check", "items").dropDuplicates(["class_id", "check"])
+    classes.write.parquet(path := scratch_path(spark, "classes"))
+    return members, spark.read.parquet(path)
 
 
 def _mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,20 +65,24 @@ def _mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def band_rows(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(band, class_id, sketch): a bucket of each band. The sketch is the size (8 bits, 255: that
-    or more) and a bitmap of 56 bits."""
-    schema = pa.schema([("band", pa.int64()), ("class_id", pa.int64()), ("sketch", pa.int64())])
+    or more) and a bitmap of 24 bits; a bucket is named by 48 bits, a false meeting only costs a look."""
+    schema = pa.schema([("band", pa.int64()), ("class_id", pa.int64()), ("sketch", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         a, b = _mixers(bands * rows)
         salt, _ = _mixers(bands)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 lists = batch.column(1)
-                h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                values = lists.flatten().dictionary_encode()
+                names = np.array([xxh64_intdigest(v.encode()) for v in values.dictionary.to_pylist()], dtype=np.uint64)
+                h = names[values.indices.to_numpy()]
                 lengths = np.diff(lists.offsets.to_numpy())
                 starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-                bitmap = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), h % np.uint64(56)), starts)
+                bitmap = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), h % np.uint64(24)), starts)
                 sketch = (bitmap << np.uint64(8)) | np.minimum(lengths, 255).astype(np.uint64)
                 out = []
                 for k in range(bands):
@@ -78,12 +93,11 @@ def band_rows(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
                         low = np.minimum.reduceat(x * np.uint64(0xBF58476D1CE4E5B9), starts)
                         band = (band ^ low) * np.uint64(0x9E3779B97F4A7C15)
                         band ^= band >> np.uint64(32)
-                    out.append(band)
+                    out.append(band >> np.uint64(16))
                 ids = np.tile(batch.column(0).to_numpy(zero_copy_only=False), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(ids), pa.array(np.tile(sketch, bands).view(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(ids), pa.array(np.tile(sketch.astype(np.uint32).view(np.int32), bands))], schema=schema)
 
-    hashed = classes.select("class_id", F.transform("items", lambda x: F.xxhash64(x)).alias("h"))
-    return hashed.mapInArrow(run, "band bigint, class_id bigint, sketch bigint")
+    return classes.select("class_id", "items").mapInArrow(run, "band bigint, class_id bigint, sketch int")
 
 
 def candidate_pairs(bands: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
