@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import canonical, frequency, line_spam, mixing, similar_sets, tokenizer
+from traceloom.llm import canonical, frequency, line_spam, mixing, scan_noise, similar_sets, tokenizer
 from traceloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,14 @@ def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets.linked_records(_sets(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.scan_defects(table(spark, sf_dir, "part_3_concept"))
+
+
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.repaired(table(spark, sf_dir, "part_3_concept")).select("clause_key", "field_name", "item_pos", "text")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.mapped_values(table(spark, sf_dir, "sample_user_doc_v2"), table(spark, sf_dir, "term_catalog"))
 
@@ -81,7 +89,7 @@ def p9_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p2_found, p2_counts, p2_live_counts, p3_found, p3_links, p5_found, p5_unmatched, p7_ids, p7_round_trip, p8_mixture, p8_shares, p9_found, p9_shapes)}
+    return {q.__name__: q for q in (p2_found, p2_counts, p2_live_counts, p3_found, p3_links, p4_found, p4_text, p5_found, p5_unmatched, p7_ids, p7_round_trip, p8_mixture, p8_shares, p9_found, p9_shapes)}
 
 
 _SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
