@@ -51,7 +51,17 @@ _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _END = re.compile(r"[.!?:。！？:]['\"”’)\]]*\s*$")
 _SENTENCES = re.compile(r"(?<=[.!?。！？])['\"”’)]*(?:\s+|(?<=[。！？]))")
-_SEPARATORS = ((" | ", re.compile(r"\s*\|\s*")), ("\t", re.compile(r"\t+")), (" - ", re.compile(r"\s+[-–—]\s+")), (";", re.compile(r"\s*;\s*")), (" / ", re.compile(r"\s*/\s*")), ("•", re.compile(r"\s*[•·]\s*")), (",", re.compile(r"\s*[,、，]\s*")))
+_CODE = re.compile(r"\S*\d\S*")
+#: separator, the characters it needs, how to cut at it
+_SEPARATORS = (
+    ("|", "|", re.compile(r"\s*\|\s*")),
+    ("tab", "\t", re.compile(r"\t+")),
+    ("dash", "-–—", re.compile(r"\s+[-–—]\s+")),
+    (";", ";", re.compile(r"\s*;\s*")),
+    ("slash", "/", re.compile(r"\s+/\s+")),
+    ("dot", "•·", re.compile(r"\s*[•·]\s*")),
+    (",", ",、，", re.compile(r"\s*[,、，]\s*")),
+)
 
 
 def _size(text: str) -> int:
@@ -79,20 +89,24 @@ def shape(line: str) -> tuple[str, tuple]:
         return "tags", ("#", len(marks) > 1)
     ends = bool(_END.search(line))
     bound = _bound(words)
-    for name, cut in _SEPARATORS:
+    if ends and 5 * bound > len(words):
+        return "sentence", ("sentence", ends)
+    codes = len(_CODE.findall(rest))
+    for name, mark, cut in _SEPARATORS:
+        if sum(map(rest.count, mark)) < 2:
+            continue
         items = [i for i in cut.split(rest.strip(" |;,/-")) if i]
         if len(items) < 3:
             continue
-        codes = sum(any(c.isdigit() for c in i) and i != "2025" or len(i) < 2 for i in items)
-        long = sum(_size(i) > 4 for i in items)
-        if 2 * codes >= len(items):
+        coded = sum(i != "2025" and (len(i) < 2 or bool(_CODE.search(i))) for i in items) if codes else sum(len(i) < 2 for i in items)
+        if 2 * coded >= len(items):
             return "record", (name, min(len(items), 6))
-        if 5 * long > len(items) or 5 * bound > len(words):
+        if 5 * bound > len(words) or ends and len(items) < 6:
             continue
-        if ends and len(items) < 6:
+        sizes = list(map(_size, items))
+        if 5 * sum(x > 4 for x in sizes) > len(items):
             continue
-        return "list", (name, min(len(items) // 4, 3), round(sum(map(_size, items)) / len(items)))
-    codes = sum(any(c.isdigit() for c in t) for t in tokens)
+        return "list", (name, min(len(items) // 4, 3), round(sum(sizes) / len(items)))
     if 3 * codes > len(tokens):
         return "record", ("codes", min(len(tokens), 6))
     n = _size(rest)
@@ -109,15 +123,16 @@ _PAIR = re.compile(r"(?<![^\W_])(?=([^\W\d_]+)[ \xa0]+([^\W\d_]+))")
 def _phrase(sentences: list[str]) -> str:
     """The pair of content words, or the single one, that the distinct sentences turn round; ''
     if there is none. Words with a mark between them are no pair."""
-    pairs: Counter = Counter()
+    distinct = [s.lower() for s in dict.fromkeys(sentences)]
     single: Counter = Counter()
-    total = 0
-    for s in dict.fromkeys(sentences):
-        low = s.lower()
-        words = _WORDS.findall(low)
-        total += len(words)
-        single.update(w for w in words if w not in BINDING)
-        pairs.update(p for p in _PAIR.findall(low) if p[0] not in BINDING and p[1] not in BINDING)
+    for s in distinct:
+        single.update(_WORDS.findall(s))
+    total = sum(single.values())
+    for w in BINDING.intersection(single):
+        del single[w]
+    if not single or 2 * max(single.values()) < PHRASE_SHARE * total:
+        return ""  # no pair can be commoner than its words
+    pairs = Counter(p for s in distinct for p in _PAIR.findall(s) if p[0] not in BINDING and p[1] not in BINDING)
     for counts, size in ((pairs, 2), (single, 1)):
         if counts:
             p, n = counts.most_common(1)[0]
@@ -130,7 +145,7 @@ def page_shapes(text: str) -> list[tuple[str, tuple, int, list[str]]]:
     """(kind, shape, words, the lines) of a page's shapes."""
     groups: dict[tuple, list] = {}
     sentences: list[str] = []
-    for raw in re.split(r"[\r\n\f\x0b  \x85]+", text):
+    for raw in re.split(r"[\r\n\f\x0b\x85\u2028\u2029]+", text):
         line = raw.strip("﻿ \t\xa0")
         if not line:
             continue
