@@ -6,18 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.plans import records
+from traceloom.plans import compliance, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.p6_report(spark, sf_dir)
+    return compliance.QUERIES["content_alignment"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return dict(records.QUERIES)
+    return records.QUERIES | compliance.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(records.ORACLE)
+    return records.ORACLE | compliance.ORACLE
