@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.plans import compliance, records
+from traceloom.plans import compliance, documents, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +16,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return records.QUERIES | compliance.QUERIES
+    return records.QUERIES | compliance.QUERIES | documents.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return records.ORACLE | compliance.ORACLE
+    return records.ORACLE | compliance.ORACLE | documents.ORACLE
