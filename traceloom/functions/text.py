@@ -120,9 +120,9 @@ def level_in_text(text: Column) -> Column:
 
 def notes_in_text(text: Column) -> Column:
     """The texts of NOTE and EXAMPLE blocks, white space collapsed, at most 300 characters each."""
-    marked = F.regexp_replace(text, r"(?i)(NOTE\s*\d*|EXAMPLES?)\s+", "\u0001")
+    marked = F.regexp_replace(text, r"(?i)(?:NOTE\s*\d*|EXAMPLES?)\s+", "\u0001")
     parts = F.slice(F.split(marked, "\u0001"), 2, 100_000)
-    clean = F.transform(parts, lambda x: F.substring(F.regexp_replace(F.trim(F.regexp_replace(x, r"(?i)(NOTE|EXAMPLE).*$", "")), r"\s+", " "), 1, 300))
+    clean = F.transform(parts, lambda x: F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, 300))
     return F.filter(clean, lambda x: x != "")
 
 
