@@ -21,8 +21,8 @@ Defined results
 * null and empty texts, null notes: no defects, reflowed to themselves;
 * a hyphen that belongs (``end-to-end``, ``short- and``, identifiers) is kept;
 * identifiers and numbers are never misread words;
-* a corpus without unscanned texts: words are judged by frequency alone, and only repeated lines
-  can be head lines;
+* a corpus without unscanned texts: words are judged by frequency alone, and no line is strange,
+  so none is reported as a head line;
 * very long texts are read whole, item by item;
 * a clause delivered twice counts once, as delivered first; other columns are ignored.
 """
@@ -223,7 +223,8 @@ def word_links(statistics: DataFrame) -> DataFrame:
 
 def item_words(items: DataFrame) -> DataFrame:
     """Rows (item key, line, k, kind, word, before) of scanned items: 't' tokens with the word
-    before them, 'j' a word divided at a line end joined with the start of one of the next lines."""
+    before them, 'j' a word divided at a line end joined with the start of one of the next lines,
+    'c' the same as a compound with its hyphen."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["clause_key", "field_name", "item_pos", "line", "k", "kind", "word", "before"]
         for batch in batches:
@@ -232,6 +233,7 @@ def item_words(items: DataFrame) -> DataFrame:
                 tokens = tokens_of(text)
                 seq = _pairs(tokens)
                 rows = [(tokens[k].line, k, f"j{n}", w, "") for k, n, w in joints(tokens)]
+                rows += [(tokens[k].line, k, f"c{n}", f"{tokens[k].word}-{tokens[n].word}".lower(), "") for k, n, _ in joints(tokens)]
                 for k, t in enumerate(tokens):
                     before = seq[k - 1] if k > 0 and tokens[k - 1].line == t.line else ""
                     rows.append((t.line, k, "t", t.word.lower(), f"{before}\t{seq[k]}" if before and seq[k] else ""))
@@ -252,7 +254,7 @@ def judged_items(items: DataFrame, statistics: DataFrame, links: DataFrame) -> D
     w = item_words(items).join(info, "word", "left").join(pairs, "before", "left")
     fact = F.struct("k", "kind", F.coalesce("n_clean", F.lit(0)).alias("clean"), F.coalesce("n", F.lit(0)).alias("n"), "correction", F.coalesce("correction_clean", F.lit(0)).alias("fixed"), F.coalesce("pair", F.col("before") == "").alias("pair"))
     facts = w.groupBy(*_KEY).agg(F.collect_list(fact).alias("facts"))
-    return items.join(facts, _KEY)
+    return items.join(facts, _KEY, "left")
 
 
 class Page:
@@ -260,8 +262,10 @@ class Page:
 
     def __init__(self, text: str, facts: list[dict]):
         self.text, self.lines, self.tokens = text, lines_of(text), tokens_of(text)
+        facts = facts or []
         self.fact = {f["k"]: f for f in facts if f["kind"] == "t"}
-        self.joint = {(f["k"], int(f["kind"][1:])): f for f in facts if f["kind"] != "t"}
+        self.joint = {(f["k"], int(f["kind"][1:])): f for f in facts if f["kind"][0] == "j"}
+        self.compound = {(f["k"], int(f["kind"][1:])) for f in facts if f["kind"][0] == "c" and f["clean"] > 0}
         self.of_line: dict[int, list[int]] = {}
         for k, t in enumerate(self.tokens):
             self.of_line.setdefault(t.line, []).append(k)
@@ -312,7 +316,11 @@ class Page:
         f = self.joint.get((k, n))
         if f is None or not right.word[:1].islower() and right.word[:1].isalpha():
             return False
-        if f["clean"] > 0 or f["correction"] or left.end in DIVIDERS:
+        if f["clean"] > 0 or left.end in DIVIDERS:
+            return True
+        if (k, n) in self.compound:
+            return False
+        if f["correction"]:
             return True
         # a plain hyphen: a word of its own on either side belongs to a compound
         whole = lambda x: self.fact[x]["clean"] > 0 and len(self.tokens[x].word) > 2
@@ -372,7 +380,7 @@ class Page:
 
 def head_key(line: str) -> str:
     """What a head line says, without numbers, marks and the commonest misreadings."""
-    low = line.lower().replace("0", "o").replace("1", "l")
+    low = re.sub(r"(?<![^\W_])\d+(?![^\W_])", " ", line.lower()).replace("0", "o").replace("1", "l")
     for wrong, right in (("г", "r"), ("à", "a"), ("!", "i"), ("9", "g"), ("5", "s"), ("6", "b"), ("ﬁ", "fi")):
         low = re.sub(rf"(?<=[^\W\d]){wrong}|{wrong}(?=[^\W\d])", right, low)
     for wrong, right in (("rn", "m"), ("in", "m"), ("ni", "m"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("f", "t"), ("c", "e"), ("b", "h"), ("l", "i")):
@@ -424,7 +432,7 @@ def repaired(clauses: DataFrame) -> DataFrame:
     scan_items(clauses).write.parquet(path := scratch_path(spark, "scan-items"))
     items = spark.read.parquet(path)
     corpus_statistics(items).write.partitionBy("kind").parquet(path := scratch_path(spark, "scan-statistics"))
-    statistics = spark.read.parquet(path)
+    statistics = spark.read.schema("a string, b string, n bigint, n_clean bigint, kind string").parquet(path)
     scanned = items.filter(F.col("volume").isNotNull())
     judged_items(scanned, statistics, word_links(statistics)).write.parquet(path := scratch_path(spark, "scan-judged"))
     judged = spark.read.parquet(path)
@@ -441,7 +449,10 @@ def repaired(clauses: DataFrame) -> DataFrame:
             arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(found, pa.list_(pa.string())), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["clause_key", "field_name", "item_pos", "defects", "text"])
 
-    both = judged.select(*_KEY, "text", "facts").join(head_lines(judged), _KEY, "left")
+    heads = head_lines(judged)
+    if statistics.filter("kind = 'b'").isEmpty():
+        heads = heads.limit(0)
+    both = judged.select(*_KEY, "text", "facts").join(heads, _KEY, "left")
     return both.mapInArrow(run, "clause_key bigint, field_name string, item_pos int, defects array<string>, text string")
 
 
