@@ -278,7 +278,7 @@ class Page:
         judged = known = words = 0
         for i, k in enumerate(ks):
             t, f = self.tokens[k], self.fact[k]
-            words += bool(t.word) and (f["clean"] > 0 or f["fixed"] > 0)
+            words += bool(t.word) and not (i == len(ks) - 1 and t.end) and not (i == 0 and self._divided_before(line)) and (f["clean"] > 0 or f["fixed"] > 0)
             if i == 0 or not t.word or not self.tokens[ks[i - 1]].word:
                 continue
             if any(self.fact[x]["fixed"] or self.tokens[x].end for x in (k, ks[i - 1])) or i == 1 and line > 0 and self._divided_before(line):
@@ -288,6 +288,9 @@ class Page:
         return judged, known, words
 
     def _divided_before(self, line: int) -> bool:
+        """Whether a line begins, in lower case, where the last one ended within a word."""
+        if not self.tokens[self.of_line[line][0]].word[:1].islower():
+            return False
         for n in range(line - 1, max(-1, line - 6), -1):
             if n in self.of_line and n not in self.numbers:
                 return bool(self.tokens[self.of_line[n][-1]].end)
@@ -297,13 +300,14 @@ class Page:
         """(line, what it says without numbers, how sure)."""
         out = []
         for line, ks in self.of_line.items():
-            words = [k for k in ks if self.tokens[k].word]
+            # halves of divided words say nothing
+            words = [k for k in ks if self.tokens[k].word and not (k == ks[-1] and self.tokens[k].end) and not (k == ks[0] and self._divided_before(line))]
             if line in self.numbers or len(words) < 2:
                 continue
             judged, known, clean = self.strangeness(line)
             # 2: strange by itself, 1: strange if the same line is found elsewhere, 0: perhaps, if it is surely one elsewhere
             if judged:
-                sure = 2 if not known and (judged >= 2 or not clean or _NUMBERED.search(self.lines[line])) else 1 if 3 * known <= judged else -1
+                sure = 2 if not known and (judged >= 2 or not clean or _NUMBERED.search(self.lines[line])) or 4 * known <= judged >= 4 else 1 if 3 * known <= judged else -1
             else:
                 sure = 2 if 3 * clean <= len(words) else 0
             if sure >= 0:
