@@ -145,12 +145,27 @@ def clauses_in_text(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), 1) for p in found])))
 
 
+def _term_pattern(terms: Sequence[str]) -> str:
+    """The longest term at each start of a word, by a tree over first letters. A look-ahead, so
+    that terms inside others are found too."""
+    by_letter: dict[str, list[str]] = {}
+    for t in sorted(terms, key=lambda t: (-len(t), t)):
+        by_letter.setdefault(t[0], []).append(t[1:])
+    return r"(?<![a-z0-9])(?=((?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_letter.items()) + r")(?![a-z0-9])))"
+
+
 def terms_in_text(text: Column, terms: Sequence[str]) -> Column:
-    """Terms that stand in a text as whole words, sorted. One pass finds candidates by their
-    words; only those are looked for one by one."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
-    vocabulary = F.array(*[F.lit(t) for t in sorted(set(terms))])
-    return F.filter(vocabulary, lambda t: F.contains(padded, F.concat(F.lit(" "), t, F.lit(" "))))
+    """Terms (of letters, digits and blanks) that stand in a text as whole words, sorted. One
+    regular expression finds the longest at each word; terms it begins with are there as well."""
+    terms = sorted(set(terms))
+    plain = F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
+    found = F.array_distinct(F.regexp_extract_all(plain, F.lit(_term_pattern(terms)), 1))
+    nested = {t: [p for p in terms if t == p or t.startswith(p + " ")] for t in terms}
+    several = {t: ps for t, ps in nested.items() if len(ps) > 1}
+    if several:
+        more = F.create_map(*[x for t, ps in several.items() for x in (F.lit(t), F.array(*[F.lit(p) for p in ps]))])
+        found = F.array_distinct(F.flatten(F.transform(found, lambda t: F.coalesce(F.try_element_at(more, t), F.array(t)))))
+    return F.array_sort(found)
 
 
 def traces_in_text(text: Column) -> tuple[Column, Column]:

@@ -66,9 +66,18 @@ def markdown_sections(spark, sf_dir):
     return sections.markdown_sections(_docs(spark, sf_dir))
 
 
-@query(None)
+_WHOLE = "title IS NOT NULL AND trim(title) <> '' AND text IS NOT NULL"
+
+
+@query(BASE + f"""x AS (SELECT std || '/' || group_key || '/' || split_part(node_id, '.', 1) AS doc_id, node_id AS section, trim(title) AS title, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text FROM nodes WHERE {_WHOLE})
+SELECT doc_id, section, title, CASE WHEN text = '' THEN 'overview' WHEN {'regexp_matches(text, ' + repr('(?i)(^|[^A-Za-z0-9_])shall($|[^A-Za-z0-9_])') + ')'} THEN 'requirement' WHEN {'regexp_matches(text, ' + repr('(?i)(^|[^A-Za-z0-9_])should($|[^A-Za-z0-9_])') + ')'} THEN 'recommendation'
+WHEN {'regexp_matches(text, ' + repr('(?i)(^|[^A-Za-z0-9_])may($|[^A-Za-z0-9_])') + ')'} THEN 'permission' WHEN regexp_matches(text, '(?m)^\\s*(NOTE|EXAMPLE)') THEN 'guideline' ELSE 'overview' END AS type FROM x""")
 def parse_clauses(spark, sf_dir):
-    return sections.clauses(_docs(spark, sf_dir))
+    """Chapters of the standards written as markdown and parsed again."""
+    n = Model(spark, sf_dir).nodes.filter(_WHOLE).withColumn("doc_id", F.concat_ws("/", "std", "group_key", F.element_at(F.split("node_id", r"\."), 1)))
+    piece = F.concat(F.lit("## "), "node_id", F.lit(" "), F.trim("title"), F.lit("\n"), "text")
+    docs = n.groupBy("doc_id").agg(F.concat(F.lit("# Chapter\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_ord", piece.alias("piece")))), lambda x: x["piece"]), "\n")).alias("text"))
+    return sections.clauses(docs).select("doc_id", "section", "title", "type")
 
 
 @query(_LINES + r"x AS (SELECT doc_id, line_no, trim(line) AS b FROM l) SELECT doc_id, line_no FROM x WHERE starts_with(b, '#') OR regexp_matches(b, '^[0-9]+\.[0-9.]*[ \t]+[A-Za-z0-9_]') OR (upper(b) = b AND regexp_matches(b, '[A-Z]') AND length(b) BETWEEN 4 AND 79)")
@@ -101,9 +110,14 @@ def extract_notes(spark, sf_dir):
     return x.filter(F.size(T.notes_in_text(F.col("n"))) > 0).groupBy("clause_key").agg(N().alias("n_notes"))
 
 
-@query(None)
+_REF = "(?i)(?:see|in accordance with|according to|per)\\s+([^.;:]+)"
+
+
+@query(BASE + f"""x AS (SELECT node_ord, unnest(regexp_extract_all('see Part ' || right(group_key, 1) || ', ' || coalesce(title, 'x') || '. ' || coalesce(text, ''), '{_REF}', 1)) AS c FROM nodes)
+SELECT node_ord, regexp_extract(c, 'Part\\s+(\\d+)', 1) AS part, regexp_extract(c, '(?:Clause|Section)?\\s+(\\d+\\.\\d+(?:\\.\\d+)?)', 1) AS section, substring(trim(c), 1, 100) AS context FROM x WHERE regexp_extract(c, 'Part\\s+(\\d+)', 1) <> ''""")
 def extract_refs(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.explode(T.references_in_text(F.col("text"))).alias("r")).select("doc_id", "r.*")
+    text = F.concat(F.lit("see Part "), F.right("group_key", F.lit(1)), F.lit(", "), F.coalesce("title", F.lit("x")), F.lit(". "), F.coalesce("text", F.lit("")))
+    return Model(spark, sf_dir).nodes.select("node_ord", F.explode(T.references_in_text(text)).alias("r")).select("node_ord", "r.*")
 
 
 _NUM = "([0-9]+(?:\\.[0-9]+)*)"
@@ -125,15 +139,22 @@ def detect_vocabulary(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.explode(T.terms_in_text(F.col("text"), V.CONCEPT_TERMS)).alias("term"))
 
 
-@query(_terms_sql(V.METHOD_TERMS))
-def detect_methods(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.explode(T.terms_in_text(F.col("text"), V.METHOD_TERMS)).alias("term"))
+@query("""WITH d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, name AS term FROM d JOIN term_catalog ON contains(t, ' ' || name || ' ')""")
+def detect_catalog_terms(spark, sf_dir):
+    # the list of terms is a fixed table
+    terms = [r.name for r in table(spark, sf_dir, "term_catalog").select("name").distinct().collect()]
+    return _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.explode(T.terms_in_text(F.col("text"), terms)).alias("term"))
 
 
-@query(None)
+_TAIL = "\\s+([A-Za-z0-9\\s\\-_]+?)(?:[.,;\\n]|$)"
+
+
+@query(BASE + f"""x AS (SELECT art_ord, 'It is derived from ' || title || '. Traced to ' || art_id || ', ' || full_text AS t FROM arts)
+SELECT art_ord, array_to_string(list_distinct(list_filter(list_transform(regexp_extract_all(t, '(?i)(?:derives?|derived)\\s+from{_TAIL}', 1), lambda v: trim(v)), lambda v: v <> '' AND length(v) < 200)), ';') AS derived_from, len(regexp_extract_all(t, '(?i)(?:traced?|traces)\\s+to{_TAIL}', 1)) > 0 AS is_traced FROM x""")
 def detect_trace(spark, sf_dir):
-    a, b = T.traces_in_text(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", a.alias("from"), b.alias("to")).filter("size(`from`) + size(`to`) > 0")
+    text = F.concat(F.lit("It is derived from "), "title", F.lit(". Traced to "), "art_id", F.lit(", "), "full_text")
+    a, b = T.traces_in_text(text)
+    return Model(spark, sf_dir).arts.select("art_ord", F.array_join(a, ";").alias("derived_from"), (F.size(b) > 0).alias("is_traced"))
 
 
 @query(None)
