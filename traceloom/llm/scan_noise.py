@@ -32,6 +32,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -247,25 +248,45 @@ def item_words(items: DataFrame) -> DataFrame:
 
 
 def judged_items(items: DataFrame, statistics: DataFrame, links: DataFrame) -> DataFrame:
-    """Each scanned item with what is known of its words: arrays ``facts`` of (k, kind, clean, n,
-    correction, fixed, pair) in order."""
+    """Each scanned item with what is known of its words: the arrays of FACTS, side by side."""
     info = statistics.filter("kind = 'w'").select(F.col("a").alias("word"), "n", "n_clean").join(links.select("word", "correction", "correction_clean"), "word", "full_outer")
     pairs = statistics.filter("kind = 'b'").select(F.concat_ws("\t", "a", "b").alias("before"), F.lit(True).alias("pair"))
     w = item_words(items).join(info, "word", "left").join(pairs, "before", "left")
     fact = F.struct("k", "kind", F.coalesce("n_clean", F.lit(0)).alias("clean"), F.coalesce("n", F.lit(0)).alias("n"), "correction", F.coalesce("correction_clean", F.lit(0)).alias("fixed"), F.coalesce("pair", F.col("before") == "").alias("pair"))
-    facts = w.groupBy(*_KEY).agg(F.collect_list(fact).alias("facts"))
-    return items.join(facts, _KEY, "left")
+    facts = w.groupBy(*_KEY).agg(F.collect_list(fact).alias("f"))
+    # side by side as plain arrays, which Arrow hands to Python fastest
+    flat = facts.select(*_KEY, *[F.col(f"f.{c}").alias(c) for c in FACTS])
+    return items.join(flat, _KEY, "left")
+
+
+#: What is known of a word: its place, what it is to the item, counts in unscanned texts and in
+#: all, its correction with that one's count in unscanned texts, and whether the pair is known.
+FACTS = ("k", "kind", "clean", "n", "correction", "fixed", "pair")
+
+
+class Fact(NamedTuple):
+    clean: int
+    n: int
+    correction: str | None
+    fixed: int
+    pair: bool
 
 
 class Page:
     """One scanned item with its facts."""
 
-    def __init__(self, text: str, facts: list[dict]):
+    def __init__(self, text: str, *facts: list | None):
         self.text, self.lines, self.tokens = text, lines_of(text), tokens_of(text)
-        facts = facts or []
-        self.fact = {f["k"]: f for f in facts if f["kind"] == "t"}
-        self.joint = {(f["k"], int(f["kind"][1:])): f for f in facts if f["kind"][0] == "j"}
-        self.compound = {(f["k"], int(f["kind"][1:])) for f in facts if f["kind"][0] == "c" and f["clean"] > 0}
+        self.fact: dict[int, Fact] = {}
+        self.joint: dict[tuple[int, int], Fact] = {}
+        self.compound: set[tuple[int, int]] = set()
+        for k, kind, *rest in zip(*(f or () for f in facts)):
+            if kind == "t":
+                self.fact[k] = Fact(*rest)
+            elif kind[0] == "j":
+                self.joint[k, int(kind[1:])] = Fact(*rest)
+            elif rest[0] > 0:
+                self.compound.add((k, int(kind[1:])))
         self.of_line: dict[int, list[int]] = {}
         for k, t in enumerate(self.tokens):
             self.of_line.setdefault(t.line, []).append(k)
@@ -278,13 +299,13 @@ class Page:
         judged = known = words = 0
         for i, k in enumerate(ks):
             t, f = self.tokens[k], self.fact[k]
-            words += bool(t.word) and not (i == len(ks) - 1 and t.end) and not (i == 0 and self._divided_before(line)) and (f["clean"] > 0 or f["fixed"] > 0)
+            words += bool(t.word) and not (i == len(ks) - 1 and t.end) and not (i == 0 and self._divided_before(line)) and (f.clean > 0 or f.fixed > 0)
             if i == 0 or not t.word or not self.tokens[ks[i - 1]].word:
                 continue
-            if any(self.fact[x]["fixed"] or self.tokens[x].end for x in (k, ks[i - 1])) or i == 1 and line > 0 and self._divided_before(line):
+            if any(self.fact[x].fixed or self.tokens[x].end for x in (k, ks[i - 1])) or i == 1 and line > 0 and self._divided_before(line):
                 continue
             judged += 1
-            known += f["pair"]
+            known += f.pair
         return judged, known, words
 
     def _divided_before(self, line: int) -> bool:
@@ -320,15 +341,15 @@ class Page:
         f = self.joint.get((k, n))
         if f is None or not right.word[:1].islower() and right.word[:1].isalpha():
             return False
-        if f["clean"] > 0 or left.end in DIVIDERS:
+        if f.clean > 0 or left.end in DIVIDERS:
             return True
         if (k, n) in self.compound:
             return False
-        if f["correction"]:
+        if f.correction:
             return True
         # a plain hyphen: a word of its own on either side belongs to a compound
-        whole = lambda x: self.fact[x]["clean"] > 0 and len(self.tokens[x].word) > 2
-        return f["n"] > 2 * max(1, self.fact[k]["n"]) or not whole(n) and not whole(k)
+        whole = lambda x: self.fact[x].clean > 0 and len(self.tokens[x].word) > 2
+        return f.n > 2 * max(1, self.fact[k].n) or not whole(n) and not whole(k)
 
     def read(self, heads: set[int]) -> tuple[set[str], str]:
         """(kinds of defects, the repaired and reflowed text)."""
@@ -349,14 +370,14 @@ class Page:
             n = keep[i + 1] if i + 1 < len(keep) else None
             if t.end and n is not None and self.divided(k, n):
                 defects.add("broken_word")
-                fix = self.joint[k, n]["correction"]
+                fix = self.joint[k, n].correction
                 if fix or _strange_glyphs(t.word + self.tokens[n].word):
                     defects.add("misread")
                 stem = t.raw[:-1] + self.tokens[n].raw
                 parts.append((t.line, _respell(stem, t.word + self.tokens[n].word, fix)))
                 i += 2
                 continue
-            fix = f["correction"] if t.word and not (t.end and n is not None and self.tokens[n].line != t.line and t.end in DIVIDERS) else None
+            fix = f.correction if t.word and not (t.end and n is not None and self.tokens[n].line != t.line and t.end in DIVIDERS) else None
             if fix or t.word and _strange_glyphs(t.word):
                 defects.add("misread")
             raw = t.raw.replace("¬", "").replace("\xad", "") if t.inner else t.raw
@@ -416,14 +437,13 @@ def head_lines(judged: DataFrame) -> DataFrame:
         types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32()]
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                for c in Page(r["text"], r["facts"]).head_candidates():
-                    rows.append((r["clause_key"], r["field_name"], r["item_pos"], r["volume"], *c))
+            for key, field, pos, volume, *page in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(key, field, pos, volume, *c) for c in Page(*page).head_candidates()]
             columns = zip(*rows) if rows else ([] for _ in names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     schema = "clause_key bigint, field_name string, item_pos int, volume string, line int, says string, sure int"
-    c = judged.mapInArrow(run, schema)
+    c = judged.select(*_KEY, "volume", "text", *FACTS).mapInArrow(run, schema)
     strange = F.count_if(F.col("sure") >= 1).over(Window.partitionBy("volume", "says"))
     others = strange - F.when(F.col("sure") >= 1, 1).otherwise(0)
     heads = c.withColumn("others", others).filter((F.col("sure") == 2) | (F.col("others") > 0))
@@ -443,20 +463,18 @@ def repaired(clauses: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found, texts = [], [], []
-            for r in batch.to_pylist():
-                defects, text = Page(r["text"], r["facts"]).read(set(r["heads"] or ()))
-                keys.append((r["clause_key"], r["field_name"], r["item_pos"]))
+            found, texts = [], []
+            for heads, *page in zip(*(c.to_pylist() for c in batch.columns[3:])):
+                defects, text = Page(*page).read(set(heads or ()))
                 found.append(sorted(defects))
                 texts.append(text)
-            columns = list(zip(*keys)) if keys else [(), (), ()]
-            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(found, pa.list_(pa.string())), pa.array(texts, pa.string())]
+            arrays = [*batch.columns[:3], pa.array(found, pa.list_(pa.string())), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["clause_key", "field_name", "item_pos", "defects", "text"])
 
     heads = head_lines(judged)
     if statistics.filter("kind = 'b'").isEmpty():
         heads = heads.limit(0)
-    both = judged.select(*_KEY, "text", "facts").join(heads, _KEY, "left")
+    both = judged.join(heads, _KEY, "left").select(*_KEY, "heads", "text", *FACTS)
     return both.mapInArrow(run, "clause_key bigint, field_name string, item_pos int, defects array<string>, text string")
 
 
