@@ -15,6 +15,8 @@ Defined results
   null elements still count for the position;
 * a source or parent delivered several times counts once, with its earliest loaded_at;
 * several parents of one number: present if one is, deleted only if all are;
+* a source without a standard: its references to sections are missing; a parent without one or
+  without a part is never meant;
 * loaded_at equal to the source's isn't late; a null loaded_at of a parent is never late;
 * empty tables: no rows (no parents at all: every reference is missing);
 * columns beside those named below are ignored.
@@ -37,7 +39,8 @@ def section_code(standard: Column, part: Column, section: Column) -> tuple[Colum
     levels = F.transform(F.split(section, r"\."), lambda x: x.cast("bigint"))
     last = F.element_at(levels, -1)
     head = F.array_join(F.slice(levels, 1, F.size(levels) - 1).cast("array<string>"), ".")
-    return F.concat_ws("|", standard, part, head, F.shiftright(last, 6).cast("string")), last
+    bar = F.lit("|")
+    return F.concat(standard, bar, part, bar, head, bar, F.shiftright(last, 6).cast("string")), last
 
 
 def number_code(number: Column) -> tuple[Column, Column]:
@@ -69,7 +72,7 @@ def product_parents(products: DataFrame) -> DataFrame:
 
 def compress_runs(parents: DataFrame) -> DataFrame:
     """(block, run_start, run_end, loaded[], deleted[]): gaps and islands inside each block."""
-    keys = parents.repartition("block").groupBy("block", "n").agg(F.min("loaded").alias("loaded"), F.min("deleted").alias("deleted"))
+    keys = parents.filter(F.col("block").isNotNull()).repartition("block").groupBy("block", "n").agg(F.min("loaded").alias("loaded"), F.min("deleted").alias("deleted"))
     island = F.col("n") - F.row_number().over(Window.partitionBy("block").orderBy("n"))
     runs = keys.withColumn("island", island).groupBy("block", "island")
     return runs.agg(F.min("n").alias("run_start"), F.max("n").alias("run_end"), F.sort_array(F.collect_list(F.struct("n", "loaded", "deleted"))).alias("keys")).select(
