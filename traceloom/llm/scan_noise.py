@@ -56,6 +56,9 @@ WINDOW = 2
 CLEAN_COUNT = 2
 FREQUENT_RATIO = 5
 
+#: Readings of tokens kept at a time in one worker (they are made again when needed).
+TOKENS_KEPT = 200_000
+
 _BREAK = re.compile(r"\r\n|[\n\r\f\x0b\x85\u2028\u2029]")
 _CORE = re.compile(r"^[(\[{\"“”‘'«<]*(.*?)[)\]}\"“”’'».,;:?!>]*$", re.S)
 _WORD = re.compile(r"^[^\W\d_](?:[^\W_]|[-‑!|])*$|^[^\W_!|]?[!|\d]?[^\W\d_](?:[^\W_]|[-‑!|])*$")
@@ -65,19 +68,42 @@ _PAGE = re.compile(r"^\W*(?:p(?:[.,]|a[g9q][ec])?\s*)?\d{1,5}(?:\s*(?:of|/|von|s
 _MARKED_NUMBER = re.compile(r"^\s*[-–—\[(|]?\s*(?:p\S{0,3}\s*)?\d{1,5}\s*(?:of\s*\d{1,5})?\s*[-–—\])|]?\s*$", re.I)
 
 
-class Token:
-    __slots__ = ("line", "raw", "word", "end", "inner")
+class Token(NamedTuple):
+    """A run of what isn't white space: its word ('' if it is none), the hyphen it ends with, and
+    whether a dividing mark lies inside it."""
+
+    line: int
+    raw: str
+    word: str
+    end: str
+    inner: bool
+
+
+def _read(raw: str) -> tuple[str, str, bool]:
+    """(word, end, inner) of a token."""
+    end = raw[-1] if len(raw) > 1 and raw[-1] in HYPHENS and raw[-2].isalnum() else ""
+    core = _CORE.match(raw[:-1] if end else raw)[1]
+    inner = any(c in core for c in "¬\xad")
+    if inner:
+        core = core.replace("¬", "").replace("\xad", "")
+    letters = sum(c.isalpha() for c in core)
+    plain = letters >= 2 and 2 * (len(core) - letters) <= len(core) and bool(_WORD.match(core)) and not (core[:1].isupper() and any(c.isdigit() for c in core) and letters < 4)
+    return core if plain else "", end, inner
+
 
-    def __init__(self, line: int, raw: str):
-        self.line, self.raw = line, raw
-        self.end = raw[-1] if len(raw) > 1 and raw[-1] in HYPHENS and raw[-2].isalnum() else ""
-        core = _CORE.match(raw[:-1] if self.end else raw)[1]
-        self.inner = any(c in core for c in "¬\xad")
-        if self.inner:
-            core = core.replace("¬", "").replace("\xad", "")
-        letters = sum(c.isalpha() for c in core)
-        plain = letters >= 2 and 2 * (len(core) - letters) <= len(core) and bool(_WORD.match(core)) and not (core[:1].isupper() and any(c.isdigit() for c in core) and letters < 4)
-        self.word = core if plain else ""
+class _Readings(dict):
+    """Token -> its reading: texts repeat their words."""
+
+    def __missing__(self, raw: str) -> tuple[str, str, bool]:
+        made = _read(raw)
+        if len(raw) <= 64:
+            if len(self) >= TOKENS_KEPT:
+                self.clear()
+            self[raw] = made
+        return made
+
+
+_readings = _Readings()
 
 
 def lines_of(text: str) -> list[str]:
@@ -85,7 +111,7 @@ def lines_of(text: str) -> list[str]:
 
 
 def tokens_of(text: str) -> list[Token]:
-    return [Token(i, t) for i, line in enumerate(lines_of(text)) for t in line.split()]
+    return [Token(i, t, *_readings[t]) for i, line in enumerate(lines_of(text)) for t in line.split()]
 
 
 def joints(tokens: list[Token]) -> Iterator[tuple[int, int, str]]:
@@ -282,9 +308,9 @@ class Page:
         self.compound: set[tuple[int, int]] = set()
         for k, kind, *rest in zip(*(f or () for f in facts)):
             if kind == "t":
-                self.fact[k] = Fact(*rest)
+                self.fact[k] = Fact._make(rest)
             elif kind[0] == "j":
-                self.joint[k, int(kind[1:])] = Fact(*rest)
+                self.joint[k, int(kind[1:])] = Fact._make(rest)
             elif rest[0] > 0:
                 self.compound.add((k, int(kind[1:])))
         self.of_line: dict[int, list[int]] = {}
@@ -415,6 +441,8 @@ def head_key(line: str) -> str:
 
 def _strange_glyphs(word: str) -> bool:
     """Letters of two scripts in one word."""
+    if word.isascii():
+        return False
     latin = cyrillic = False
     for c in word:
         latin |= "a" <= c.lower() <= "z"
