@@ -68,3 +68,17 @@ def test_discovery(spark):
     m = discovery.walk(docs, "k", "p")
     assert {r.role: r.name for r in discovery.field_roles(discovery.key_frequency(m, "k")).collect()} == {"id": "section", "text": "text", "risk": "asil"}
     assert discovery.leaf_text(m, "k").first().text == "1\na\nB\n2\nb\nC"
+
+
+def test_best_ratio_and_containment_against_brute_force(spark):
+    from traceloom.operators import similarity as S
+
+    texts = ["the brake controller shall limit the signal", "a pump", "", "xyz " * 80, "limit the brake signal of the pump"]
+    arts = ["brake limit signal", "the pump controller limits brakes", "", "zyx " * 90, "brake controller shall limit"]
+    n = spark.createDataFrame([("S", i, t, t) for i, t in enumerate(texts)] + [("T", 9, "x", "alone")], "std string, node_ord long, text string, node_text string")
+    a = spark.createDataFrame([("S", i, t) for i, t in enumerate(arts)], "std string, art_ord long, full_text string")
+    got = {r.node_ord: r.ratio for r in S.best_ratio(n, a).collect()}
+    assert got == {**{i: max(difflib.SequenceMatcher(None, t, b).ratio() for b in arts) for i, t in enumerate(texts)}, 9: 0.0}
+    share = {r.node_ord: r.share for r in S.containment(n, a).collect()}
+    words = [w for t in texts[:1] for w in ("brake", "controller", "limit", "signal")]
+    assert share[0] == sum(any(w in x for x in arts) for w in words) / len(words) and share[9] == 0

@@ -8,9 +8,12 @@ no ratio can exceed still allows the best one.
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from traceloom.functions import text as T
 
@@ -49,24 +52,48 @@ def alignment(node_rows: DataFrame, arts: DataFrame) -> DataFrame:
     return node_rows.select("std", "node_ord").join(best, ["std", "node_ord"], "left").select("std", "node_ord", F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)).alias("sim"))
 
 
+#: Running maxima kept at a time in one task (they are emitted and begun again beyond it).
+MAXIMA_KEPT = 200_000
+
+
 def best_ratio(node_rows: DataFrame, arts: DataFrame, prefix: int = 500) -> DataFrame:
     """(std, node_ord, ratio): the best fuzzy likeness of a requirement's text with an artifact's.
 
-    Only the prefix counts, as defined for this measure. Per requirement the most promising pair
-    (by the letter bound) is rated first; the others run only if their bound exceeds its ratio, so
-    the maximum is exact.
+    Only the prefix counts, as defined for this measure. Pairs stay inside a standard. They come
+    from one equi-join, artifact by artifact, so the matcher prepares each artifact once; bounds
+    that no ratio exceeds skip pairs that can't raise a requirement's maximum so far. Maxima are
+    merged by an aggregation, so a standard may be spread over many tasks.
     """
     n = node_rows.select("std", "node_ord", F.lower(F.substring(F.coalesce("text", F.lit("")), 1, prefix)).alias("a"))
-    b = arts.select("std", "art_ord", F.lower(F.substring("full_text", 1, prefix)).alias("b"))
-    n = n.withColumn("ca", T.letter_counts(F.col("a"))).withColumn("na", F.length("a"))
-    b = b.withColumn("cb", T.letter_counts(F.col("b"))).withColumn("nb", F.length("b"))
-    # pairs stay inside a standard: its clauses and products, not the corpus
-    pairs = n.join(b, "std").withColumn("bound", T.shared_bound(F.col("ca"), F.col("cb"), F.col("na"), F.col("nb"))).select("std", "node_ord", "art_ord", "a", "b", "bound")
-    rank = F.row_number().over(Window.partitionBy("std", "node_ord").orderBy(F.desc("bound"), "art_ord"))
-    ranked = pairs.withColumn("rank", rank)
-    first = ranked.filter("rank <= 3").withColumn("r", T.ratio("a", "b")).groupBy("std", "node_ord").agg(F.max("r").alias("floor"))
-    rest = ranked.filter("rank > 3").join(first, ["std", "node_ord"]).filter("bound > floor").withColumn("r", T.ratio("a", "b")).groupBy("std", "node_ord").agg(F.max("r").alias("more"))
-    found = first.join(rest, ["std", "node_ord"], "left").select("std", "node_ord", F.greatest("floor", F.coalesce("more", F.lit(0.0))).alias("best"))
+    b = arts.select("std", F.lower(F.substring("full_text", 1, prefix)).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            keys = list(best)
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(best.values()), pa.float64())], names=["std", "node_ord", "best"])
+            best.clear()
+            return out
+
+        best: dict[tuple, float] = {}
+        matcher, last = difflib.SequenceMatcher(None), None
+        for batch in batches:
+            for std, node, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                if y != last:
+                    matcher.set_seq2(y)
+                    last = y
+                key, floor = (std, node), best.get((std, node), -1.0)
+                size = len(x) + len(y)
+                if size and 2.0 * min(len(x), len(y)) / size <= floor:
+                    continue
+                matcher.set_seq1(x)
+                if floor < 0 or matcher.quick_ratio() > floor:
+                    best[key] = max(floor, matcher.ratio())
+            if len(best) > MAXIMA_KEPT:
+                yield flush()
+        yield flush()
+
+    pairs = b.join(n, "std").select("std", "node_ord", "a", "b")
+    found = pairs.mapInArrow(run, "std string, node_ord bigint, best double").groupBy("std", "node_ord").agg(F.max("best").alias("best"))
     return node_rows.select("std", "node_ord").join(found, ["std", "node_ord"], "left").select("std", "node_ord", F.coalesce("best", F.lit(0.0)).alias("ratio"))
 
 
