@@ -193,3 +193,43 @@ NOISE_LINES = (
 
 def is_noise_line(line: Column) -> Column:
     return F.coalesce((F.trim(line) != "") & line.rlike("|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for p in NOISE_LINES)), F.lit(False))
+
+
+def priority_of(line: Column) -> Column:
+    """HIGH, MEDIUM or LOW by the tag in a line."""
+    return F.when(F.contains(line, F.lit("[HIGH]")), "HIGH").when(F.contains(line, F.lit("[MEDIUM]")), "MEDIUM").otherwise("LOW")
+
+
+def without_priority(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"\[(HIGH|MEDIUM|LOW)\]", ""))
+
+
+def html_escaped(text: Column) -> Column:
+    """Escaped for HTML; null gives ''."""
+    out = F.coalesce(text, F.lit(""))
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(raw), F.lit(safe))
+    return out
+
+
+def text_bar(score: Column, step: int = 5) -> Column:
+    """A bar of '#', one for each full step of a score."""
+    return F.repeat(F.lit("#"), F.floor(score / step).cast("int"))
+
+
+def document_id(prefix: str, date: Column) -> Column:
+    """The prefix with a date without dashes, DRAFT without a date."""
+    return F.concat(F.lit(f"{prefix}-"), F.coalesce(F.replace(F.substring(date, 1, 10), F.lit("-")), F.lit("DRAFT")))
+
+
+def dashboard_letter(score: Column) -> Column:
+    """The second scale of letters: 90, 80, 70, 60."""
+    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
+
+
+def score_class(score: Column) -> Column:
+    return F.when(score >= 85, "good").when(score >= 60, "fair").otherwise("poor")
+
+
+def inverse_percent(score: Column) -> Column:
+    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100.0 - score))

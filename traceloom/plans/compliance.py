@@ -470,3 +470,35 @@ def first_match(m):
 @query(None)
 def assessment_decision(m):
     return L.decision(L.overall(m.scores(fuzzy=True)), m.findings(fuzzy=True))
+
+
+CHECKS = {"plan": ("sequence for safe shutdown", "plan for"), "measure": ("vibration", "climate chamber"), "level": ("level c", "level d")}
+PARTS = (("part_2", "Management"), ("part_3", "Concept"), ("part_4", "System"), ("unknown", "Without a part"))
+
+
+@query(BASE + "v AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}')" for n, ks in CHECKS.items() for k in ks) + ") v(check_name, kw)) SELECT std, check_name, count(DISTINCT art_ord) AS n_artifacts FROM arts JOIN v ON contains(lower(full_text), kw) GROUP BY 1, 2")
+def keyword_evidence(m):
+    from traceloom.operators.structure import keyword_evidence as evidence
+
+    return evidence(m.arts, CHECKS)
+
+
+@query(_ALL + f"""h AS (SELECT coalesce(group_key, 'unknown') AS group_key, count(*) AS n, count(*) FILTER (severity = 'CRITICAL') AS n_critical FROM findings GROUP BY 1), v AS (SELECT * FROM (VALUES {', '.join(f"('{p}', '{t}')" for p, t in PARTS)}) v(part_id, title))
+SELECT part_id, title, coalesce(n, 0) AS n, coalesce(n_critical, 0) AS n_critical, CASE WHEN coalesce(n, 0) = 0 THEN 'green' WHEN n_critical > 0 THEN 'red' ELSE 'amber' END AS health FROM v LEFT JOIN h ON part_id = group_key""")
+def part_coverage(m):
+    from traceloom.operators.structure import part_coverage as coverage
+
+    return coverage(m.spark.createDataFrame(PARTS, "part_id string, title string"), L.findings_by_part(m.findings()))
+
+
+@query(None)
+def corrective_actions(m):
+    from traceloom.operators.structure import corrective_actions as actions
+
+    return actions(L.recommendations(m.gaps()))
+
+
+@query(_ALL + _SCORES + "x AS (SELECT 1) SELECT std, layer, repeat('#', CAST(floor(score / 5) AS INTEGER)) AS bar, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS letter, CASE WHEN score >= 85 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'poor' END AS class, least(100.0, greatest(0.0, 100.0 - score)) AS risk_percent FROM scores")
+def score_bands(m):
+    s = F.col("score")
+    return m.scores().select("std", "layer", T.text_bar(s).alias("bar"), T.dashboard_letter(s).alias("letter"), T.score_class(s).alias("class"), T.inverse_percent(s).alias("risk_percent"))
