@@ -13,6 +13,10 @@ SPAM = {
     "phrases": "\n".join(f"{x} wiper motor {y}" for x in ("buy", "cheap", "top", "best") for y in ("online", "2025", "near me", "price")),
     "stuffed": "Looking for tyre deal? Tyre deal here, tyre deal there, top tyre deal. Our tyre deal is the best tyre deal for every tyre deal buyer. " * 6,
     "german": "\n".join(f"{x} Bremssensor {y}" for x in ("sale", "top", "discount") for y in ("price", "2025", "review", "buy")),
+    "french": "caméra de recul, pompe à huile, calculateur pas cher, " * 12 + "phare led",
+    "french rows": "\n".join(f"CEDAR-{i}76 | pompe à huile | delta | cheap | caméra de recul" for i in range(9)),
+    "french run": "pompe à huile caméra de recul calculateur pas cher capteur de frein " * 9,
+    "french lines": "\n".join(f"{x} caméra de recul {y}\ncalculateur pas cher" for x in ("top", "best", "buy") for y in ("sale", "2025", "price")),
     "with a sentence": PROSE + "\n\n" + "oil pump; spark plug; " * 30 + "oil pump",
 }
 FINE = {
@@ -26,6 +30,8 @@ FINE = {
     "log": "\n".join(f"14:26:0{i}.448 ERR  headlamp_governor u=11.4V t=10{i}°C limit" for i in range(9)),
     "references": "\n".join(f"[{i}] Evidence of the battery observer, issue {i}, https://a.example/{i}" for i in range(1, 12)),
     "japanese": "試験台25では通信途絶を再現できなかった。運転者が介入しない限り、通信途絶を記録すること。" * 5,
+    "german template": "\n".join(f"Der {x} muss den Zustand innerhalb von {i}{i} ms erkennen." for i, x in enumerate("Bremsregler Lenkwächter Pumpenschätzer Momentenbegrenzer Batteriemonitor Kameraempfänger".split())),
+    "wrapped prose": "\n".join("The review board approved the result of|the vibration campaign and asked for a|second measurement of the climate chamber|before the next gate of the programme".split("|")) + "\nand closed it",
     "headings only": "Scope\nPurpose\nResults",
 }
 

@@ -36,6 +36,8 @@ FEW_SHAPES = 4
 #: Share of a page's sentence words in one repeated phrase that makes its sentences stuffed.
 PHRASE_SHARE = 0.15
 PHRASE_COUNT = 4
+#: Times it must come in the sentences that hold it, on average.
+PHRASE_EACH = 1.4
 
 #: Words that bind sentences (fixed list; English, German and French).
 BINDING = frozenset(
@@ -50,6 +52,7 @@ _CITE = re.compile(r"^\s*\[\d+\]\s")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _END = re.compile(r"[.!?:。！？:]['\"”’)\]]*\s*$")
+_INNER_END = re.compile(r"[.!?]\s")
 _SENTENCES = re.compile(r"(?<=[.!?。！？])['\"”’)]*(?:\s+|(?<=[。！？]))")
 _CODE = re.compile(r"\S*\d\S*")
 #: separator, the characters it needs, how to cut at it
@@ -74,7 +77,8 @@ def _bound(words: list[str]) -> int:
 
 
 def shape(line: str) -> tuple[str, tuple]:
-    """(kind, shape) of a line: kind 'links', 'tags', 'list', 'keywords', 'record' or 'sentence'."""
+    """(kind, shape) of a line: kind 'links', 'tags', 'list', 'keywords', 'phrase' (a short line that
+    may be keywords or wrapped text), 'record' or 'sentence'."""
     links = _URL.findall(line)
     rest = _MARK.sub("", _URL.sub(" ", line)) if links else _MARK.sub("", line)
     tokens = rest.split()
@@ -101,18 +105,20 @@ def shape(line: str) -> tuple[str, tuple]:
         coded = sum(i != "2025" and (len(i) < 2 or bool(_CODE.search(i))) for i in items) if codes else sum(len(i) < 2 for i in items)
         if 2 * coded >= len(items):
             return "record", (name, min(len(items), 6))
-        if 5 * bound > len(words) or ends and len(items) < 6:
-            continue
         sizes = list(map(_size, items))
         if 5 * sum(x > 4 for x in sizes) > len(items):
             continue
+        # keywords of several words hold binding words too: then items must come again
+        again = len({i.lower() for i in items}) <= 0.75 * len(items)
+        if not again and (5 * bound > len(words) and name != "|" or ends and len(items) < 6):
+            continue
         return "list", (name, min(len(items) // 4, 3), round(sum(sizes) / len(items)))
     if 3 * codes > len(tokens):
         return "record", ("codes", min(len(tokens), 6))
     n = _size(rest)
-    if not ends and words and n <= 8 and (not bound or n > 5 * bound) and ":" not in rest:
-        return "keywords", ("words", min(n, 6), rest[:1].isupper(), rest.istitle())
-    if not ends and n > 8 and words and 12 * bound < len(words) and not _CJK.search(rest):
+    if not ends and words and n <= 8 and ":" not in rest:
+        return "keywords" if not bound or n > 5 * bound else "phrase", ("words", min(n, 6), rest[:1].isupper(), rest.istitle())
+    if not ends and n > 8 and words and not _CJK.search(rest) and (12 * bound < len(words) or 2 * len(set(words)) <= len(words) and 40 * len(_INNER_END.findall(rest)) < len(words)):
         return "keywords", ("run", min(n // 8, 3))
     return "sentence", ("sentence", ends)
 
@@ -123,7 +129,7 @@ _PAIR = re.compile(r"(?<![^\W_])(?=([^\W\d_]+)[ \xa0]+([^\W\d_]+))")
 def _phrase(sentences: list[str]) -> str:
     """The pair of content words, or the single one, that the distinct sentences turn round; ''
     if there is none. Words with a mark between them are no pair."""
-    distinct = [s.lower() for s in dict.fromkeys(sentences)]
+    distinct = [s.lower() for s in dict.fromkeys(sentences) if not _CJK.search(s)]
     single: Counter = Counter()
     for s in distinct:
         single.update(_WORDS.findall(s))
@@ -137,7 +143,10 @@ def _phrase(sentences: list[str]) -> str:
         if counts:
             p, n = counts.most_common(1)[0]
             if n >= PHRASE_COUNT and size * n >= PHRASE_SHARE * total:
-                return " ".join(p) if size == 2 else p
+                phrase = " ".join(p) if size == 2 else p
+                # a turn of speech comes once in a sentence
+                if n >= PHRASE_EACH * sum(phrase in " ".join(_WORDS.findall(s)) for s in distinct):
+                    return phrase
     return ""
 
 
@@ -167,6 +176,8 @@ def page_shapes(text: str) -> list[tuple[str, tuple, int, list[str]]]:
     return [(k, f, n, lines) for (k, f), (n, lines) in groups.items()]
 
 
+#: Share of distinct words among the content words of short lines at or below which they are keywords.
+FEW_WORDS = 0.3
 SPAM_KINDS = ("links", "tags", "list", "keywords", "stuffed")
 
 
@@ -175,6 +186,11 @@ def judge(text: str | None) -> tuple[bool, float, str]:
     if not text or not text.strip():
         return False, 0.0, ""
     shapes = page_shapes(text)
+    if any(k == "phrase" for k, *_ in shapes):
+        words = [w.lower() for k, _, _, lines in shapes if k in ("phrase", "keywords") for x in lines for w in _WORDS.findall(x)]
+        words = [w for w in words if w not in BINDING]
+        kind = "keywords" if len(words) >= MIN_WORDS and len(set(words)) <= FEW_WORDS * len(words) else "sentence"
+        shapes = [(kind if k == "phrase" else k, *rest) for k, *rest in shapes]
     total = sum(n for _, _, n, _ in shapes)
     bad = sorted(((n, k, lines) for k, _, n, lines in shapes if k in SPAM_KINDS), key=lambda x: (-x[0], x[1]))
     size = sum(n for n, _, _ in bad)
