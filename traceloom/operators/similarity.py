@@ -45,11 +45,16 @@ def alignment(node_rows: DataFrame, arts: DataFrame) -> DataFrame:
     idf = inverse_document_frequency(arts, a_counts)
     a = a_counts.join(idf, ["std", "term"]).select("std", "art_ord", "term", (F.col("n") / F.col("n_all") * F.col("idf")).alias("w"))
     n = term_counts(node_rows, "node_ord", "node_text").join(idf, ["std", "term"], "left").select("std", "node_ord", "term", (F.col("n") / F.col("n_all") * F.coalesce("idf", F.lit(1.0))).alias("w"))
-    norm = lambda x, key: x.groupBy("std", key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = n.withColumnRenamed("w", "wn").join(a.withColumnRenamed("w", "wa"), ["std", "term"]).groupBy("std", "node_ord", "art_ord").agg(F.sum(F.col("wn") * F.col("wa")).alias("dot"))
-    x = dots.join(norm(n, "node_ord").withColumnRenamed("norm", "nn"), ["std", "node_ord"]).join(norm(a, "art_ord").withColumnRenamed("norm", "na"), ["std", "art_ord"])
-    best = x.groupBy("std", "node_ord").agg(F.max(F.coalesce(F.try_divide(F.col("dot"), F.col("nn") * F.col("na")), F.lit(0.0))).alias("best"))
-    return node_rows.select("std", "node_ord").join(best, ["std", "node_ord"], "left").select("std", "node_ord", F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)).alias("sim"))
+    # unit vectors before the join, so that no pair has to look its lengths up
+    def unit(x: DataFrame, key: str, name: str) -> DataFrame:
+        length = x.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+        return x.join(length, key).select("std", key, "term", F.coalesce(F.try_divide("w", "length"), F.lit(0.0)).alias(name))
+
+    # node_ord and art_ord are unique over all standards
+    pairs = unit(n, "node_ord", "wn").join(unit(a, "art_ord", "wa"), ["std", "term"])
+    cosines = pairs.groupBy("node_ord", "art_ord").agg(F.sum(F.col("wn") * F.col("wa")).alias("cosine"))
+    best = cosines.groupBy("node_ord").agg(F.max("cosine").alias("best"))
+    return node_rows.select("std", "node_ord").join(best, "node_ord", "left").select("std", "node_ord", F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)).alias("sim"))
 
 
 #: Running maxima kept at a time in one task (they are emitted and begun again beyond it).
