@@ -68,33 +68,44 @@ _SEPARATORS = (
 
 
 def _size(text: str) -> int:
+    if text.isascii():
+        return len(text.split())
     cjk = len(_CJK.findall(text))
     return len((_CJK.sub(" ", text) if cjk else text).split()) + (cjk + 1) // 2
 
 
 def _bound(words: list[str]) -> int:
-    return sum(w in BINDING for w in words)
+    return sum(map(BINDING.__contains__, words))
 
 
 def shape(line: str) -> tuple[str, tuple]:
+    """(kind, shape) of a line; see ``_shape``."""
+    return _shape(line, [])
+
+
+def _shape(line: str, said: list[str]) -> tuple[str, tuple]:
     """(kind, shape) of a line: kind 'links', 'tags', 'list', 'keywords', 'phrase' (a short line that
     may be keywords or wrapped text), 'record' or 'sentence'."""
-    links = _URL.findall(line)
-    rest = _MARK.sub("", _URL.sub(" ", line)) if links else _MARK.sub("", line)
-    tokens = rest.split()
-    words = [w.lower() for w in _WORDS.findall(rest)]
+    # the plain tests in front spare most lines the expressions
+    links = _URL.findall(line) if "://" in line or "www." in line.lower() else []
+    rest = _URL.sub(" ", line) if links else line
+    if not rest[:1].isalpha():
+        rest = _MARK.sub("", rest)
+    words = _WORDS.findall(rest.lower())
+    said[:] = words
     if links:
         label = len(words) / len(links)
         if _CITE.match(line) and label >= 4 or label > 6:
             return "record", ("cite", min(int(label) // 4, 3))
         return "links", ("links", min(len(links), 3), int(label + 0.5) > 0)
-    marks = _HASH.findall(rest)
-    if marks and 2 * len(marks) >= len([t for t in tokens if len(t) > 1]):
+    marks = _HASH.findall(rest) if "#" in rest else []
+    if marks and 2 * len(marks) >= len([t for t in rest.split() if len(t) > 1]):
         return "tags", ("#", len(marks) > 1)
     ends = bool(_END.search(line))
     bound = _bound(words)
     if ends and 5 * bound > len(words):
         return "sentence", ("sentence", ends)
+    tokens = rest.split()
     codes = len(_CODE.findall(rest))
     for name, mark, cut in _SEPARATORS:
         if sum(map(rest.count, mark)) < 2:
@@ -126,18 +137,19 @@ def shape(line: str) -> tuple[str, tuple]:
 _PAIR = re.compile(r"(?<![^\W_])(?=([^\W\d_]+)[ \xa0]+([^\W\d_]+))")
 
 
-def _phrase(sentences: list[str]) -> str:
+def _phrase(sentences: list[str], said: Counter) -> str:
     """The pair of content words, or the single one, that the distinct sentences turn round; ''
-    if there is none. Words with a mark between them are no pair."""
-    distinct = [s.lower() for s in dict.fromkeys(sentences) if not _CJK.search(s)]
+    if there is none. Words with a mark between them are no pair. ``said``: their words."""
+    whole = sum(said.values())
+    if 2 * max((n for w, n in said.items() if w not in BINDING), default=0) < PHRASE_SHARE * whole:
+        return ""  # no pair can be commoner than its words
+    distinct = [s.lower() for s in dict.fromkeys(sentences) if s.isascii() or not _CJK.search(s)]
     single: Counter = Counter()
     for s in distinct:
         single.update(_WORDS.findall(s))
     total = sum(single.values())
     for w in BINDING.intersection(single):
         del single[w]
-    if not single or 2 * max(single.values()) < PHRASE_SHARE * total:
-        return ""  # no pair can be commoner than its words
     pairs = Counter(p for s in distinct for p in _PAIR.findall(s) if p[0] not in BINDING and p[1] not in BINDING)
     for counts, size in ((pairs, 2), (single, 1)):
         if counts:
@@ -154,18 +166,24 @@ def page_shapes(text: str) -> list[tuple[str, tuple, int, list[str]]]:
     """(kind, shape, words, the lines) of a page's shapes."""
     groups: dict[tuple, list] = {}
     sentences: list[str] = []
+    seen: set[str] = set()
+    said: Counter = Counter()
+    words: list[str] = []
     for raw in re.split(r"[\r\n\f\x0b\x85\u2028\u2029]+", text):
         line = raw.strip("﻿ \t\xa0")
         if not line:
             continue
-        kind, form = shape(line)
+        kind, form = _shape(line, words)
         if kind == "sentence":
+            if line not in seen:
+                seen.add(line)
+                said.update(words)
             sentences.extend(x for x in _SENTENCES.split(line) if x)
             continue
         g = groups.setdefault((kind, form), [0, []])
         g[0] += _size(line)
         g[1].append(line)
-    phrase = _phrase(sentences)
+    phrase = _phrase(sentences, said)
     for s in sentences:
         kind = "sentence"
         if phrase and phrase in " ".join(_WORDS.findall(s.lower())):
