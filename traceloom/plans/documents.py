@@ -300,3 +300,12 @@ def spreadsheet_rows_to_text(spark, sf_dir):
     money = F.when(F.col("c_acctbal") < 0, "").otherwise(F.floor("c_acctbal").cast("string"))
     rows = c.select(F.col("c_nationkey").alias("sheet"), F.col("c_custkey").alias("row_no"), F.array("c_name", "c_mktsegment", money).alias("cells"))
     return sections.row_texts(rows)
+
+
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_windows(spark, sf_dir):
+    """The windowed aggregation of the stream, over the table at once."""
+    from traceloom.streaming.watch import late_counts
+
+    x = late_counts(table(spark, sf_dir, "events"))
+    return x.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
