@@ -182,27 +182,26 @@ def corpus_statistics(items: DataFrame) -> DataFrame:
     'j' words of scans put together over a line end. Counted in each batch before anything is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every: Counter = Counter()
-            clean: Counter = Counter()
+            words, clean, joined, adjacent, skips = (Counter() for _ in range(5))
             for volume, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = tokens_of(text)
                 seq = _pairs(tokens)
-                plain = [t.word.lower() for t in tokens]
-                rows = [("w", w, "") for w in plain if w]
-                if volume is not None:
-                    rows += [("j", w, "") for _, _, w in joints(tokens)]
+                plain = [t.word.lower() for t in tokens if t.word]
+                words.update(plain)
                 if volume is None:
-                    rows += [("b", a, b) for a, b in zip(seq, seq[1:]) if a and b]
+                    clean.update(plain)
+                    adjacent.update(zip(seq, seq[1:]))
+                else:
+                    joined.update(w for _, _, w in joints(tokens))
                 kept = [w for w in seq if w]
                 for d in range(1, WINDOW + 1):
-                    for a, b in zip(kept, kept[d:]):
-                        rows.append(("s", a, b))
-                        rows.append(("s", b, a))
-                every.update(rows)
-                if volume is None:
-                    clean.update(r for r in rows if r[0] != "s")
-            kind, a, b = zip(*every) if every else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(every.values(), pa.int64()), pa.array([clean[r] for r in every], pa.int64())], names=["kind", "a", "b", "n", "n_clean"])
+                    skips.update(zip(kept, kept[d:]))
+            rows = [("w", w, "", n, clean[w]) for w, n in words.items()]
+            rows += [("j", w, "", n, 0) for w, n in joined.items()]
+            rows += [("b", *p, n, n) for p, n in adjacent.items() if all(p)]
+            rows += [("s", *p, n, 0) for p, n in skips.items()] + [("s", *p[::-1], n, 0) for p, n in skips.items()]
+            kind, a, b, n, m = zip(*rows) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["kind", "a", "b", "n", "n_clean"])
 
     counted = items.select("volume", "text").mapInArrow(run, "kind string, a string, b string, n bigint, n_clean bigint")
     return counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("n_clean").alias("n_clean"))
@@ -259,14 +258,20 @@ def item_words(items: DataFrame) -> DataFrame:
             for key, field, pos, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 tokens = tokens_of(text)
                 seq = _pairs(tokens)
-                rows = [(tokens[k].line, k, f"j{n}", w, "") for k, n, w in joints(tokens)]
-                rows += [(tokens[k].line, k, f"c{n}", f"{tokens[k].word}-{tokens[n].word}".lower(), "") for k, n, _ in joints(tokens)]
-                for k, t in enumerate(tokens):
-                    before = seq[k - 1] if k > 0 and tokens[k - 1].line == t.line else ""
-                    rows.append((t.line, k, "t", t.word.lower(), f"{before}\t{seq[k]}" if before and seq[k] else ""))
-                for row in rows:
-                    for column, value in zip(out, (key, field, pos, *row)):
-                        column.append(value)
+                before, last = [], -1
+                for t, w, x in zip(tokens, seq, ["", *seq]):
+                    before.append(f"{x}\t{w}" if x and w and t.line == last else "")
+                    last = t.line
+                more = [(tokens[k].line, k, mark + str(n), w) for k, n, joined in joints(tokens) for mark, w in (("j", joined), ("c", f"{tokens[k].word}-{tokens[n].word}".lower()))]
+                size = len(tokens) + len(more)
+                out[0] += [key] * size
+                out[1] += [field] * size
+                out[2] += [pos] * size
+                out[3] += [t.line for t in tokens] + [r[0] for r in more]
+                out[4] += [*range(len(tokens)), *(r[1] for r in more)]
+                out[5] += ["t"] * len(tokens) + [r[2] for r in more]
+                out[6] += [t.word.lower() for t in tokens] + [r[3] for r in more]
+                out[7] += before + [""] * len(more)
             types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
