@@ -174,11 +174,15 @@ def markdown_standard(spark: SparkSession, path: str) -> DataFrame:
     return sections.clauses(last.select(F.col("part").alias("doc_id"), F.col("f.text").alias("text"))).withColumnRenamed("doc_id", "part")
 
 
-def json_standard(spark: SparkSession, path: str) -> DataFrame:
+#: JSON files of a standard's folder that are no part of it, by their names.
+NOT_STANDARDS = r"(?i)(_report|_meta|settings)[^/]*\.json$"
+
+
+def json_standard(spark: SparkSession, path: str, skip: str = NOT_STANDARDS) -> DataFrame:
     """Clause rows of JSON standards: the arrays under 'clauses', 'sections' and the like, with group
-    and file; glossary-only files give none, and neither do reports and the settings file."""
+    and file; glossary-only files give none, and neither do reports and settings, known by their names."""
     schema = "array<struct<section:string,id:string,title:string,type:string,text:string,tags:array<string>,asil_level:string,notes:array<string>,cross_references:array<string>>>"
-    x = extracted_json(spark, path).filter(~F.contains("file_name", F.lit("compliance_report")) & (F.col("file_name") != "compliance_meta.json"))
+    x = extracted_json(spark, path).filter(~F.col("file_name").rlike(skip))
     arrays = [F.from_json(F.get_json_object("text", f"$.{n}"), schema) for n in CLAUSE_FIELDS]
     rows = F.flatten(F.array_compact(F.array(*arrays)))
     group = F.coalesce(*[F.concat(F.lit(f"{k}_"), F.get_json_object("text", f"$.{k}")) for k in GROUP_FIELDS], F.regexp_replace("file_name", r"\.json$", ""))
