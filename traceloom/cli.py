@@ -26,7 +26,7 @@ def main(argv: list[str] | None = None) -> int:
         from traceloom.sources import sinks
 
         m = Model(spark, args.data)
-        scores = m.scores(fuzzy=True)
+        scores = m.scores()
         sections = {"scores": L.weighted_scores(scores), "overall": L.overall(scores), "gaps": L.top_gaps(m.gaps()), "recommendations": L.recommendations(m.gaps()), "register": L.register(m.arts, m.findings())}
         print(*sinks.write_report(sinks.report(sections), args.out, args.format), sep="\n")
     else:

@@ -143,17 +143,18 @@ _ALL = REQS + _CLAIMS + _SIMS + _SHARE + _STATES + _EDGES + _CONCEPTS + _METHODS
 
 
 class Model:
-    """The frames that queries share, built lazily."""
+    """The frames that queries share, built lazily. Without ``whole`` it is the part that the SQL
+    says: no fuzzy ratios."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = True):
+        self.spark, self.whole = spark, whole
         self.nodes = R.nodes(table(spark, sf_dir, "part_3_concept"), table(spark, sf_dir, "part_4_system"))
         self.arts = R.artifacts(table(spark, sf_dir, "sample_user_doc_v2"))
         self.reqs = R.applicable(self.nodes, TARGET, SCALE, GROUPS)
         self.catalog = table(spark, sf_dir, "term_catalog")
 
-    def states(self, fuzzy: bool = False) -> DataFrame:
-        return L.coverage(self.reqs, self.arts, fuzzy)
+    def states(self) -> DataFrame:
+        return L.coverage(self.reqs, self.arts, self.whole)
 
     def sims(self) -> DataFrame:
         return S.alignment(self.reqs, self.arts)
@@ -169,21 +170,21 @@ class Model:
         methods = self.catalog.filter("kind = 'method'").select(F.element_at(F.split("name", " "), -1).alias("activity"), F.col("name").alias("method"), (F.col("entry_id") % 7).alias("k"))
         return stds.join(methods, "k").select("std", "activity", "method")
 
-    def methods(self, fuzzy: bool = False) -> DataFrame:
-        return L.method_states(self.required(), self.arts, fuzzy)
+    def methods(self) -> DataFrame:
+        return L.method_states(self.required(), self.arts, self.whole)
 
     def rules(self) -> DataFrame:
         return L.trace_states(RULES, self.arts)
 
-    def findings(self, fuzzy: bool = False) -> DataFrame:
-        parts = [L.coverage_findings(self.states(fuzzy)), L.alignment_findings(self.reqs, self.sims()), L.concept_findings(self.concepts()), L.reference_findings(self.edges()), L.method_findings(self.methods(fuzzy)), L.trace_findings(self.rules())]
-        if fuzzy:
+    def findings(self) -> DataFrame:
+        parts = [L.coverage_findings(self.states()), L.alignment_findings(self.reqs, self.sims()), L.concept_findings(self.concepts()), L.reference_findings(self.edges()), L.method_findings(self.methods()), L.trace_findings(self.rules())]
+        if self.whole:
             parts.insert(2, L.semantic_findings(self.reqs, S.best_ratio(self.reqs, self.arts)))
         return L.united(*parts)
 
-    def scores(self, fuzzy: bool = False) -> DataFrame:
-        parts = {"node_coverage": L.coverage_score(self.states(fuzzy)), "content_alignment": L.mean_score(self.sims(), "sim"), "concept_coverage": L.concept_score(self.concepts()), "reference_integrity": L.reference_score(self.edges()), "method_audit": L.method_score(self.methods(fuzzy)), "traceability_chain": L.trace_score(self.rules())}
-        if fuzzy:
+    def scores(self) -> DataFrame:
+        parts = {"node_coverage": L.coverage_score(self.states()), "content_alignment": L.mean_score(self.sims(), "sim"), "concept_coverage": L.concept_score(self.concepts()), "reference_integrity": L.reference_score(self.edges()), "method_audit": L.method_score(self.methods()), "traceability_chain": L.trace_score(self.rules())}
+        if self.whole:
             parts["semantic_matching"] = L.mean_score(S.best_ratio(self.reqs, self.arts), "ratio")
         return L.united(*[p.select("std", F.lit(n).alias("layer"), F.col("score").cast("double").alias("score")) for n, p in parts.items()])
 
@@ -191,12 +192,15 @@ class Model:
         return L.gap_groups(self.findings(), L.level_multiplier(TARGET, SCALE))
 
 
-def query(sql: str | None = None):
-    """Register a function of the model, and its SQL."""
+def query(sql: str | None = None, whole: bool = False):
+    """Register a function of the model, and its SQL. Beside SQL it gets the part of the model that
+    the SQL says; ``whole`` registers it once more, as NAME_whole over the whole model."""
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir, f=f: f(Model(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir, f=f: f(Model(spark, sf_dir, whole=not sql))
         if sql:
             ORACLE[f.__name__] = sql
+        if whole:
+            QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir, f=f: f(Model(spark, sf_dir))
         return f
 
     return add
@@ -284,10 +288,10 @@ def claim_coverage(m):
 
 @query(None)
 def node_coverage(m):
-    return m.states(fuzzy=True)
+    return m.states()
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT std, count(*) AS n_requirements, CAST(count(*) FILTER (state = 'full') + 0.5 * count(*) FILTER (state = 'partial') AS DOUBLE) AS covered, round(100.0 * (count(*) FILTER (state = 'full') + 0.5 * count(*) FILTER (state = 'partial')) / count(*), 1) AS score FROM states GROUP BY 1")
+@query(_ALL + "x AS (SELECT 1) SELECT std, count(*) AS n_requirements, CAST(count(*) FILTER (state = 'full') + 0.5 * count(*) FILTER (state = 'partial') AS DOUBLE) AS covered, round(100.0 * (count(*) FILTER (state = 'full') + 0.5 * count(*) FILTER (state = 'partial')) / count(*), 1) AS score FROM states GROUP BY 1", whole=True)
 def coverage_score(m):
     return L.coverage_score(m.states()).withColumn("score", F.col("score").cast("double"))
 
@@ -317,17 +321,17 @@ def broken_references(m):
     return m.edges().filter(~(F.col("src_ok") & F.col("target_ok")))
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT std, activity, method, found FROM method_states")
+@query(_ALL + "x AS (SELECT 1) SELECT std, activity, method, found FROM method_states", whole=True)
 def method_hits(m):
     return m.methods()
 
 
 @query(None)
 def method_audit(m):
-    return L.method_score(m.methods(fuzzy=True))
+    return L.method_score(m.methods())
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT std, activity, n_missing, methods, severity FROM unmatched")
+@query(_ALL + "x AS (SELECT 1) SELECT std, activity, n_missing, methods, severity FROM unmatched", whole=True)
 def unmatched_methods_by_activity(m):
     return L.unmatched_by_activity(m.methods())
 
@@ -371,12 +375,12 @@ def trace_chains_by_artifact(m):
 # ---- findings and gaps
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT layer, type, severity, count(*) AS n, count(DISTINCT std) AS n_standards FROM findings GROUP BY ALL")
+@query(_ALL + "x AS (SELECT 1) SELECT layer, type, severity, count(*) AS n, count(DISTINCT std) AS n_standards FROM findings GROUP BY ALL", whole=True)
 def findings_union(m):
     return m.findings().groupBy("layer", "type", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("std").alias("n_standards"))
 
 
-@query(_ALL + "x AS (SELECT severity, count(*) AS n FROM findings GROUP BY 1) SELECT severity, n, round(100.0 * n / sum(n) OVER (), 1) AS share FROM x")
+@query(_ALL + "x AS (SELECT severity, count(*) AS n FROM findings GROUP BY 1) SELECT severity, n, round(100.0 * n / sum(n) OVER (), 1) AS share FROM x", whole=True)
 def severity_histogram(m):
     return L.severity_histogram(m.findings()).withColumn("share", F.col("share").cast("double"))
 
@@ -384,12 +388,12 @@ def severity_histogram(m):
 _GAP = "std, gap_key, n_findings, base_risk, weighted_risk, ['CRITICAL', 'MAJOR', 'WARNING', 'INFO'][rank] AS worst, CASE WHEN weighted_risk >= 80 THEN 'HIGH' WHEN weighted_risk >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS priority"
 
 
-@query(_ALL + f"x AS (SELECT 1) SELECT {_GAP} FROM ranked")
+@query(_ALL + f"x AS (SELECT 1) SELECT {_GAP} FROM ranked", whole=True)
 def gap_groups(m):
     return m.gaps().select("std", "gap_key", "n_findings", "base_risk", "weighted_risk", "worst", "priority")
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT std, place, gap_key, weighted_risk FROM ranked WHERE place <= 10")
+@query(_ALL + "x AS (SELECT 1) SELECT std, place, gap_key, weighted_risk FROM ranked WHERE place <= 10", whole=True)
 def gap_topk(m):
     return L.top_gaps(m.gaps()).select("std", F.col("place").cast("bigint").alias("place"), "gap_key", "weighted_risk")
 
@@ -399,47 +403,47 @@ def gap_recommendations(m):
     return L.recommendations(m.gaps())
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT std, CAST(round(sum(weighted_risk), 1) AS DOUBLE) AS total_risk FROM ranked GROUP BY 1")
+@query(_ALL + "x AS (SELECT 1) SELECT std, CAST(round(sum(weighted_risk), 1) AS DOUBLE) AS total_risk FROM ranked GROUP BY 1", whole=True)
 def total_risk(m):
     return m.gaps().groupBy("std").agg(F.round(F.sum("weighted_risk"), 1).alias("total_risk"))
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT CASE WHEN weighted_risk >= 80 THEN 'HIGH' WHEN weighted_risk >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS priority, count(*) AS n FROM ranked GROUP BY 1")
+@query(_ALL + "x AS (SELECT 1) SELECT CASE WHEN weighted_risk >= 80 THEN 'HIGH' WHEN weighted_risk >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS priority, count(*) AS n FROM ranked GROUP BY 1", whole=True)
 def priority_banding(m):
     return m.gaps().groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT ['CRITICAL', 'MAJOR', 'WARNING', 'INFO'][rank] AS worst, count(*) AS n FROM ranked GROUP BY 1")
+@query(_ALL + "x AS (SELECT 1) SELECT ['CRITICAL', 'MAJOR', 'WARNING', 'INFO'][rank] AS worst, count(*) AS n FROM ranked GROUP BY 1", whole=True)
 def worst_severity(m):
     return m.gaps().groupBy("worst").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_ALL + _SCORES + "x AS (SELECT 1) SELECT std, layer, score, weight, round(contribution, 6) AS contribution FROM weighted")
+@query(_ALL + _SCORES + "x AS (SELECT 1) SELECT std, layer, score, weight, round(contribution, 6) AS contribution FROM weighted", whole=True)
 def layer_scores_weighted(m):
     return L.weighted_scores(m.scores()).select("std", "layer", "score", "weight", F.round("contribution", 6).alias("contribution"))
 
 
-@query(_ALL + _SCORES + "x AS (SELECT 1) SELECT std, layer, round(sum(contribution) OVER (PARTITION BY std ORDER BY layer_ord ROWS UNBOUNDED PRECEDING), 6) AS running FROM weighted")
+@query(_ALL + _SCORES + "x AS (SELECT 1) SELECT std, layer, round(sum(contribution) OVER (PARTITION BY std ORDER BY layer_ord ROWS UNBOUNDED PRECEDING), 6) AS running FROM weighted", whole=True)
 def waterfall(m):
     return L.weighted_scores(m.scores()).select("std", "layer", F.round("running", 6).alias("running"))
 
 
 @query(None)
 def overall_score(m):
-    return L.overall(m.scores(fuzzy=True))
+    return L.overall(m.scores())
 
 
-@query(_ALL + _SCORES + "x AS (SELECT std, layer, score FROM scores) SELECT std, layer, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM x")
+@query(_ALL + _SCORES + "x AS (SELECT std, layer, score FROM scores) SELECT std, layer, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM x", whole=True)
 def grade_banding(m):
     return m.scores().select("std", "layer", L.grade(F.col("score")).alias("grade"))
 
 
-@query(_ALL + """h AS (SELECT group_key, severity FROM findings) SELECT coalesce(group_key, 'unknown') AS group_key, count(*) FILTER (severity = 'CRITICAL') AS CRITICAL, count(*) FILTER (severity = 'MAJOR') AS MAJOR, count(*) FILTER (severity = 'WARNING') AS WARNING, count(*) FILTER (severity = 'INFO') AS INFO FROM h GROUP BY 1""")
+@query(_ALL + """h AS (SELECT group_key, severity FROM findings) SELECT coalesce(group_key, 'unknown') AS group_key, count(*) FILTER (severity = 'CRITICAL') AS CRITICAL, count(*) FILTER (severity = 'MAJOR') AS MAJOR, count(*) FILTER (severity = 'WARNING') AS WARNING, count(*) FILTER (severity = 'INFO') AS INFO FROM h GROUP BY 1""", whole=True)
 def severity_heatmap(m):
     return L.heat_map(m.findings())
 
 
-@query(_ALL + """h AS (SELECT coalesce(group_key, 'unknown') AS group_key, severity, std, node_id FROM findings) SELECT group_key, count(*) AS n, count(*) FILTER (severity = 'CRITICAL') AS n_critical, count(DISTINCT CASE WHEN node_id IS NOT NULL THEN std || '/' || node_id END) AS n_nodes, CASE WHEN count(*) FILTER (severity = 'CRITICAL') > 0 THEN 'red' ELSE 'amber' END AS health FROM h GROUP BY 1""")
+@query(_ALL + """h AS (SELECT coalesce(group_key, 'unknown') AS group_key, severity, std, node_id FROM findings) SELECT group_key, count(*) AS n, count(*) FILTER (severity = 'CRITICAL') AS n_critical, count(DISTINCT CASE WHEN node_id IS NOT NULL THEN std || '/' || node_id END) AS n_nodes, CASE WHEN count(*) FILTER (severity = 'CRITICAL') > 0 THEN 'red' ELSE 'amber' END AS health FROM h GROUP BY 1""", whole=True)
 def findings_by_part(m):
     return L.findings_by_part(m.findings())
 
@@ -447,7 +451,7 @@ def findings_by_part(m):
 @query(_ALL + """cnt AS (SELECT std, art_ord, count(*) AS f, count(*) FILTER (severity = 'CRITICAL') AS c, count(*) FILTER (severity = 'MAJOR') AS j FROM (SELECT DISTINCT std, art_ord, node_id FROM claims) JOIN (SELECT std, node_id, severity FROM findings WHERE node_id IS NOT NULL) USING (std, node_id) GROUP BY 1, 2)
 SELECT std, art_ord, art_id, title, coalesce(f, 0) AS n_findings, coalesce(c, 0) AS n_critical, coalesce(j, 0) AS n_major, CAST(coalesce(len(mapped), 0) AS INTEGER) AS n_mapped, CAST(coalesce(len(tags), 0) AS INTEGER) AS n_tags, CAST(coalesce(len(methods), 0) AS INTEGER) AS n_methods, CAST(length(full_text) AS INTEGER) AS n_chars,
 CASE WHEN trim(full_text) = '' THEN 'Missing' WHEN coalesce(c, 0) > 0 THEN 'Not Compliant' WHEN coalesce(j, 0) > 0 THEN 'Partially Compliant' WHEN coalesce(len(mapped), 0) > 0 THEN 'Compliant' ELSE 'N/A' END AS state, coalesce(c, 0) || 'C / ' || coalesce(j, 0) || 'M' AS counts
-FROM arts LEFT JOIN cnt USING (std, art_ord)""")
+FROM arts LEFT JOIN cnt USING (std, art_ord)""", whole=True)
 def register(m):
     return L.register(m.arts, m.findings())
 
@@ -469,7 +473,7 @@ def first_match(m):
 
 @query(None)
 def assessment_decision(m):
-    return L.decision(L.overall(m.scores(fuzzy=True)), m.findings(fuzzy=True))
+    return L.decision(L.overall(m.scores()), m.findings())
 
 
 CHECKS = {"plan": ("sequence for safe shutdown", "plan for"), "measure": ("vibration", "climate chamber"), "level": ("level c", "level d")}
@@ -484,7 +488,7 @@ def keyword_evidence(m):
 
 
 @query(_ALL + f"""h AS (SELECT coalesce(group_key, 'unknown') AS group_key, count(*) AS n, count(*) FILTER (severity = 'CRITICAL') AS n_critical FROM findings GROUP BY 1), v AS (SELECT * FROM (VALUES {', '.join(f"('{p}', '{t}')" for p, t in PARTS)}) v(part_id, title))
-SELECT part_id, title, coalesce(n, 0) AS n, coalesce(n_critical, 0) AS n_critical, CASE WHEN coalesce(n, 0) = 0 THEN 'green' WHEN n_critical > 0 THEN 'red' ELSE 'amber' END AS health FROM v LEFT JOIN h ON part_id = group_key""")
+SELECT part_id, title, coalesce(n, 0) AS n, coalesce(n_critical, 0) AS n_critical, CASE WHEN coalesce(n, 0) = 0 THEN 'green' WHEN n_critical > 0 THEN 'red' ELSE 'amber' END AS health FROM v LEFT JOIN h ON part_id = group_key""", whole=True)
 def part_coverage(m):
     from traceloom.operators.structure import part_coverage as coverage
 
@@ -498,7 +502,7 @@ def corrective_actions(m):
     return actions(L.recommendations(m.gaps()))
 
 
-@query(_ALL + _SCORES + "x AS (SELECT 1) SELECT std, layer, repeat('#', CAST(floor(score / 5) AS INTEGER)) AS bar, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS letter, CASE WHEN score >= 85 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'poor' END AS class, least(100.0, greatest(0.0, 100.0 - score)) AS risk_percent FROM scores")
+@query(_ALL + _SCORES + "x AS (SELECT 1) SELECT std, layer, repeat('#', CAST(floor(score / 5) AS INTEGER)) AS bar, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS letter, CASE WHEN score >= 85 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'poor' END AS class, least(100.0, greatest(0.0, 100.0 - score)) AS risk_percent FROM scores", whole=True)
 def score_bands(m):
     s = F.col("score")
     return m.scores().select("std", "layer", T.text_bar(s).alias("bar"), T.dashboard_letter(s).alias("letter"), T.score_class(s).alias("class"), T.inverse_percent(s).alias("risk_percent"))
