@@ -59,3 +59,11 @@ def test_seven_layers(spark, small):
 def test_slips_in_methods(spark, small):
     found = {r.method: r.found for r in QUERIES["method_hits_whole"](spark, small).collect()}
     assert found["fault tree analysis"] and not found["xylophone"]
+
+
+def test_every_method_of_every_standard(spark, small):
+    rows = QUERIES["method_hits_whole"](spark, small).collect()
+    texts, used = [p[7].lower() for p in PRODUCTS], [u for p in PRODUCTS for u in p[9] or []]
+    wanted = {(m, any(ratio(m, u) >= 0.5 for u in used) or any(m in t for t in texts)) for _, kind, m in METHODS if kind == "method"}
+    assert {(r.method, r.found) for r in rows} == wanted and len(rows) == 4
+    assert [(r.n_required, r.n_found) for r in QUERIES["method_audit"](spark, small).collect()] == [(4, sum(f for _, f in wanted))]

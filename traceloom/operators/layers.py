@@ -160,9 +160,10 @@ def method_states(required: DataFrame, arts: DataFrame, fuzzy: bool = True, leas
     hits = hits.union(text_hits(r.select("std", "m").distinct(), arts, "m"))
     if fuzzy:
         left = r.join(hits.distinct(), ["std", "m"], "left_anti").select("std", "m").distinct()
-        # inside each standard; each distinct pair of names is rated once
-        pairs = left.join(used, "std").filter(T.shared_bound(T.letter_counts(F.col("m")), T.letter_counts(F.col("u")), F.length("m"), F.length("u")) >= least)
-        rated = pairs.select("m", "u").distinct().withColumn("r", T.ratio("m", "u")).filter(F.col("r") >= least).select("m", "u")
+        # inside each standard; each distinct pair of names is bounded and rated once
+        pairs = left.join(used, "std")
+        names = pairs.select("m", "u").distinct().filter(T.shared_bound(T.letter_counts(F.col("m")), T.letter_counts(F.col("u")), F.length("m"), F.length("u")) >= least)
+        rated = names.withColumn("r", T.ratio("m", "u")).filter(F.col("r") >= least).select("m", "u")
         hits = hits.union(pairs.join(rated, ["m", "u"], "left_semi").select("std", "m"))
     return r.join(hits.distinct().withColumn("hit", F.lit(True)), ["std", "m"], "left").select("std", "activity", "method", F.coalesce("hit", F.lit(False)).alias("found"))
 

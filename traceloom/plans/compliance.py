@@ -144,7 +144,7 @@ _ALL = REQS + _CLAIMS + _SIMS + _SHARE + _STATES + _EDGES + _CONCEPTS + _METHODS
 
 class Model:
     """The frames that queries share, built lazily. Without ``whole`` it is the part that the SQL
-    says: no fuzzy ratios."""
+    says: no fuzzy ratios, and of each standard only the methods whose number fits its own."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = True):
         self.spark, self.whole = spark, whole
@@ -166,6 +166,9 @@ class Model:
         return L.reference_states(L.reference_edges(self.nodes), self.arts)
 
     def required(self) -> DataFrame:
+        if self.whole:
+            methods = self.catalog.filter("kind = 'method'").select(F.element_at(F.split("name", " "), -1).alias("activity"), F.col("name").alias("method"))
+            return self.nodes.select("std").distinct().crossJoin(F.broadcast(methods))
         stds = self.nodes.select("std").distinct().withColumn("k", F.right("std", F.lit(7)).cast("bigint") % 7)
         methods = self.catalog.filter("kind = 'method'").select(F.element_at(F.split("name", " "), -1).alias("activity"), F.col("name").alias("method"), (F.col("entry_id") % 7).alias("k"))
         return stds.join(methods, "k").select("std", "activity", "method")
