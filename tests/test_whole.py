@@ -67,3 +67,13 @@ def test_every_method_of_every_standard(spark, small):
     wanted = {(m, any(ratio(m, u) >= 0.5 for u in used) or any(m in t for t in texts)) for _, kind, m in METHODS if kind == "method"}
     assert {(r.method, r.found) for r in rows} == wanted and len(rows) == 4
     assert [(r.n_required, r.n_found) for r in QUERIES["method_audit"](spark, small).collect()] == [(4, sum(f for _, f in wanted))]
+
+
+def test_register_takes_what_messages_name(spark, small):
+    findings = [f for f in C.Model(spark, small).findings().collect() if f.node_id]
+    rows = {r.art_ord: r for r in QUERIES["register_whole"](spark, small).collect()}
+    for p in PRODUCTS:
+        mine = [f for f in findings if any(s in i for s in p[5] for i in [f.node_id, *([f"{f.group_key}:{f.node_id}", f.title] if f.type == "BROKEN_REFERENCE" else [])])]
+        r = rows[p[0]]
+        assert (r.n_findings, r.n_critical, r.n_major) == (len(mine), sum(f.severity == "CRITICAL" for f in mine), sum(f.severity == "MAJOR" for f in mine))
+    assert rows[12].n_major == 1 and rows[12].state == "Partially Compliant" and rows[13].n_major == 2

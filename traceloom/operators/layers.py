@@ -282,13 +282,47 @@ def overall(scores: DataFrame) -> DataFrame:
     return x.select("std", "raw", F.round("raw", 1).alias("score"), grade(F.col("raw")).alias("grade"))
 
 
-def register(arts: DataFrame, all_findings: DataFrame) -> DataFrame:
+def named_ids(all_findings: DataFrame) -> DataFrame:
+    """(std, ids, n, n_critical, n_major): findings of a node by the ids that they and their messages
+    name: the node, of a reference its source and target."""
+    edge = F.col("layer") == "reference_integrity"
+    ids = F.array_compact(F.array(F.when(edge, F.concat_ws(":", "group_key", "node_id")).otherwise(F.col("node_id")), F.when(edge, F.col("title"))))
+    return all_findings.filter("node_id is not null").groupBy("std", ids.alias("ids")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "CRITICAL").alias("n_critical"), F.count_if(F.col("severity") == "MAJOR").alias("n_major"))
+
+
+def held_ids(parts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(std, part, id) of the parts (std, part) that occur, as substrings, in an id (std, id) of their
+    standard. A part meets only the ids that hold, inside a word, its longest run of letters, digits and dots."""
+    word = F.lit("[A-Za-z0-9.]+")
+    run = F.transform(F.regexp_extract_all("part", word, 0), lambda x: F.struct(F.length(x).alias("n"), x.alias("word")))
+    p = parts.distinct().withColumn("__key", F.substring(F.coalesce(F.array_max(run)["word"], F.lit("")), 1, S.PIECE)).filter("__key <> ''")
+    words = ids.distinct().select("std", "id", F.explode(F.array_distinct(F.regexp_extract_all("id", word, 0))).alias("word"))
+    size = F.length("word")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(S.PIECE), size - i + 1)), lambda n: F.substring(F.col("word"), i, n))))
+    held = words.select("std", "word").distinct().select("std", "word", F.explode(F.array_distinct(pieces)).alias("__key"))
+    return p.join(held, ["std", "__key"]).join(words, ["std", "word"]).filter(F.contains("id", "part")).select("std", "part", "id").distinct()
+
+
+def findings_by_claim(arts: DataFrame, all_findings: DataFrame) -> DataFrame:
+    """(std, art_ord, n_findings, n_critical, n_major): a finding belongs to the artifacts that map a
+    part of an id it names, each once. Blanks around a mapped section don't count."""
+    named = named_ids(all_findings)
+    claimed = R.claims(arts).select("std", "art_ord", F.trim("node_id").alias("part")).distinct()
+    ids = named.select("std", "ids", F.explode(F.array_distinct("ids")).alias("id"))
+    x = claimed.join(held_ids(claimed.select("std", "part"), ids.select("std", "id")), ["std", "part"]).join(ids, ["std", "id"]).select("std", "art_ord", "ids").distinct()
+    return x.join(named, ["std", "ids"]).groupBy("std", "art_ord").agg(F.sum("n").alias("n_findings"), F.sum("n_critical").alias("n_critical"), F.sum("n_major").alias("n_major"))
+
+
+def register(arts: DataFrame, all_findings: DataFrame, by_part: bool = True) -> DataFrame:
     """One row for each artifact: counts, sizes and the state its findings give it. A finding
-    belongs to the artifacts that map its node."""
-    counted = (
-        R.claims(arts).select("std", "art_ord", "node_id").distinct().join(all_findings.filter("node_id is not null").select("std", "node_id", "severity"), ["std", "node_id"])
-        .groupBy("std", "art_ord").agg(F.count(F.lit(1)).alias("n_findings"), F.count_if(F.col("severity") == "CRITICAL").alias("n_critical"), F.count_if(F.col("severity") == "MAJOR").alias("n_major"))
-    )
+    belongs to the artifacts that map part of an id it names; without ``by_part``, its very node."""
+    if by_part:
+        counted = findings_by_claim(arts, all_findings)
+    else:
+        counted = (
+            R.claims(arts).select("std", "art_ord", "node_id").distinct().join(all_findings.filter("node_id is not null").select("std", "node_id", "severity"), ["std", "node_id"])
+            .groupBy("std", "art_ord").agg(F.count(F.lit(1)).alias("n_findings"), F.count_if(F.col("severity") == "CRITICAL").alias("n_critical"), F.count_if(F.col("severity") == "MAJOR").alias("n_major"))
+        )
     x = arts.join(counted, ["std", "art_ord"], "left").na.fill(0, ["n_findings", "n_critical", "n_major"])
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     state = F.when(F.trim("full_text") == "", "Missing").when(F.col("n_critical") > 0, "Not Compliant").when(F.col("n_major") > 0, "Partially Compliant").when(size("mapped") > 0, "Compliant").otherwise("N/A")

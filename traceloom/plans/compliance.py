@@ -456,7 +456,7 @@ SELECT std, art_ord, art_id, title, coalesce(f, 0) AS n_findings, coalesce(c, 0)
 CASE WHEN trim(full_text) = '' THEN 'Missing' WHEN coalesce(c, 0) > 0 THEN 'Not Compliant' WHEN coalesce(j, 0) > 0 THEN 'Partially Compliant' WHEN coalesce(len(mapped), 0) > 0 THEN 'Compliant' ELSE 'N/A' END AS state, coalesce(c, 0) || 'C / ' || coalesce(j, 0) || 'M' AS counts
 FROM arts LEFT JOIN cnt USING (std, art_ord)""", whole=True)
 def register(m):
-    return L.register(m.arts, m.findings())
+    return L.register(m.arts, m.findings(), m.whole)
 
 
 @query(_ALL + "p AS (SELECT *, row_number() OVER (PARTITION BY std ORDER BY group_key, node_id, node_ord) AS place FROM states) SELECT std, place, group_key, node_id, state, round(100 * sim, 1) AS alignment FROM p JOIN sims USING (std, node_ord) WHERE place <= 100")
