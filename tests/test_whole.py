@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
+from traceloom.operators import layers as L
 from traceloom.plans import compliance as C
 from traceloom.plans.compliance import QUERIES
 
@@ -77,3 +78,9 @@ def test_register_takes_what_messages_name(spark, small):
         r = rows[p[0]]
         assert (r.n_findings, r.n_critical, r.n_major) == (len(mine), sum(f.severity == "CRITICAL" for f in mine), sum(f.severity == "MAJOR" for f in mine))
     assert rows[12].n_major == 1 and rows[12].state == "Partially Compliant" and rows[13].n_major == 2
+
+
+def test_matrix_holds_all_rows(spark):
+    states = spark.range(130).selectExpr("'s' AS std", "id AS node_ord", "'part_3' AS group_key", "string(id) AS node_id", "'full' AS state")
+    sims = spark.range(130).selectExpr("'s' AS std", "id AS node_ord", "0.5D AS sim")
+    assert sorted(r.place for r in L.compliance_matrix(states, sims).collect()) == list(range(1, 131))

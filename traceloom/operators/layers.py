@@ -368,10 +368,12 @@ def findings_by_part(all_findings: DataFrame) -> DataFrame:
     return x.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "CRITICAL").alias("n_critical"), F.countDistinct("std", "node_id").alias("n_nodes")).withColumn("health", health)
 
 
-def compliance_matrix(states: DataFrame, sims: DataFrame, k: int = 100) -> DataFrame:
-    """The first k requirements of each standard by group and section, with state and alignment."""
+def compliance_matrix(states: DataFrame, sims: DataFrame, k: int | None = None) -> DataFrame:
+    """The requirements of each standard (the first k, if given) by group and section, with their
+    place, state and alignment."""
     w = Window.partitionBy("std").orderBy("group_key", "node_id", "node_ord")
-    x = states.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).join(sims, ["std", "node_ord"], "left")
+    x = states.withColumn("place", F.row_number().over(w))
+    x = (x if k is None else x.filter(F.col("place") <= k)).join(sims, ["std", "node_ord"], "left")
     return x.select("std", "place", "group_key", "node_id", "state", F.round(100 * F.col("sim"), 1).alias("alignment"))
 
 

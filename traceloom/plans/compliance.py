@@ -459,9 +459,9 @@ def register(m):
     return L.register(m.arts, m.findings(), m.whole)
 
 
-@query(_ALL + "p AS (SELECT *, row_number() OVER (PARTITION BY std ORDER BY group_key, node_id, node_ord) AS place FROM states) SELECT std, place, group_key, node_id, state, round(100 * sim, 1) AS alignment FROM p JOIN sims USING (std, node_ord) WHERE place <= 100")
+@query(_ALL + "p AS (SELECT *, row_number() OVER (PARTITION BY std ORDER BY group_key, node_id, node_ord) AS place FROM states) SELECT std, place, group_key, node_id, state, round(100 * sim, 1) AS alignment FROM p JOIN sims USING (std, node_ord) WHERE place <= 100", whole=True)
 def compliance_matrix(m):
-    return L.compliance_matrix(m.states(), m.sims()).withColumn("place", F.col("place").cast("bigint"))
+    return L.compliance_matrix(m.states(), m.sims(), None if m.whole else 100).withColumn("place", F.col("place").cast("bigint"))
 
 
 @query(_ALL + "x AS (SELECT 1) SELECT std, node_id, round(100 * arg_max(sim, node_ord), 1) AS score FROM reqs JOIN sims USING (std, node_ord) GROUP BY 1, 2")
