@@ -56,3 +56,11 @@ def test_frame(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
     assert sorted(r.doc_id for r in Q.spam_pages(df).collect()) == [1, 4]
     assert Q.spam_pages(df.limit(0)).collect() == [] and sum(r.n_pages for r in Q.shape_report(df).collect()) == 5
+
+
+def test_short_mixed_and_dated_pages():
+    words = "oil pump", "spark plug", "brake sensor"
+    assert Q.judge(" ".join(f"#{x}{y}" for x in ("Oil", "Brake") for y in ("Pump", "Sale", "Price", "Top", "Buy")))[0]
+    assert Q.judge("\n".join(f"{w} {mark} {v} {mark} {w}" + f" {mark} {v}" * n for mark in ("|", ";", "•", "/") for n in (0, 3, 7) for w, v in zip(words, words[1:])))[0]
+    assert Q.judge("\n".join("safety kit | 2024 | brake sensor | 2019" for _ in range(9)))[0]
+    assert not Q.judge("Scope\nPurpose\nhttps://a.example/1")[0]

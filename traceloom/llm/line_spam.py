@@ -3,14 +3,14 @@
 Each line (a long line: each of its sentences) is reduced to a shape: its kind of separator, the
 words in an item, links, hash signs, codes and capitals, and whether it ends like a sentence.
 Shapes are grouped on the page with the words they hold. A page is flagged if the words of its
-non-sentence shapes outweigh the others, few such shapes hold them, and their vocabulary
-repeats as keywords do; records (rows of codes, times, references with a title) are no such
+non-sentence shapes outweigh the others and, unless most are links, tags or stuffed sentences,
+their vocabulary repeats as keywords do; records (rows of codes, times, references with a title) are no such
 shapes. Text that looks like sentences but turns round one phrase is a shape of its own.
 
 The reduction is one narrow pass: a page's shapes are grouped where the page is read.
 
 Defined results
-* null, empty and blank texts, and pages with fewer than ``MIN_WORDS`` words in such shapes: not flagged;
+* null, empty and blank texts, and pages of fewer than ``MIN_WORDS`` plain keywords: not flagged;
 * very long texts are read line by line, whole;
 * a doc_id that occurs twice: each row by its own text, flagged once;
 * words are counted between white space; in scripts without blanks two characters count as one;
@@ -29,10 +29,8 @@ from pyspark.sql import functions as F
 
 #: Share of a page's words in non-sentence shapes above which it is flagged.
 MAX_SHARE = 0.5
-#: Such words a page must have.
+#: Such words a page must have, if they are mostly plain keywords.
 MIN_WORDS = 12
-#: Distinct shapes that must hold most of those words.
-FEW_SHAPES = 4
 #: Share of a page's sentence words in one repeated phrase that makes its sentences stuffed.
 PHRASE_SHARE = 0.15
 PHRASE_COUNT = 4
@@ -55,6 +53,7 @@ _END = re.compile(r"[.!?:。！？:]['\"”’)\]]*\s*$")
 _INNER_END = re.compile(r"[.!?]\s")
 _SENTENCES = re.compile(r"(?<=[.!?。！？])['\"”’)]*(?:\s+|(?<=[。！？]))")
 _CODE = re.compile(r"\S*\d\S*")
+_YEAR = re.compile(r"(?:19|20)\d\d")
 #: separator, the characters it needs, how to cut at it
 _SEPARATORS = (
     ("|", "|", re.compile(r"\s*\|\s*")),
@@ -113,7 +112,7 @@ def _shape(line: str, said: list[str]) -> tuple[str, tuple]:
         items = [i for i in cut.split(rest.strip(" |;,/-")) if i]
         if len(items) < 3:
             continue
-        coded = sum(i != "2025" and (len(i) < 2 or bool(_CODE.search(i))) for i in items) if codes else sum(len(i) < 2 for i in items)
+        coded = sum(not _YEAR.fullmatch(i) and (len(i) < 2 or bool(_CODE.search(i))) for i in items) if codes else sum(len(i) < 2 for i in items)
         if 2 * coded >= len(items):
             return "record", (name, min(len(items), 6))
         sizes = list(map(_size, items))
@@ -215,9 +214,12 @@ def judge(text: str | None) -> tuple[bool, float, str]:
     if not bad or total == 0:
         return False, 0.0, ""
     share = size / total
-    # dominated by few shapes: the largest ones hold most of it
-    few = sum(n for n, _, _ in bad[:FEW_SHAPES]) >= 0.6 * size
-    if size < MIN_WORDS or share <= MAX_SHARE or not few:
+    if share <= MAX_SHARE:
+        return False, share, bad[0][1]
+    # links, tags and stuffed sentences that are most of the page need no further sign
+    if sum(n for n, k, _ in bad if k not in ("keywords", "list")) > MAX_SHARE * total:
+        return True, share, bad[0][1]
+    if size < MIN_WORDS:
         return False, share, bad[0][1]
     plain = [x for n, k, lines in bad if k in ("keywords", "list") for x in lines]
     if plain and not any(k in ("links", "tags", "stuffed") for _, k, _ in bad):
