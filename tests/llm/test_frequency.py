@@ -60,3 +60,11 @@ def test_one_term_in_most_records(spark):
     got = rows(Q.term_counts(c, p))
     want = Counter(f"t{k % 7}" for k in range(3000))
     assert got["tags", "hot"] == (3000, 3000, "common") and all(got["tags", t][1] == n for t, n in want.items())
+
+
+def test_first_batch_is_kept(spark):
+    c, p = frames(spark, [(1, ["a"], None, T1, None), (2, ["a", "b"], None, T1, None)])
+    store = Q.TermCounts(spark)
+    Q.term_counts(c, p, store)
+    more = spark.createDataFrame([("tags", 2, ["a", "b"], None), ("tags", 3, None, ["a"])], "field_name string, record_key long, before array<string>, after array<string>")
+    assert store.version == 1 and {r.term: r.n_records for r in store.apply(more).collect()} == {None: 2, "a": 2}

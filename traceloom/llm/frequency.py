@@ -106,9 +106,11 @@ def field_changes(clauses: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def term_counts(clauses: DataFrame, products: DataFrame) -> DataFrame:
-    """Counts and marks of every term: one batch of added records into empty counts."""
-    return mark_terms(merge_counts(None, term_deltas(field_changes(clauses, products))))
+def term_counts(clauses: DataFrame, products: DataFrame, counts: TermCounts | None = None) -> DataFrame:
+    """Counts and marks of every term: one batch of added records into persistent counts, empty
+    ones unless others are given."""
+    counts = counts or TermCounts(clauses.sparkSession)
+    return mark_terms(counts.apply(field_changes(clauses, products)))
 
 
 def live_term_counts(clauses: DataFrame, products: DataFrame, cut: str) -> DataFrame:
