@@ -1,13 +1,14 @@
 import json
 
 from traceloom.operators import nested
+from traceloom.session import scratch_path
 
 COLUMNS = ["file_id", "wp_no", "parent_no", "kind", "pos", "item_value"]
 
 
 def rows(spark, *payloads, schema="file_id long, payload string", more=()):
     df = spark.createDataFrame([(i, p, *more) for i, p in enumerate(payloads, 1)], schema)
-    return sorted(tuple(r) for r in nested.nested_rows(df).select(COLUMNS).collect())
+    return sorted((tuple(r) for r in nested.nested_rows(nested.stored_tables(df, scratch_path(spark, "nested-test"))).select(COLUMNS).collect()), key=str)
 
 
 PRODUCT = {"id": "A", "tags_addressed": ["x", None, " ", ["y", "x"]], "methods_used": [{"name": "m", "asil": ["A"]}, "n"], "traceability_links": {"upstream": [{"from": ["p", ""], "to": "q"}], "downstream": [{"from": None}, {"from": "r"}]}}
@@ -41,8 +42,19 @@ def test_very_deep_and_very_long(spark):
     depth = 20_000
     deep = '{"work_products":[' + '{"id":"x","sub_products":[' * depth + "]}" * depth + "]}"
     got = rows(spark, deep, json.dumps({"work_products": [{"id": "y", "tags_addressed": ["z" * 2_000_000]}]}))
-    assert len(got) == depth + 2 and got[-3][:3] == (1, depth, depth - 1)
-    assert nested._parse_deep('{"a": [1, {"b": "c\\"}"}, null], "d": -1.5e3}') == nested._DECODER.decode('{"a": [1, {"b": "c\\"}"}, null], "d": -1.5e3}')
+    assert len(got) == depth + 2 and (1, depth, depth - 1, "product", 0, "x") in got
+    text = '{"a": [1, {"b": "c\\"}"}, null], "d": -1.5e3}'
+    assert nested._parse_deep(text) == (nested._DECODER.decode(text), len(text))
+    # deep inside a wrapper that isn't JSON, and inside twenty strings
+    assert len(rows(spark, f"```json\n{deep}\n```")) == depth
+    wrapped = json.dumps({"work_products": [{"id": "w"}]})
+    for _ in range(12):
+        wrapped = json.dumps(wrapped)
+    assert rows(spark, wrapped) == [(1, 1, 0, "product", 0, "w")]
+    shallow = '{"work_products": [{"id": "w"}]}'
+    for _ in range(30):
+        shallow = f'"{shallow}"' if '"' not in shallow else json.dumps(shallow) if len(shallow) < 20_000 else shallow
+    assert rows(spark, shallow) == [(1, 1, 0, "product", 0, "w")]
 
 
 def test_clashing_columns_and_empty_table(spark):
@@ -50,6 +62,25 @@ def test_clashing_columns_and_empty_table(spark):
     assert rows(spark) == [] and rows(spark, json.dumps({"work_products": [PRODUCT]}), None) == EXPECTED
 
 
+def test_numbers_as_written(spark):
+    big = "9" * 60
+    payload = '{"work_products": [{"id": 1.10, "tags_addressed": [1e5, %s, -0.0, {"name": 2.50}]}]}' % big
+    assert [r[5] for r in rows(spark, payload)] == ["1.10", "1e5", big, "-0.0", "2.50"]
+    assert [r[5] for r in rows(spark, '{"work_products": [{"id": "a\\ud800b"}]}')] == ["a\ufffdb"]
+
+
+def test_columns_by_any_spelling(spark, tmp_path):
+    files = [(1, '{"WORK_PRODUCTS": [{"ID": "A", "Title": "T", "mappedPart": 3, "STATUS": "done", "Owner": {"name": "o", "n": 1.50}, "reviewer": null}]}'), (2, '{"work products": [{"id": "B", "mapped-part": "4", "content": "c", "id": "later"}]}')]
+    tables = nested.stored_tables(spark.createDataFrame(files, "file_id long, payload string"), str(tmp_path / "t"))
+    got = {r.id: r.asDict() for r in tables["product"].collect()}
+    assert (got["A"]["title"], got["A"]["mapped_part"], got["A"]["status"], got["A"]["content"]) == ("T", "3", "done", None)
+    assert got["A"]["others"] == {"owner": '{"name": "o", "n": 1.50}', "reviewer": None}
+    assert (got["B"]["mapped_part"], got["B"]["content"], got["B"]["others"]) == ("4", "c", {})
+    spec = nested.NestedSpec(columns=("owner",), values={})
+    own = nested.stored_tables(spark.createDataFrame(files, "file_id long, payload string"), str(tmp_path / "u"), spec)
+    assert list(own) == ["product"] and {r.owner for r in own["product"].collect()} == {'{"name": "o", "n": 1.50}', None}
+
+
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, json.dumps({"work_products": [PRODUCT | {"title": "T"}]}))], "file_id long, payload string")
     nested.write_tables(nested.emit_tagged(df), str(tmp_path / "t"))

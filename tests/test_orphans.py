@@ -45,6 +45,13 @@ def test_runs_are_compressed(spark):
     assert runs == [(1, 3, 3), (5, 6, 2), (9, 9, 1)]
 
 
+def test_numbers_beyond_64_bits(spark):
+    long = "9" * 20
+    p3 = [clause(1, "3", "5.1", [f"5.{long}", f"{long}.1", "5.1"]), clause(2, "3", f"5.{long}"), clause(3, "3", "6.1")]
+    wps = [product(10, f"WP-{long}", links=[(None, f"WP-{long}", None)])]
+    assert found(spark, p3, [], wps) == [("cross", 1, 1, "missing", "2024-01"), ("cross", 1, 2, "missing", "2024-01"), ("trace", 10, 1, "missing", "2024-02")]
+
+
 def test_empty(spark):
     assert found(spark, [], [], []) == []
     assert found(spark, [clause(1, "3", "5.1", ["7.7"])], [], []) == [("cross", 1, 1, "missing", "2024-01")]

@@ -17,6 +17,7 @@ Defined results
 * several parents of one number: present if one is, deleted only if all are;
 * a source without a standard: its references to sections are missing; a parent without one or
   without a part is never meant;
+* numbers beyond 64 bits are no key: a reference to one is missing, a record with one is never meant;
 * loaded_at equal to the source's isn't late; a null loaded_at of a parent is never late;
 * empty tables: no rows (no parents at all: every reference is missing);
 * columns beside those named below are ignored.
@@ -36,8 +37,9 @@ ID_NUMBER = r"(?i)(?<![\p{L}\d])WP[\s_\- ]*(\d+)"
 
 def section_code(standard: Column, part: Column, section: Column) -> tuple[Column, Column]:
     """(block, integer) of a section number of two or more levels."""
-    levels = F.transform(F.split(section, r"\."), lambda x: x.cast("bigint"))
-    last = F.element_at(levels, -1)
+    levels = F.transform(F.split(section, r"\."), lambda x: x.try_cast("bigint"))
+    # a level beyond 64 bits: no block, so nothing is found there
+    last = F.when(F.forall(levels, lambda x: x.isNotNull()), F.element_at(levels, -1))
     head = F.array_join(F.slice(levels, 1, F.size(levels) - 1).cast("array<string>"), ".")
     bar = F.lit("|")
     return F.concat(standard, bar, part, bar, head, bar, F.shiftright(last, 6).cast("string")), last
@@ -109,7 +111,7 @@ def section_references(products: DataFrame) -> DataFrame:
 def link_references(products: DataFrame) -> DataFrame:
     """traceability_links.to in the same form."""
     x = products.select("wp_key", "loaded_at", F.posexplode(F.col("traceability_links.to")).alias("p", "ref"))
-    x = x.withColumn("num", _number(F.col("ref"), ID_NUMBER)).filter(F.col("num").isNotNull())
+    x = x.withColumn("num", _number(F.col("ref"), ID_NUMBER)).filter(F.regexp_extract("ref", ID_NUMBER, 1) != "")
     block, n = number_code(F.col("num"))
     return _refs(x, "traceability_links.to", "wp_key", block, n)
 

@@ -9,16 +9,18 @@ from traceloom.operators import nested, orphans
 from traceloom.session import scratch_path, table
 
 
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return nested.stored_tables(table(spark, sf_dir, "raw_user_docs"), scratch_path(spark, "nested"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.nested_rows(table(spark, sf_dir, "raw_user_docs"))
+    return nested.nested_rows(_tables(spark, sf_dir))
 
 
 def p1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The emission written by tag, read back as typed tables: rows and links of each."""
-    emitted = nested.emit_tagged(table(spark, sf_dir, "raw_user_docs"))
-    nested.write_tables(emitted, path := scratch_path(spark, "nested"))
-    tables = nested.apply_schemas(spark.read.parquet(path))
-    products = tables["product"].select("file_id", "wp_no", "title", "status")
+    """Rows of the typed tables and of their links, by kind and status."""
+    tables = _tables(spark, sf_dir)
+    products = tables["product"].select("file_id", "wp_no", "status")
     out = None
     for tag, t in tables.items():
         if tag != "product":
