@@ -41,6 +41,9 @@ def main(sf_dir, only):
     import __spark_entry__ as e
     from traceloom.session import local_session
 
+    from pyspark.sql import SparkSession
+
+    SparkSession.builder.config("spark.ui.showConsoleProgress", "false")
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     sqls, bad = e.oracle_sql(), 0

@@ -35,6 +35,33 @@ def test_ratio_and_bounds(spark):
         assert r.r <= r.s + 1e-9 <= r.u + 2e-9
 
 
+def test_likeness_is_difflib():
+    import random
+
+    from traceloom.functions.likeness import Prepared, likeness
+
+    rng = random.Random(5)
+    for size, letters in ((30, "ab "), (150, "abcdefgh "), (500, "aaaabbbcc defghijklmnop"), (700, "the unit shall brake z")):
+        for _ in range(60):
+            a, b = ("".join(rng.choices(letters, k=rng.randint(0, size))) for _ in range(2))
+            if rng.random() < 0.5:
+                b = b[: len(b) // 2] + a[len(a) // 3 :]
+            assert likeness(a, Prepared(b)) == difflib.SequenceMatcher(None, a, b).ratio(), (a, b)
+
+
+def test_terms_are_bounded_as_written(spark):
+    terms = ["hazard analysis", "fault tree", "fault tree analysis", "c++", "+x", "end-to-end", "fmea", ""]
+    find = lambda t: one(spark, T.terms_in_text(F.col("t"), terms), t=t)
+    assert find("Hazard. Analysis of a fault\n\ntree") == [] and find("HAZARD ANALYSIS: a fault tree analysis") == ["fault tree", "fault tree analysis", "hazard analysis"]
+    assert find("c++ code") == [] and find("c++11") == ["c++"] and find("a+x b") == ["+x"] and find("an end-to-end test, xfmea, fmea_1, éfmea") == ["end-to-end"]
+    assert find(None) is None and find("") == [] and one(spark, T.terms_in_text(F.col("t"), []), t="x") == []
+
+
+def test_emphasised_acronyms(spark):
+    tags = lambda t: one(spark, T.tags_in_text(F.col("t")), t=t)
+    assert tags("a *can* bus, **fmea** and _spi_; CAN, SPI and __CPU__") == ["CAN", "FMEA", "SPI"]
+
+
 def test_clause_texts(spark):
     assert [one(spark, T.clause_class(F.col("t")), t=t) for t in ("it shall", "it Should", "may be", "NOTE x", "shallow", "")] == ["requirement", "recommendation", "permission", "guideline", "overview", "overview"]
     assert one(spark, T.notes_in_text(F.col("t")), t="Body. NOTE 1 First  one\nEXAMPLE second") == ["First one", "second"]

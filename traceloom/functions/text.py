@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from traceloom.functions import vocabulary as V
+from traceloom.functions.likeness import Prepared, likeness
 
 
 def tokens(text: Column, stopwords: Sequence[str] = V.STOPWORDS) -> Column:
@@ -55,15 +56,14 @@ def is_concept(tag: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff/Obershelp likeness of two texts, in this order (it isn't symmetric)."""
+    last, prepared = "", Prepared("")
     for a, b in pairs:
-        matcher = difflib.SequenceMatcher(None)
-        out, last = [], object()
+        out = []
         for x, y in zip(a, b):
-            if y != last:
-                matcher.set_seq2(y or "")
-                last = y
-            matcher.set_seq1(x or "")
-            out.append(matcher.ratio())
+            if (y or "") != last:
+                last = y or ""
+                prepared = Prepared(last)
+            out.append(likeness(x or "", prepared))
         yield pd.Series(out, dtype="float64")
 
 
@@ -105,23 +105,42 @@ def clause_class(text: Column) -> Column:
     )
 
 
+# How file names and titles name a part.
+PART_IN_NAME = (r"(?i)part[_\s-]*(\d+)", r"26262[_-](\d+)", r"\d{4,5}[_-](\d{1,2})")
+PART_IN_TEXT = (r"Part\s+(\d+)", r"ISO[/_\s]+(?:DIS[/_\s]+)?\d+-(\d+)")
+# How texts name levels, notes, references, clauses and traces.
+LEVEL_PATTERN = r"(?i)ASIL\s*[:(]?\s*([A-D][\s,A-D\-&/]*[A-D]?)"
+NOTE_PATTERN = r"(?i)(?:NOTE\s*\d*|EXAMPLES?)\s+"
+REFERENCE_PATTERN = r"(?i)(?:see|in accordance with|according to|per)\s+([^.;:]+)"
+REFERENCE_PART, REFERENCE_SECTION = r"Part\s+(\d+)", r"(?:Clause|Section)?\s+(\d+\.\d+(?:\.\d+)?)"
+_SECTION_NUMBER = r"([0-9]+(?:\.[0-9]+)*)"
+CLAUSE_PATTERNS = (
+    rf"(?i)(?:ISO|IEC)\s+\d+(?:-\d+)?\s+{_SECTION_NUMBER}",
+    rf"(?i)(?:clause|section|per|subsection|sub-section)\s+{_SECTION_NUMBER}",
+    rf"(?i)(?:requires?|satisfies?|per|derived?\s+from|traced?\s+to|mapped?\s+to)\s+{_SECTION_NUMBER}",
+)
+TRACE_TAIL = r"\s+([A-Za-z0-9\s\-_]+?)(?:[.,;\n]|$)"
+TRACE_FROM = (r"(?i)(?:derives?|derived)\s+from",)
+TRACE_TO = (r"(?i)(?:traced?|traces)\s+to", r"(?i)satisfies?", r"(?i)verified?\s+by")
+
+
 def part_number(text: Column, file_name: Column) -> Column:
     """The part a standard's file or title names, '' if none."""
-    found = [F.nullif(F.regexp_extract(file_name, p, 1), F.lit("")) for p in (r"(?i)part[_\s-]*(\d+)", r"26262[_-](\d+)", r"\d{4,5}[_-](\d{1,2})")]
-    found += [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (r"Part\s+(\d+)", r"ISO[/_\s]+(?:DIS[/_\s]+)?\d+-(\d+)")]
+    found = [F.nullif(F.regexp_extract(file_name, p, 1), F.lit("")) for p in PART_IN_NAME]
+    found += [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in PART_IN_TEXT]
     return F.coalesce(*found, F.lit(""))
 
 
 def level_in_text(text: Column) -> Column:
     """The level or range of levels a text names, '' if none."""
-    found = F.trim(F.regexp_extract(text, r"(?i)ASIL\s*[:(]?\s*([A-D][\s,A-D\-&/]*[A-D]?)", 1))
+    found = F.trim(F.regexp_extract(text, LEVEL_PATTERN, 1))
     return F.coalesce(F.regexp_replace(F.regexp_replace(found, r"\s+", " "), r"[()\[\]]", ""), F.lit(""))
 
 
 def notes_in_text(text: Column) -> Column:
     """The texts of NOTE and EXAMPLE blocks, white space collapsed, at most 300 characters each."""
-    marked = F.regexp_replace(text, r"(?i)(?:NOTE\s*\d*|EXAMPLES?)\s+", "\u0001")
-    parts = F.slice(F.split(marked, "\u0001"), 2, 100_000)
+    marked = F.regexp_replace(text, NOTE_PATTERN, "\u0001")
+    parts = F.filter(F.split(marked, "\u0001"), lambda x, i: i > 0)
     clean = F.transform(parts, lambda x: F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, 300))
     return F.filter(clean, lambda x: x != "")
 
@@ -129,39 +148,51 @@ def notes_in_text(text: Column) -> Column:
 def references_in_text(text: Column) -> Column:
     """(part, section, context) of phrases like 'see Part 3, 7.4'; the context ends at a full
     stop, so dotted sections are cut, as in the format this follows."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)(?:see|in accordance with|according to|per)\s+([^.;:]+)"), 1)
-    parts = F.transform(found, lambda c: F.struct(F.regexp_extract(c, r"Part\s+(\d+)", 1).alias("part"), F.regexp_extract(c, r"(?:Clause|Section)?\s+(\d+\.\d+(?:\.\d+)?)", 1).alias("section"), F.substring(F.trim(c), 1, 100).alias("context")))
+    found = F.regexp_extract_all(text, F.lit(REFERENCE_PATTERN), 1)
+    parts = F.transform(found, lambda c: F.struct(F.regexp_extract(c, REFERENCE_PART, 1).alias("part"), F.regexp_extract(c, REFERENCE_SECTION, 1).alias("section"), F.substring(F.trim(c), 1, 100).alias("context")))
     return F.filter(parts, lambda x: x.part != "")
 
 
 def clauses_in_text(text: Column) -> Column:
     """Section numbers after a standard's number or words like clause, per, satisfies; sorted."""
-    number = r"([0-9]+(?:\.[0-9]+)*)"
-    found = [
-        rf"(?i)(?:ISO|IEC)\s+\d+(?:-\d+)?\s+{number}",
-        rf"(?i)(?:clause|section|per|subsection|sub-section)\s+{number}",
-        rf"(?i)(?:requires?|satisfies?|per|derived?\s+from|traced?\s+to|mapped?\s+to)\s+{number}",
-    ]
-    return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), 1) for p in found])))
+    return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), 1) for p in CLAUSE_PATTERNS])))
+
+
+_IN_WORD = r"[\p{L}\p{N}_]"
+
+
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
 
 
 def _term_pattern(terms: Sequence[str]) -> str:
-    """The longest term at each start of a word, by a tree over first letters. A look-ahead, so
-    that terms inside others are found too."""
-    by_letter: dict[str, list[str]] = {}
-    for t in sorted(terms, key=lambda t: (-len(t), t)):
-        by_letter.setdefault(t[0], []).append(t[1:])
-    return r"(?<![a-z0-9])(?=((?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_letter.items()) + r")(?![a-z0-9])))"
+    """The longest term at each place where one may begin, by trees over first letters. A term is
+    bounded as a word is: where it begins or ends with a letter or digit none may adjoin, where with
+    another character one must. A look-ahead, so that terms inside others are found too."""
+    escape = lambda t: re.sub(r"([^\w\s])", r"\\\1", t)
+    end = lambda t: f"(?!{_IN_WORD})" if _in_word(t[-1]) else f"(?={_IN_WORD})"
+    trees = []
+    for inside in (True, False):
+        by_letter: dict[str, list[str]] = {}
+        for t in sorted((t for t in terms if _in_word(t[0]) == inside), key=lambda t: (-len(t), t)):
+            by_letter.setdefault(t[0], []).append(escape(t[1:]) + end(t))
+        if by_letter:
+            tree = "|".join(f"{escape(first)}(?:{'|'.join(rest)})" for first, rest in by_letter.items())
+            trees.append(f"(?<{'!' if inside else '='}{_IN_WORD})(?:{tree})")
+    return f"(?=({'|'.join(trees)}))"
 
 
 def terms_in_text(text: Column, terms: Sequence[str]) -> Column:
-    """Terms (of letters, digits and blanks) that stand in a text as whole words, sorted. One
-    regular expression finds the longest at each word; terms it begins with are there as well."""
-    terms = sorted(set(terms))
-    plain = F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
-    found = F.array_distinct(F.regexp_extract_all(plain, F.lit(_term_pattern(terms)), 1))
-    nested = {t: [p for p in terms if t == p or t.startswith(p + " ")] for t in terms}
-    several = {t: ps for t, ps in nested.items() if len(ps) > 1}
+    """Terms (in lower case) that stand in a text as written, whatever its case, and bounded as
+    words, sorted. One regular expression finds the longest at each place; whether a term it begins
+    with is bounded there as well is known beforehand."""
+    terms = sorted({t for t in terms if t})
+    if not terms:
+        return F.when(text.isNotNull(), F.array().cast("array<string>"))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_term_pattern(terms)), 1))
+    known = set(terms)
+    heads = {t: [t[:n] for n in range(1, len(t)) if t[:n] in known and _in_word(t[n - 1]) != _in_word(t[n])] + [t] for t in terms}
+    several = {t: ps for t, ps in heads.items() if len(ps) > 1}
     if several:
         more = F.create_map(*[x for t, ps in several.items() for x in (F.lit(t), F.array(*[F.lit(p) for p in ps]))])
         found = F.array_distinct(F.flatten(F.transform(found, lambda t: F.coalesce(F.try_element_at(more, t), F.array(t)))))
@@ -171,21 +202,23 @@ def terms_in_text(text: Column, terms: Sequence[str]) -> Column:
 def traces_in_text(text: Column) -> tuple[Column, Column]:
     """(from, to): what a text says it is derived from, and what it is traced to, satisfies or is
     verified by; without repeats, in order."""
-    tail = r"\s+([A-Za-z0-9\s\-_]+?)(?:[.,;\n]|$)"
-
-    def find(pattern: str) -> Column:
-        return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern + tail), 1), lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) < 200))
+    def find(patterns: Sequence[str]) -> Column:
+        every = F.concat(*[F.regexp_extract_all(text, F.lit(p + TRACE_TAIL), 1) for p in patterns])
+        return F.array_distinct(F.filter(F.transform(every, lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) < 200)))
 
-    return F.array_distinct(find(r"(?i)(?:derives?|derived)\s+from")), F.array_distinct(F.concat(find(r"(?i)(?:traced?|traces)\s+to"), find(r"(?i)satisfies?"), find(r"(?i)verified?\s+by")))
+    return find(TRACE_FROM), find(TRACE_TO)
 
 
 def tags_in_text(text: Column, acronyms: Sequence[str] = V.TAG_ACRONYMS, keywords: Sequence[str] = V.TAG_KEYWORDS) -> Column:
-    """Known acronyms as written, and keywords with a capital letter, sorted."""
+    """Known acronyms as written or emphasised, and keywords with a capital letter, sorted."""
+    marked = F.transform(F.regexp_extract_all(text, F.lit(r"[*_]{1,2}([A-Za-z\s]+?)[*_]{1,2}"), 1), lambda x: F.upper(F.trim(x)))
+    marked = F.array_intersect(marked, F.array(*[F.lit(a) for a in (*acronyms, *V.EMPHASISED_ACRONYMS)]))
     upper = F.array_intersect(F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Z0-9]{2,})\b"), 1), F.array(*[F.lit(a) for a in acronyms]))
     words = F.transform(terms_in_text(text, keywords), lambda x: F.initcap(x))
-    return F.array_sort(F.array_distinct(F.concat(upper, words)))
+    return F.array_sort(F.array_distinct(F.concat(marked, upper, words)))
 
 
+# Lines of converted pages that are no content.
 NOISE_LINES = (
     r"(?i)Normen-Download-Beuth", r"©\s*ISO\s+\d{4}", r"All rights reserved", r"ISO/DIS\s+\d+-\d+:\d{4}", r"^\s*\d+\s*\x{feff}?\s*$", r"DRAFT INTERNATIONAL STANDARD", r"COPYRIGHT PROTECTED DOCUMENT", r"KdNr\.\d+", r"^\s*\x{feff}\s*$",
 )

@@ -34,6 +34,9 @@ TAG_ACRONYMS = (
     "LIN", "DIA", "COTS", "GSN", "CAE", "SRS", "SDD", "STP", "STR", "SVP",
 )
 
+# Acronyms that are tags only where they are emphasised.
+EMPHASISED_ACRONYMS = ("CAN", "SPI")
+
 # Names of analysis and test methods that texts are searched for.
 METHOD_TERMS = (
     "hara", "hazard analysis", "hazard analysis and risk assessment", "fmea", "failure modes and effects analysis", "fmeda",

@@ -88,26 +88,31 @@ def concepts(reqs: DataFrame, arts: DataFrame) -> DataFrame:
     """(std, concept, covered): required concepts, covered by a tag or by a text that holds them."""
     required = R.tag_rows(reqs, "node_ord").select("std", F.col("tag").alias("concept")).distinct()
     tagged = R.tag_rows(arts, "art_ord").select("std", F.col("tag").alias("concept")).distinct()
-    # a concept in a text: its first word must be a piece of one of the text's words
     spoken = text_hits(required.filter(F.length("concept") >= 3), arts, "concept")
     covered = tagged.union(spoken).distinct().withColumn("covered", F.lit(True))
     return required.join(covered, ["std", "concept"], "left").select("std", "concept", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
+_RUN = r"[\p{L}\p{N}]+"
+
+
+def _longest_run(text: Column) -> Column:
+    runs = F.transform(F.regexp_extract_all(text, F.lit(_RUN), 0), lambda x: F.struct(F.length(x).alias("n"), x.alias("word")))
+    return F.coalesce(F.array_max(runs)["word"], F.lit(""))
+
+
 def text_hits(phrases: DataFrame, arts: DataFrame, column: str) -> DataFrame:
     """(std, phrase) of phrases that occur, as substrings, in a text of their standard. Phrases meet
-    only the texts that hold, inside a word, their longest run of letters and digits."""
-    run = F.transform(F.regexp_extract_all(F.lower(F.col(column)), F.lit("[a-z0-9]+"), 0), lambda x: F.struct(F.length(x).alias("n"), x.alias("word")))
-    p = phrases.select("std", column, F.lower(column).alias("__low"), F.substring(F.coalesce(F.array_max(run)["word"], F.lit("")), 1, S.PIECE).alias("__key"))
+    only the texts that hold, inside a word (of any script), their longest run of letters and digits;
+    there they are looked for, in a text that travels once for all of them. The few phrases without any
+    letter or digit meet each text of their standard, by an empty word."""
+    p = phrases.select("std", F.col(column).alias("__phrase"), F.lower(column).alias("__low")).filter("__low <> ''").distinct().withColumn("piece", _longest_run(F.col("__low")))
     texts = arts.select("std", "art_ord", F.lower("full_text").alias("__text"))
-    words = texts.select("std", "art_ord", F.explode(F.array_distinct(F.regexp_extract_all("__text", F.lit("[a-z0-9]+"), 0))).alias("word"))
-    keys = p.filter("__key <> ''").select("std", "__key").distinct()
-    size = F.length("word")
-    low = F.lit(1)
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(low, F.least(F.lit(S.PIECE), size - i + 1)), lambda n: F.substring(F.col("word"), i, n))))
-    held = words.select("std", "word").distinct().select("std", "word", F.explode(pieces).alias("__key")).join(keys, ["std", "__key"], "left_semi").distinct()
-    meet = p.join(held, ["std", "__key"]).join(words, ["std", "word"]).select("std", column, "__low", "art_ord").distinct()
-    return meet.join(texts, ["std", "art_ord"]).filter(F.contains("__text", "__low")).select("std", column).distinct()
+    words = texts.select("std", "art_ord", F.explode(F.array_append(F.array_distinct(F.regexp_extract_all("__text", F.lit(_RUN), 0)), F.lit(""))).alias("word"))
+    held = words.join(S.held_pieces(p, words), "word").select("std", "art_ord", "piece").distinct()
+    wanted = held.join(p, ["std", "piece"]).groupBy("art_ord").agg(F.collect_set(F.struct("__low", "__phrase")).alias("__wanted"))
+    found = texts.join(wanted, "art_ord").select("std", F.explode(F.filter("__wanted", lambda w: F.contains(F.col("__text"), w["__low"]))).alias("w"))
+    return found.select("std", F.col("w.__phrase").alias(column)).distinct()
 
 
 def concept_score(c: DataFrame) -> DataFrame:
@@ -115,8 +120,17 @@ def concept_score(c: DataFrame) -> DataFrame:
 
 
 def concept_findings(c: DataFrame) -> DataFrame:
-    missing = c.filter("not covered").groupBy("std").agg(F.min("concept").alias("first"))
-    return findings(missing, "concept_coverage", F.lit("MISSING_CONCEPTS"), F.lit("WARNING"), F.lit(0), title=F.col("first"))
+    m = missing_concepts(c)
+    return findings(m, "concept_coverage", F.lit("MISSING_CONCEPTS"), F.lit("WARNING"), F.lit(0), title=F.col("concepts"))
+
+
+def missing_concepts(c: DataFrame, shown: int = 30) -> DataFrame:
+    """(std, n_missing, concepts): how many concepts of a standard are missing, and the first of them
+    in order, as many as a finding shows."""
+    x = c.filter("not covered")
+    top = x.withColumn("place", F.row_number().over(Window.partitionBy("std").orderBy("concept"))).filter(F.col("place") <= shown)
+    listed = top.groupBy("std").agg(F.array_join(F.array_sort(F.collect_list("concept")), "; ").alias("concepts"))
+    return x.groupBy("std").agg(F.count(F.lit(1)).alias("n_missing")).join(listed, "std")
 
 
 # ---- layer 5
@@ -138,8 +152,21 @@ def reference_states(edges: DataFrame, arts: DataFrame) -> DataFrame:
     return x.select("std", "node_ord", "edge_ord", "src", "target", F.coalesce("src_ok", F.lit(False)).alias("src_ok"), F.coalesce("target_ok", F.lit(False)).alias("target_ok"))
 
 
-def reference_score(states: DataFrame) -> DataFrame:
+def scored(stds: DataFrame | None, scores: DataFrame, default: float) -> DataFrame:
+    """Scores with a row for each standard: one that a layer has nothing to measure in gets the default."""
+    if stds is None:
+        return scores
+    x = stds.select("std").distinct().join(scores, "std", "left")
+    return x.na.fill(0, [n for n, t in scores.dtypes if t == "bigint"]).withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(default)))
+
+
+def reference_score(states: DataFrame, stds: DataFrame | None = None) -> DataFrame:
+    """Satisfied references by all; with the standards given, 0.0 for one without references."""
     ok = F.count_if(F.col("src_ok") & F.col("target_ok"))
+    return scored(stds, _reference_score(states, ok), 0.0)
+
+
+def _reference_score(states: DataFrame, ok: Column) -> DataFrame:
     return states.groupBy("std").agg(F.count(F.lit(1)).alias("n_edges"), ok.alias("n_satisfied"), share(ok, F.count(F.lit(1))).alias("score"))
 
 
@@ -156,19 +183,23 @@ def method_states(required: DataFrame, arts: DataFrame, fuzzy: bool = True, leas
     the standard say they used, or write about."""
     r = required.select("std", "activity", "method", F.lower("method").alias("m")).distinct()
     used = arts.select("std", F.explode(F.transform("methods", F.lower)).alias("u")).filter(F.col("u").isNotNull()).distinct()
-    hits = r.join(used, (r.std == used.std) & (r.m == used.u), "left_semi").select("std", "m")
-    hits = hits.union(text_hits(r.select("std", "m").distinct(), arts, "m"))
+    names = r.select("std", "m").distinct()
+    hits = names.join(used.withColumnRenamed("u", "m"), ["std", "m"], "left_semi")
+    hits = hits.union(text_hits(names, arts, "m"))
     if fuzzy:
-        left = r.join(hits.distinct(), ["std", "m"], "left_anti").select("std", "m").distinct()
-        # inside each standard; each distinct pair of names is bounded and rated once
-        pairs = left.join(used, "std")
-        names = pairs.select("m", "u").distinct().filter(T.shared_bound(T.letter_counts(F.col("m")), T.letter_counts(F.col("u")), F.length("m"), F.length("u")) >= least)
-        rated = names.withColumn("r", T.ratio("m", "u")).filter(F.col("r") >= least).select("m", "u")
-        hits = hits.union(pairs.join(rated, ["m", "u"], "left_semi").select("std", "m"))
+        # the same names are used in many standards: each pair of names is rated once
+        one = F.lit("").alias("one")
+        pairs = S.alike(r.select(one, F.col("m").alias("a")), used.select(one, F.col("u").alias("b")), least, key="one").select(F.col("a").alias("m"), F.col("b").alias("u"))
+        hits = hits.union(used.join(pairs, "u").select("std", "m"))
     return r.join(hits.distinct().withColumn("hit", F.lit(True)), ["std", "m"], "left").select("std", "activity", "method", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
-def method_score(states: DataFrame) -> DataFrame:
+def method_score(states: DataFrame, stds: DataFrame | None = None) -> DataFrame:
+    """Methods found by all; with the standards given, 100.0 for one that requires none."""
+    return scored(stds, _method_score(states), 100.0)
+
+
+def _method_score(states: DataFrame) -> DataFrame:
     return states.groupBy("std").agg(F.count(F.lit(1)).alias("n_required"), F.count_if("found").alias("n_found"), share(F.count_if("found"), F.count(F.lit(1))).alias("score"))
 
 
@@ -186,7 +217,10 @@ def method_findings(states: DataFrame) -> DataFrame:
 
 def trace_states(rules: Sequence[tuple[int, str, str]], arts: DataFrame) -> DataFrame:
     """(std, rule_ord, from_item, to_item, satisfied): some term of either end occurs in the words
-    of the standard's links. The rules are a short list; each distinct link word meets them once."""
+    of the standard's links. The rules are a short list; each distinct link word meets them once. No
+    rules: no rows (see ``trace_default``)."""
+    if not rules:
+        return arts.limit(0).select("std", F.lit(0).alias("rule_ord"), F.lit("").alias("from_item"), F.lit("").alias("to_item"), F.lit(False).alias("satisfied"))
     rule = F.explode(F.array(*[F.struct(F.lit(n).alias("rule_ord"), F.lit(f).alias("from_item"), F.lit(t).alias("to_item")) for n, f, t in rules])).alias("rule")
     text = F.lower(F.concat_ws(" ", F.col("l.from"), F.col("l.to"), F.col("l.type")))
     links = arts.select("std", F.explode("links").alias("l")).filter(F.col("l").isNotNull()).select("std", text.alias("text"))
@@ -202,6 +236,22 @@ def trace_score(states: DataFrame) -> DataFrame:
     return states.groupBy("std").agg(F.count(F.lit(1)).alias("n_rules"), F.count_if("satisfied").alias("n_satisfied"), share(F.count_if("satisfied"), F.count(F.lit(1))).alias("score"))
 
 
+def linked(arts: DataFrame) -> DataFrame:
+    """(std, linked): whether any artifact of a standard has a link."""
+    return arts.groupBy("std").agg(F.bool_or(F.coalesce(F.size("links"), F.lit(0)) > 0).alias("linked"))
+
+
+def trace_default(arts: DataFrame) -> DataFrame:
+    """Scores where there are no rules: 70.0 for a standard with links, else 0.0."""
+    return linked(arts).select("std", F.lit(0).cast("bigint").alias("n_rules"), F.lit(0).cast("bigint").alias("n_satisfied"), F.when(F.col("linked"), 70.0).otherwise(0.0).alias("score"))
+
+
+def trace_default_findings(arts: DataFrame) -> DataFrame:
+    """Where there are no rules: links without a model, or no links at all."""
+    has = F.col("linked")
+    return findings(linked(arts), "traceability_chain", F.when(has, "NO_TRACEABILITY_MODEL").otherwise("NO_TRACEABILITY_EVIDENCE"), F.when(has, "WARNING").otherwise("CRITICAL"), F.lit(0))
+
+
 def trace_findings(states: DataFrame) -> DataFrame:
     return findings(states.filter("not satisfied"), "traceability_chain", F.lit("MISSING_TRACE_LINK"), F.lit("MAJOR"), F.col("rule_ord"), title=F.concat_ws(" -> ", "from_item", "to_item"))
 
@@ -278,7 +328,8 @@ def weighted_scores(scores: DataFrame) -> DataFrame:
 
 
 def overall(scores: DataFrame) -> DataFrame:
-    x = weighted_scores(scores).groupBy("std").agg(F.sum("contribution").alias("raw"))
+    # to a millionth, so that the order in which parts are added can't move a grade
+    x = weighted_scores(scores).groupBy("std").agg(F.round(F.sum("contribution"), 6).alias("raw"))
     return x.select("std", "raw", F.round("raw", 1).alias("score"), grade(F.col("raw")).alias("grade"))
 
 
@@ -292,15 +343,8 @@ def named_ids(all_findings: DataFrame) -> DataFrame:
 
 def held_ids(parts: DataFrame, ids: DataFrame) -> DataFrame:
     """(std, part, id) of the parts (std, part) that occur, as substrings, in an id (std, id) of their
-    standard. A part meets only the ids that hold, inside a word, its longest run of letters, digits and dots."""
-    word = F.lit("[A-Za-z0-9.]+")
-    run = F.transform(F.regexp_extract_all("part", word, 0), lambda x: F.struct(F.length(x).alias("n"), x.alias("word")))
-    p = parts.distinct().withColumn("__key", F.substring(F.coalesce(F.array_max(run)["word"], F.lit("")), 1, S.PIECE)).filter("__key <> ''")
-    words = ids.distinct().select("std", "id", F.explode(F.array_distinct(F.regexp_extract_all("id", word, 0))).alias("word"))
-    size = F.length("word")
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(S.PIECE), size - i + 1)), lambda n: F.substring(F.col("word"), i, n))))
-    held = words.select("std", "word").distinct().select("std", "word", F.explode(F.array_distinct(pieces)).alias("__key"))
-    return p.join(held, ["std", "__key"]).join(words, ["std", "word"]).filter(F.contains("id", "part")).select("std", "part", "id").distinct()
+    standard. A part meets only the ids that hold its first characters."""
+    return S.words_with(parts.select("std", F.col("part").alias("piece")), ids.select("std", F.col("id").alias("word"))).select("std", F.col("piece").alias("part"), F.col("word").alias("id"))
 
 
 def findings_by_claim(arts: DataFrame, all_findings: DataFrame) -> DataFrame:
@@ -313,25 +357,37 @@ def findings_by_claim(arts: DataFrame, all_findings: DataFrame) -> DataFrame:
     return x.join(named, ["std", "ids"]).groupBy("std", "art_ord").agg(F.sum("n").alias("n_findings"), F.sum("n_critical").alias("n_critical"), F.sum("n_major").alias("n_major"))
 
 
-def register(arts: DataFrame, all_findings: DataFrame, by_part: bool = True) -> DataFrame:
+def register(arts: DataFrame, all_findings: DataFrame) -> DataFrame:
     """One row for each artifact: counts, sizes and the state its findings give it. A finding
-    belongs to the artifacts that map part of an id it names; without ``by_part``, its very node."""
-    if by_part:
-        counted = findings_by_claim(arts, all_findings)
-    else:
-        counted = (
-            R.claims(arts).select("std", "art_ord", "node_id").distinct().join(all_findings.filter("node_id is not null").select("std", "node_id", "severity"), ["std", "node_id"])
-            .groupBy("std", "art_ord").agg(F.count(F.lit(1)).alias("n_findings"), F.count_if(F.col("severity") == "CRITICAL").alias("n_critical"), F.count_if(F.col("severity") == "MAJOR").alias("n_major"))
-        )
+    belongs to the artifacts that map part of an id it names."""
+    counted = findings_by_claim(arts, all_findings)
     x = arts.join(counted, ["std", "art_ord"], "left").na.fill(0, ["n_findings", "n_critical", "n_major"])
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     state = F.when(F.trim("full_text") == "", "Missing").when(F.col("n_critical") > 0, "Not Compliant").when(F.col("n_major") > 0, "Partially Compliant").when(size("mapped") > 0, "Compliant").otherwise("N/A")
-    return x.select("std", "art_ord", "art_id", "title", "n_findings", "n_critical", "n_major", size("mapped").alias("n_mapped"), size("tags").alias("n_tags"), size("methods").alias("n_methods"), F.length("full_text").alias("n_chars"), state.alias("state"), F.concat("n_critical", F.lit("C / "), "n_major", F.lit("M")).alias("counts"))
+    return x.select("std", "art_ord", "art_id", "title", "n_findings", "n_critical", "n_major", size("mapped").alias("n_mapped"), F.coalesce(F.array_join(F.slice("mapped", 1, 50), "; "), F.lit("")).alias("mapped"), size("tags").alias("n_tags"), size("methods").alias("n_methods"), F.length("full_text").alias("n_chars"), state.alias("state"), F.concat("n_critical", F.lit("C / "), "n_major", F.lit("M")).alias("counts"))
+
+
+def register_by_id(rows: DataFrame) -> DataFrame:
+    """Register rows looked up by an artifact's id: of several artifacts with one id the first."""
+    w = Window.partitionBy("std", "art_id").orderBy("art_ord")
+    return rows.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+
+
+def inferred_groups(scores: DataFrame, groups: DataFrame, least: float = 40.0) -> DataFrame:
+    """(std, node_id, group_key): groups that a section with a good score points to: its id holds the
+    group's name or begins with its number. ``scores`` is (std, node_id, score) in percent."""
+    ids = scores.filter(F.col("score") > least).select("std", "node_id").filter(F.col("node_id").isNotNull()).distinct()
+    g = groups.select("std", "group_key").distinct()
+    held = S.words_with(g.select("std", F.col("group_key").alias("piece")), ids.select("std", F.col("node_id").alias("word"))).select("std", F.col("word").alias("node_id"), F.col("piece").alias("group_key"))
+    size = F.length("node_id")
+    heads = ids.filter(size > 0).select("std", "node_id", F.explode(F.transform(F.sequence(F.lit(1), size), lambda n: F.substring(F.col("node_id"), F.lit(1), n))).alias("number"))
+    first = heads.join(g.withColumn("number", F.replace("group_key", F.lit("part_"))), ["std", "number"]).select("std", "node_id", "group_key")
+    return held.union(first).distinct()
 
 
 def trace_matrix(arts: DataFrame) -> DataFrame:
     """(std, art_ord, node_id, verified): one row for each artifact and section it maps."""
-    return arts.select("std", "art_ord", F.explode(F.array_distinct("mapped")).alias("node_id"), (F.coalesce(F.size("methods"), F.lit(0)) > 0).alias("verified")).filter(F.col("node_id").isNotNull())
+    return arts.select("std", "art_ord", F.explode(F.array_distinct("mapped")).alias("node_id"), (F.coalesce(F.size("methods"), F.lit(0)) > 0).alias("verified"), F.coalesce(F.array_join(F.slice("methods", 1, 5), "; "), F.lit("")).alias("verified_by")).filter(F.col("node_id").isNotNull())
 
 
 def orphan_requirements(reqs: DataFrame, arts: DataFrame) -> DataFrame:
@@ -344,10 +400,12 @@ def orphan_artifacts(arts: DataFrame) -> DataFrame:
 
 def trace_coverage(reqs: DataFrame, arts: DataFrame) -> DataFrame:
     n = reqs.groupBy("std").agg(F.count(F.lit(1)).alias("n_requirements"))
-    t = R.claims(arts).groupBy("std").agg(F.countDistinct("node_id").alias("n_traced"))
-    c = trace_matrix(arts).groupBy("std").agg(F.count(F.lit(1)).alias("n_chains"), F.count_if("verified").alias("n_verified"))
-    x = n.join(t, "std", "left").join(c, "std", "left").na.fill(0)
-    return x.select("std", "n_requirements", "n_traced", "n_chains", "n_verified", F.least(F.lit(100.0), share(F.col("n_traced"), F.col("n_requirements"))).alias("coverage"))
+    a = arts.groupBy("std").agg(F.count(F.lit(1)).alias("n_artifacts"), F.count_if(F.coalesce(F.size(F.array_compact("mapped")), F.lit(0)) > 0).alias("n_with_traces"))
+    c = trace_matrix(arts).groupBy("std", "node_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("verified").alias("v"))
+    c = c.groupBy("std").agg(F.count(F.lit(1)).alias("n_traced"), F.sum("n").alias("n_chains"), F.sum("v").alias("n_verified"))
+    o = orphan_requirements(reqs, arts).groupBy("std").agg(F.count(F.lit(1)).alias("n_orphans"))
+    x = n.join(a, "std", "left").join(c, "std", "left").join(o, "std", "left").na.fill(0)
+    return x.select("std", "n_requirements", "n_traced", "n_artifacts", "n_with_traces", "n_chains", "n_verified", F.col("n_orphans").alias("n_orphan_requirements"), (F.col("n_artifacts") - F.col("n_with_traces")).alias("n_orphan_artifacts"), F.least(F.lit(100.0), share(F.col("n_traced"), F.col("n_requirements"))).alias("coverage"))
 
 
 def severity_histogram(all_findings: DataFrame) -> DataFrame:
@@ -362,6 +420,39 @@ def heat_map(all_findings: DataFrame) -> DataFrame:
     return all_findings.groupBy(F.coalesce("group_key", F.lit("unknown")).alias("group_key")).pivot("severity", list(SEVERITY_ORDER)).count().na.fill(0)
 
 
+def gap_heat_map(all_findings: DataFrame, gaps: DataFrame, k: int = 10) -> DataFrame:
+    """Findings of each standard's gravest gaps by severity."""
+    keyed = all_findings.select("std", F.coalesce("node_id", "activity", "layer").alias("gap_key"), F.coalesce("severity", F.lit("INFO")).alias("severity"))
+    top = top_gaps(gaps, k).select("std", "gap_key", "place")
+    return keyed.join(top, ["std", "gap_key"]).groupBy("std", "place", "gap_key").pivot("severity", list(SEVERITY_ORDER)).count().na.fill(0)
+
+
+def matrix_summary(states: DataFrame) -> DataFrame:
+    """(std, n_missing, n_partial, n_compliant): distinct sections that are missing or partial, the rest."""
+    x = states.groupBy("std", "node_id").agg(F.bool_or(F.col("state") == "missing").alias("m"), F.bool_or(F.col("state") == "partial").alias("p"))
+    g = x.groupBy("std").agg(F.count_if("m").alias("n_missing"), F.count_if("p").alias("n_partial"))
+    n = states.groupBy("std").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(g, "std").select("std", "n_missing", "n_partial", F.greatest(F.lit(0), F.col("n") - F.col("n_missing") - F.col("n_partial")).cast("bigint").alias("n_compliant"))
+
+
+def appendix(all_findings: DataFrame, k: int = 100) -> DataFrame:
+    """The first k findings of each standard by severity, then in the order they were found."""
+    w = Window.partitionBy("std").orderBy(severity_rank(F.col("severity")), "layer_ord", "finding_ord", F.coalesce("activity", F.lit("")))
+    x = all_findings.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return x.select("std", "place", "severity", "layer", "type", F.coalesce("node_id", "activity", "layer").alias("about"))
+
+
+def layer_stats(all_findings: DataFrame) -> DataFrame:
+    """(layer, n, n_critical, n_major): findings of each layer."""
+    return all_findings.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "CRITICAL").alias("n_critical"), F.count_if(F.col("severity") == "MAJOR").alias("n_major"))
+
+
+def gap_advice(gaps: DataFrame, lines: DataFrame, absent: str = "Review and close this gap.") -> DataFrame:
+    """(std, gap_key, advice): each gap with the recommendation whose line names it, else a default."""
+    named = lines.select("std", F.regexp_extract("line", r"^\[\w+\] (.*?): ", 1).alias("gap_key"), F.regexp_extract("line", r"^\[\w+\] .*?: (.*)$", 1).alias("advice"))
+    return gaps.select("std", "gap_key").join(named.dropDuplicates(["std", "gap_key"]), ["std", "gap_key"], "left").select("std", "gap_key", F.coalesce("advice", F.lit(absent)).alias("advice"))
+
+
 def findings_by_part(all_findings: DataFrame) -> DataFrame:
     x = all_findings.groupBy(F.coalesce("group_key", F.lit("unknown")).alias("group_key"))
     health = F.when(F.col("n") == 0, "green").when(F.col("n_critical") > 0, "red").otherwise("amber")

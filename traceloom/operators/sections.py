@@ -42,6 +42,7 @@ def is_layout_text(text: Column) -> Column:
     return ~F.exists(first, lambda l: l.startswith("#")) & (F.size(deep) > 10)
 
 
+# Headings of converted pages, and lines of a table of contents.
 _HEAD = re.compile(r"^\s+(?:(?:Annex\s+([A-Z](?:\.\d+)*))|(\d+(?:\.\d+)*)|([A-Z](?:\.\d+)+))\s+([A-Z][A-Za-z].*?)\s*$")
 _SHORT_HEAD = re.compile(r"^\s+(\d{1,2})\s{2,}([A-Z][A-Za-z].*?)(?:\s*\.+\s*\d+)?\s*$")
 _CONTENTS = re.compile(r"\.{3,}\s*\d+\s*$")

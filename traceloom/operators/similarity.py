@@ -1,24 +1,27 @@
-"""Text likeness inside a standard: TF-IDF cosine as an inverted-index join, fuzzy ratios behind
-exact bounds, containment of terms.
+"""Text likeness inside a standard: TF-IDF cosine as an inverted-index join, fuzzy ratios in
+bounded blocks, containment of terms.
 
 The cosine never pairs a requirement with an artifact that shares no term: pairs arise from an
-equi-join on (std, term). Each vector is computed once. Fuzzy ratios run only where a bound that
-no ratio can exceed still allows the best one.
+equi-join on (std, term). Fuzzy ratios have to see each pair, so the rows of either side of a
+standard are spread over blocks of bounded size and blocks meet blocks: a row travels once for
+each block of the other side, not once for each pair, and no group grows with the data.
 """
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions import text as T
+from traceloom.functions.likeness import Prepared, likeness
 
-#: Longest piece of a word that is listed.
-PIECE = 48
+#: Sizes of the pieces of words that substrings are looked up by.
+GRAMS = (6, 3, 2, 1)
+#: Rows of one side in a block, on average.
+BLOCK = 256
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -40,91 +43,139 @@ def inverse_document_frequency(arts: DataFrame, counts: DataFrame) -> DataFrame:
 
 def alignment(node_rows: DataFrame, arts: DataFrame) -> DataFrame:
     """(std, node_ord, sim): the best cosine of a requirement with any artifact of its standard, 0
-    if none shares a term."""
+    if none shares a term. Vectors get unit length before they meet, row by row, so that no pair has
+    to look its lengths up."""
     a_counts = term_counts(arts, "art_ord", "full_text")
     idf = inverse_document_frequency(arts, a_counts)
-    a = a_counts.join(idf, ["std", "term"]).select("std", "art_ord", "term", (F.col("n") / F.col("n_all") * F.col("idf")).alias("w"))
-    n = term_counts(node_rows, "node_ord", "node_text").join(idf, ["std", "term"], "left").select("std", "node_ord", "term", (F.col("n") / F.col("n_all") * F.coalesce("idf", F.lit(1.0))).alias("w"))
-    # unit vectors before the join, so that no pair has to look its lengths up
-    def unit(x: DataFrame, key: str, name: str) -> DataFrame:
-        length = x.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-        return x.join(length, key).select("std", key, "term", F.coalesce(F.try_divide("w", "length"), F.lit(0.0)).alias(name))
-
-    # node_ord and art_ord are unique over all standards
-    pairs = unit(n, "node_ord", "wn").join(unit(a, "art_ord", "wa"), ["std", "term"])
+
+    def unit(counts: DataFrame, key: str, weight: Column, name: str) -> DataFrame:
+        x = counts.join(idf, ["std", "term"], "left").select("std", key, F.struct("term", (F.col("n") / F.col("n_all") * weight).alias("w")).alias("t"))
+        x = x.groupBy(key, "std").agg(F.collect_list("t").alias("ts"))  # the terms of one row
+        length = F.sqrt(F.aggregate("ts", F.lit(0.0), lambda s, t: s + t.w * t.w))
+        x = x.select("std", key, F.explode("ts").alias("t"), length.alias("length"))
+        return x.select("std", key, "t.term", F.coalesce(F.try_divide(F.col("t.w"), F.col("length")), F.lit(0.0)).alias(name))
+
+    # a term without an idf (of no artifact) weighs 1 in a requirement; node_ord and art_ord are unique over all standards
+    n = unit(term_counts(node_rows, "node_ord", "node_text"), "node_ord", F.coalesce("idf", F.lit(1.0)), "wn")
+    pairs = n.join(unit(a_counts, "art_ord", F.col("idf"), "wa"), ["std", "term"])
     cosines = pairs.groupBy("node_ord", "art_ord").agg(F.sum(F.col("wn") * F.col("wa")).alias("cosine"))
     best = cosines.groupBy("node_ord").agg(F.max("cosine").alias("best"))
     return node_rows.select("std", "node_ord").join(best, "node_ord", "left").select("std", "node_ord", F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)).alias("sim"))
 
 
-#: Running maxima kept at a time in one task (they are emitted and begun again beyond it).
-MAXIMA_KEPT = 200_000
+def blocked(left: DataFrame, right: DataFrame, key: str, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK) -> DataFrame:
+    """``run`` over all pairs of blocks of two tables of the same ``key``, as a cogroup. A key of n and
+    m rows gives about n/block x m/block groups, so a key that holds a third of all rows is spread."""
+    def bins(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+    counts = bins(left, "__nl").join(bins(right, "__nr"), key)
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        x = df.join(counts, key).withColumn(own, F.pmod(F.xxhash64(*df.columns), F.col(own.replace("__b", "__n"))).cast("int"))
+        return x.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other.replace("__b", "__n")) - 1))).drop("__nl", "__nr")
+
+    group = [key, "__bl", "__br"]
+    # the work is in the pairs, not in the bytes by which adaptive execution would join partitions:
+    # a number of its own keeps them, more than usual since blocks differ in weight
+    n = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x, y = (spread(df, *names).repartition(n, *group).groupBy(*group) for df, names in ((left, ("__bl", "__br")), (right, ("__br", "__bl"))))
+    return x.cogroup(y).applyInArrow(run, schema)
 
 
 def best_ratio(node_rows: DataFrame, arts: DataFrame, prefix: int = 500) -> DataFrame:
     """(std, node_ord, ratio): the best fuzzy likeness of a requirement's text with an artifact's.
 
-    Only the prefix counts, as defined for this measure. Pairs stay inside a standard. They come
-    from one equi-join, artifact by artifact, so the matcher prepares each artifact once; bounds
-    that no ratio exceeds skip pairs that can't raise a requirement's maximum so far. Maxima are
-    merged by an aggregation, so a standard may be spread over many tasks.
+    Only the prefix counts, as defined for this measure. Equal texts are rated once; in a block
+    each artifact's text is prepared once, and pairs that by their lengths can't raise a
+    requirement's maximum so far are passed over. Maxima are merged by an aggregation.
     """
-    n = node_rows.select("std", "node_ord", F.lower(F.substring(F.coalesce("text", F.lit("")), 1, prefix)).alias("a"))
-    b = arts.select("std", F.lower(F.substring("full_text", 1, prefix)).alias("b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            keys = list(best)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(best.values()), pa.float64())], names=["std", "node_ord", "best"])
-            best.clear()
-            return out
-
-        best: dict[tuple, float] = {}
-        matcher, last = difflib.SequenceMatcher(None), None
-        for batch in batches:
-            for std, node, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                if y != last:
-                    matcher.set_seq2(y)
-                    last = y
-                key, floor = (std, node), best.get((std, node), -1.0)
-                size = len(x) + len(y)
-                if size and 2.0 * min(len(x), len(y)) / size <= floor:
+    n = node_rows.select("std", F.lower(F.substring(F.coalesce("text", F.lit("")), 1, prefix)).alias("a"), "node_ord")
+    b = arts.select("std", F.lower(F.substring("full_text", 1, prefix)).alias("b")).distinct()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["std", "a", "best"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"std": pa.array([], pa.string()), "a": pa.array([], pa.string()), "best": pa.array([], pa.float64())})
+        texts = left["a"].to_pylist()
+        best = [-1.0] * len(texts)
+        for y in right["b"].to_pylist():
+            prepared, m = None, len(y)
+            for i, x in enumerate(texts):
+                size = len(x) + m
+                if size and 2.0 * min(len(x), m) / size <= best[i]:
+                    continue
+                prepared = prepared or Prepared(y)
+                r = likeness(x, prepared)
+                if r > best[i]:
+                    best[i] = r
+        return pa.table([left["std"], left["a"], pa.array(best, pa.float64())], names=names)
+
+    found = blocked(n.select("std", "a").distinct(), b, "std", run, "std string, a string, best double").groupBy("std", "a").agg(F.max("best").alias("best"))
+    return n.join(found, ["std", "a"], "left").select("std", "node_ord", F.coalesce("best", F.lit(0.0)).alias("ratio"))
+
+
+def alike(left: DataFrame, right: DataFrame, least: float, strict: bool = False, key: str = "std") -> DataFrame:
+    """(key, a, b) of the texts (key, a) and (key, b) that are alike: a ratio of ``least`` or more, or
+    ``strict``: above it."""
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        texts, keys, found = x["a"].to_pylist(), x[key].to_pylist(), []
+        for b in y["b"].to_pylist():
+            m, prepared = len(b), None
+            for k, a in zip(keys, texts):
+                n = len(a)
+                bound = 2.0 * min(n, m) / (n + m) if n + m else 1.0
+                if bound < least or strict and bound == least:
                     continue
-                matcher.set_seq1(x)
-                if floor < 0 or matcher.quick_ratio() > floor:
-                    best[key] = max(floor, matcher.ratio())
-            if len(best) > MAXIMA_KEPT:
-                yield flush()
-        yield flush()
+                prepared = prepared or Prepared(b)
+                r = likeness(a, prepared)
+                if r > least or not strict and r == least:
+                    found.append((k, a, b))
+        columns = zip(*found) if found else ([], [], [])
+        return pa.table([pa.array(c, pa.string()) for c in columns], names=[key, "a", "b"])
 
-    pairs = b.join(n, "std").select("std", "node_ord", "a", "b")
-    found = pairs.mapInArrow(run, "std string, node_ord bigint, best double").groupBy("std", "node_ord").agg(F.max("best").alias("best"))
-    return node_rows.select("std", "node_ord").join(found, ["std", "node_ord"], "left").select("std", "node_ord", F.coalesce("best", F.lit(0.0)).alias("ratio"))
+    return blocked(left.select(key, "a").distinct(), right.select(key, "b").distinct(), key, run, f"{key} string, a string, b string")
 
 
 def title_matches(node_rows: DataFrame, arts: DataFrame, least: float = 0.6) -> DataFrame:
     """(std, node_ord) of requirements whose title is like an artifact's; each distinct pair of
     titles of a standard is rated once."""
     n = node_rows.select("std", "node_ord", F.lower(F.coalesce("title", F.lit(""))).alias("a"))
-    b = arts.select("std", F.lower("title").alias("b")).distinct()
-    distinct = n.select("std", "a").distinct().join(b, "std")
-    near = distinct.filter(T.shared_bound(T.letter_counts(F.col("a")), T.letter_counts(F.col("b")), F.length("a"), F.length("b")) > least).withColumn("r", T.ratio("a", "b"))
-    return n.join(near.filter(F.col("r") > least).select("std", "a").distinct(), ["std", "a"], "left_semi").select("std", "node_ord")
+    return n.join(alike(n, arts.select("std", F.lower("title").alias("b")), least, strict=True).select("std", "a").distinct(), ["std", "a"], "left_semi").select("std", "node_ord")
+
+
+def held_pieces(pieces: DataFrame, words: DataFrame) -> DataFrame:
+    """(piece, word): the words that hold a piece. A piece meets the words that hold its first
+    characters, six, three, two or one of them; the empty piece meets the empty word only."""
+    size = F.length("piece")
+    first = F.col("piece")
+    for g in reversed(GRAMS):
+        first = F.when(size >= g, F.substring("piece", 1, g)).otherwise(first)
+    p = pieces.select("piece").distinct().withColumn("__gram", first)
+    n = F.length("word")
+
+    def pieces_of(g: int) -> Column:
+        return F.when(n >= g, F.transform(F.sequence(F.lit(1), n - g + 1), lambda i: F.substring(F.col("word"), i, F.lit(g)))).otherwise(F.array().cast("array<string>"))
+
+    every = F.when(n == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.flatten(F.array(*[pieces_of(g) for g in GRAMS]))))
+    grams = words.select("word").distinct().select("word", F.explode(every).alias("__gram"))
+    return p.join(grams, "__gram").filter(F.contains("word", "piece")).select("piece", "word")
+
+
+def words_with(pieces: DataFrame, words: DataFrame) -> DataFrame:
+    """(std, piece, word): the words (std, word) of a standard that hold a piece (std, piece) of it.
+    Pieces and words meet once over all standards; each standard then keeps its own."""
+    own = pieces.filter("piece <> ''").select("std", "piece").distinct()
+    spoken = words.filter("word <> ''").select("std", "word").distinct()
+    return spoken.join(held_pieces(own, spoken), "word").join(own, ["std", "piece"], "left_semi").select("std", "piece", "word")
 
 
 def containment(node_rows: DataFrame, arts: DataFrame) -> DataFrame:
     """(std, node_ord, share): which share of a requirement's distinct terms occurs, as substrings,
     in any artifact text of its standard. A term of letters and digits lies inside one word, so distinct
-    terms are looked up among the pieces of distinct words."""
+    terms are looked up among distinct words."""
     terms = node_rows.select("std", "node_ord", F.explode(F.array_distinct(T.tokens(F.col("node_text")))).alias("term"))
     words = arts.select("std", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("full_text"), F.lit("[a-z0-9]+"), 0))).alias("word")).distinct()
-    # all pieces of a word that a term can be, so that containment is an equi-join; the few terms
-    # longer than PIECE are compared with the words longer than it
-    size = F.length("word")
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.transform(F.sequence(F.lit(3), F.least(F.lit(PIECE), size - i + 1)), lambda n: F.substring(F.col("word"), i, n))))
-    short = words.filter(size >= 3).select("std", F.explode(pieces).alias("term")).distinct()
-    wanted = terms.select("std", "term").distinct()
-    long = wanted.filter(F.length("term") > PIECE).join(words.filter(size > PIECE), "std").filter(F.contains("word", "term")).select("std", "term").distinct()
-    hit = wanted.join(short, ["std", "term"], "left_semi").unionAll(long).withColumn("hit", F.lit(1))
+    hit = words_with(terms.select("std", F.col("term").alias("piece")), words).select("std", F.col("piece").alias("term")).distinct().withColumn("hit", F.lit(1))
     x = terms.join(hit, ["std", "term"], "left")
     return x.groupBy("std", "node_ord").agg((F.count("hit") / F.count(F.lit(1))).alias("share"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from traceloom.functions import vocabulary as V
 from traceloom.operators import layers as L
 from traceloom.operators import requirements as R
 from traceloom.operators import similarity as S
-from traceloom.session import table
+from traceloom.session import stored, table
 
 SCALE = ("A", "B", "C", "D")
 TARGET = "B"
@@ -102,7 +104,7 @@ concepts AS (SELECT n.std, n.concept, (t.concept IS NOT NULL OR s.concept IS NOT
 """
 _METHODS = """required AS (
   SELECT DISTINCT std, list_last(string_split(name, ' ')) AS activity, name AS method FROM (SELECT DISTINCT std FROM nodes) s
-  JOIN (SELECT * FROM term_catalog WHERE kind = 'method') c ON c.entry_id % 7 = CAST(right(std, 7) AS BIGINT) % 7),
+  CROSS JOIN (SELECT * FROM term_catalog WHERE kind = 'method') c),
 used AS (SELECT DISTINCT std, lower(u) AS u FROM (SELECT std, unnest(methods) AS u FROM arts) WHERE u IS NOT NULL),
 method_states AS (
   SELECT r.std, activity, method, (u.u IS NOT NULL OR EXISTS (SELECT 1 FROM arts a WHERE a.std = r.std AND contains(lower(a.full_text), lower(r.method)))) AS found
@@ -118,24 +120,25 @@ _FINDINGS = """unmatched AS (SELECT std, activity, count(*) AS n_missing, array_
 findings AS (
   SELECT 'node_coverage' AS layer, 1 AS layer_ord, std, node_ord AS finding_ord, CASE state WHEN 'missing' THEN 'MISSING_COVERAGE' ELSE 'PARTIAL_COVERAGE' END AS type, CASE state WHEN 'missing' THEN 'CRITICAL' ELSE 'WARNING' END AS severity, node_id, group_key, title, NULL AS activity FROM states WHERE state <> 'full'
   UNION ALL SELECT 'content_alignment', 2, std, node_ord, 'LOW_CONTENT_ALIGNMENT', CASE WHEN sim < 0.05 THEN 'MAJOR' ELSE 'WARNING' END, node_id, group_key, title, NULL FROM reqs JOIN sims USING (std, node_ord) WHERE sim < 0.15
-  UNION ALL SELECT 'concept_coverage', 4, std, 0, 'MISSING_CONCEPTS', 'WARNING', NULL, NULL, min(concept), NULL FROM concepts WHERE NOT covered GROUP BY std
+  UNION ALL SELECT 'concept_coverage', 4, std, 0, 'MISSING_CONCEPTS', 'WARNING', NULL, NULL, array_to_string(list_slice(list_sort(list(concept)), 1, 30), '; '), NULL FROM concepts WHERE NOT covered GROUP BY std
   UNION ALL SELECT 'reference_integrity', 5, std, node_ord * 1000 + edge_ord, 'BROKEN_REFERENCE', 'MAJOR', list_last(string_split(src, ':')), split_part(src, ':', 1), target, NULL FROM edge_states WHERE NOT (src_ok AND target_ok)
   UNION ALL SELECT 'method_audit', 6, std, 0, 'MISSING_METHOD', severity, NULL, NULL, methods, activity FROM unmatched
   UNION ALL SELECT 'traceability_chain', 7, std, rule_ord, 'MISSING_TRACE_LINK', 'MAJOR', NULL, NULL, from_item || ' -> ' || to_item, NULL FROM rule_states WHERE NOT satisfied),
 gaps AS (
   SELECT std, coalesce(node_id, activity, layer) AS gap_key, count(*) AS n_findings,
          CAST(sum(CASE severity WHEN 'CRITICAL' THEN 10 WHEN 'MAJOR' THEN 5 WHEN 'WARNING' THEN 2 ELSE 1 END) AS BIGINT) AS base_risk,
-         min(CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'MAJOR' THEN 2 WHEN 'WARNING' THEN 3 ELSE 4 END) AS rank, min(layer_ord * 1000000000000000 + finding_ord) AS seen
+         min(CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'MAJOR' THEN 2 WHEN 'WARNING' THEN 3 ELSE 4 END) AS rank, min(layer_ord * 1000000000000000 + finding_ord) AS seen, list(DISTINCT type) AS types
   FROM findings GROUP BY 1, 2),
 ranked AS (SELECT *, CAST(base_risk * 2 AS DOUBLE) AS weighted_risk, row_number() OVER (PARTITION BY std ORDER BY base_risk DESC, seen, gap_key) AS place FROM gaps),
 """
-_SCORES = """scores AS (
+_SCORES = """raw_scores AS (
   SELECT std, 'node_coverage' AS layer, round(100.0 * (count(*) FILTER (state = 'full') + 0.5 * count(*) FILTER (state = 'partial')) / count(*), 1) AS score FROM states GROUP BY 1
   UNION ALL SELECT std, 'content_alignment', round(100 * avg(sim), 1) FROM sims GROUP BY 1
   UNION ALL SELECT std, 'concept_coverage', round(100.0 * count(*) FILTER (covered) / count(*), 1) FROM concepts GROUP BY 1
-  UNION ALL SELECT std, 'reference_integrity', round(100.0 * count(*) FILTER (src_ok AND target_ok) / count(*), 1) FROM edge_states GROUP BY 1
+  UNION ALL SELECT n.std, 'reference_integrity', round(100.0 * count(*) FILTER (src_ok AND target_ok) / greatest(count(e.std), 1), 1) FROM (SELECT DISTINCT std FROM nodes) n LEFT JOIN edge_states e USING (std) GROUP BY 1
   UNION ALL SELECT std, 'method_audit', round(100.0 * count(*) FILTER (found) / count(*), 1) FROM method_states GROUP BY 1
   UNION ALL SELECT std, 'traceability_chain', round(100.0 * count(*) FILTER (satisfied) / count(*), 1) FROM rule_states GROUP BY 1),
+scores AS (SELECT s.std, l.layer, coalesce(r.score, CASE l.layer WHEN 'method_audit' THEN 100.0 ELSE 0.0 END) AS score FROM (SELECT DISTINCT std FROM nodes) s CROSS JOIN (SELECT DISTINCT layer FROM raw_scores) l LEFT JOIN raw_scores r ON r.std = s.std AND r.layer = l.layer),
 weights AS (SELECT * FROM (VALUES ('node_coverage', 0.20, 1), ('content_alignment', 0.15, 2), ('semantic_matching', 0.10, 3), ('concept_coverage', 0.10, 4), ('reference_integrity', 0.15, 5), ('method_audit', 0.10, 6), ('traceability_chain', 0.20, 7)) w(layer, weight, layer_ord)),
 weighted AS (SELECT std, layer, layer_ord, score, CAST(weight AS DOUBLE) AS weight, score * CAST(weight AS DOUBLE) AS contribution FROM scores JOIN weights USING (layer)),
 """
@@ -143,67 +146,102 @@ _ALL = REQS + _CLAIMS + _SIMS + _SHARE + _STATES + _EDGES + _CONCEPTS + _METHODS
 
 
 class Model:
-    """The frames that queries share, built lazily. Without ``whole`` it is the part that the SQL
-    says: no fuzzy ratios, and of each standard only the methods whose number fits its own."""
+    """The frames that queries share, built lazily. Without ``fuzzy`` it is the part that SQL can say:
+    no fuzzy ratios, so no layer 3, no alike titles in layer 1 and no alike method names in layer 6."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = True):
-        self.spark, self.whole = spark, whole
+    def __init__(self, spark: SparkSession, sf_dir: str, fuzzy: bool = True):
+        self.spark, self.fuzzy = spark, fuzzy
         self.nodes = R.nodes(table(spark, sf_dir, "part_3_concept"), table(spark, sf_dir, "part_4_system"))
         self.arts = R.artifacts(table(spark, sf_dir, "sample_user_doc_v2"))
-        self.reqs = R.applicable(self.nodes, TARGET, SCALE, GROUPS)
         self.catalog = table(spark, sf_dir, "term_catalog")
+        self.rules, self.target, self.scale, self.groups = RULES, TARGET, SCALE, GROUPS
+        self.made: dict[str, DataFrame] = {}
+
+    @property
+    def reqs(self) -> DataFrame:
+        return R.applicable(self.nodes, self.target, self.scale, self.groups)
+
+    def shared(self) -> Model:
+        """Nodes and artifacts deduplicated once for all layers; kept as far as memory goes, then on
+        disk, and computed again where an executor is lost."""
+        self.nodes, self.arts = self.nodes.persist(), self.arts.persist()
+        return self
 
     def states(self) -> DataFrame:
-        return L.coverage(self.reqs, self.arts, self.whole)
+        return L.coverage(self.reqs, self.arts, self.fuzzy)
 
     def sims(self) -> DataFrame:
         return S.alignment(self.reqs, self.arts)
 
+    def ratios(self) -> DataFrame:
+        return S.best_ratio(self.reqs, self.arts)
+
     def concepts(self) -> DataFrame:
         return L.concepts(self.reqs, self.arts)
 
+    def stds(self) -> DataFrame:
+        return self.nodes.select("std").distinct()
+
     def edges(self) -> DataFrame:
         return L.reference_states(L.reference_edges(self.nodes), self.arts)
 
     def required(self) -> DataFrame:
-        if self.whole:
-            methods = self.catalog.filter("kind = 'method'").select(F.element_at(F.split("name", " "), -1).alias("activity"), F.col("name").alias("method"))
-            return self.nodes.select("std").distinct().crossJoin(F.broadcast(methods))
-        stds = self.nodes.select("std").distinct().withColumn("k", F.right("std", F.lit(7)).cast("bigint") % 7)
-        methods = self.catalog.filter("kind = 'method'").select(F.element_at(F.split("name", " "), -1).alias("activity"), F.col("name").alias("method"), (F.col("entry_id") % 7).alias("k"))
-        return stds.join(methods, "k").select("std", "activity", "method")
+        """Every method of the catalog, of every standard. The catalog is a fixed table."""
+        methods = self.catalog.filter("kind = 'method'").select(F.element_at(F.split("name", " "), -1).alias("activity"), F.col("name").alias("method"))
+        return self.stds().crossJoin(F.broadcast(methods))
 
     def methods(self) -> DataFrame:
-        return L.method_states(self.required(), self.arts, self.whole)
-
-    def rules(self) -> DataFrame:
-        return L.trace_states(RULES, self.arts)
+        return L.method_states(self.required(), self.arts, self.fuzzy)
+
+    def traces(self) -> DataFrame:
+        return L.trace_states(self.rules, self.arts)
+
+    def layers(self) -> dict[str, DataFrame]:
+        """The rows of each layer, by its name: narrow tables, written once, from which scores and
+        findings are made. The layers are independent jobs and run side by side."""
+        if not self.made:
+            m = self.shared()
+            made = {"node_coverage": m.states, "content_alignment": m.sims, "semantic_matching": m.ratios, "concept_coverage": m.concepts, "reference_integrity": m.edges, "method_audit": m.methods, "traceability_chain": m.traces}
+            if not m.fuzzy:
+                del made["semantic_matching"]
+            with ThreadPoolExecutor(len(made)) as pool:
+                frames = pool.map(lambda x: stored(x[1](), f"layer-{x[0]}"), made.items())
+                self.made = dict(zip(made, frames))
+        return self.made
 
     def findings(self) -> DataFrame:
-        parts = [L.coverage_findings(self.states()), L.alignment_findings(self.reqs, self.sims()), L.concept_findings(self.concepts()), L.reference_findings(self.edges()), L.method_findings(self.methods()), L.trace_findings(self.rules())]
-        if self.whole:
-            parts.insert(2, L.semantic_findings(self.reqs, S.best_ratio(self.reqs, self.arts)))
+        t, reqs = self.layers(), self.reqs
+        traces = L.trace_findings(t["traceability_chain"]) if self.rules else L.trace_default_findings(self.arts)
+        parts = [L.coverage_findings(t["node_coverage"]), L.alignment_findings(reqs, t["content_alignment"]), L.concept_findings(t["concept_coverage"]), L.reference_findings(t["reference_integrity"]), L.method_findings(t["method_audit"]), traces]
+        if self.fuzzy:
+            parts.insert(2, L.semantic_findings(reqs, t["semantic_matching"]))
         return L.united(*parts)
 
     def scores(self) -> DataFrame:
-        parts = {"node_coverage": L.coverage_score(self.states()), "content_alignment": L.mean_score(self.sims(), "sim"), "concept_coverage": L.concept_score(self.concepts()), "reference_integrity": L.reference_score(self.edges()), "method_audit": L.method_score(self.methods()), "traceability_chain": L.trace_score(self.rules())}
-        if self.whole:
-            parts["semantic_matching"] = L.mean_score(S.best_ratio(self.reqs, self.arts), "ratio")
-        return L.united(*[p.select("std", F.lit(n).alias("layer"), F.col("score").cast("double").alias("score")) for n, p in parts.items()])
+        t, stds = self.layers(), self.stds()
+        traces = L.trace_score(t["traceability_chain"]) if self.rules else L.trace_default(self.arts)
+        parts = {"node_coverage": L.coverage_score(t["node_coverage"]), "content_alignment": L.mean_score(t["content_alignment"], "sim"), "concept_coverage": L.concept_score(t["concept_coverage"]), "reference_integrity": L.reference_score(t["reference_integrity"]), "method_audit": L.method_score(t["method_audit"]), "traceability_chain": traces}
+        if self.fuzzy:
+            parts["semantic_matching"] = L.mean_score(t["semantic_matching"], "ratio")
+        # a standard that a layer has nothing to measure in gets that layer's default
+        every = {n: L.scored(stds, p, 100.0 if n == "method_audit" else 0.0) for n, p in parts.items()}
+        return L.united(*[p.select("std", F.lit(n).alias("layer"), "score") for n, p in every.items()])
 
     def gaps(self) -> DataFrame:
-        return L.gap_groups(self.findings(), L.level_multiplier(TARGET, SCALE))
+        return L.gap_groups(self.findings(), L.level_multiplier(self.target, self.scale))
 
 
-def query(sql: str | None = None, whole: bool = False):
-    """Register a function of the model, and its SQL. Beside SQL it gets the part of the model that
-    the SQL says; ``whole`` registers it once more, as NAME_whole over the whole model."""
+def query(sql: str | None = None, fuzzy: bool = False):
+    """Register a function of the model, and its SQL. ``fuzzy``: the query depends on fuzzy ratios, which
+    SQL can't compute; it is whole and has no SQL, and NAME_exact, without the ratios, has it."""
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir, f=f: f(Model(spark, sf_dir, whole=not sql))
+        QUERIES[f.__name__] = lambda spark, sf_dir, f=f: f(Model(spark, sf_dir))
+        name = f.__name__
+        if fuzzy:
+            name += "_exact"
+            QUERIES[name] = lambda spark, sf_dir, f=f: f(Model(spark, sf_dir, fuzzy=False))
         if sql:
-            ORACLE[f.__name__] = sql
-        if whole:
-            QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir, f=f: f(Model(spark, sf_dir))
+            ORACLE[name] = sql
         return f
 
     return add
@@ -233,17 +271,13 @@ def valid_concepts(m):
     return t.select("tag", T.is_concept(F.col("tag")).alias("valid"))
 
 
-@query(f"SELECT doc_id, len(ts) AS n_tokens, len(list_distinct(ts)) AS n_distinct FROM (SELECT doc_id, coalesce({_tokens('text')}, []) AS ts FROM documents)")
-def tokenize_documents(m):
-    raise NotImplementedError
-
-
-def _tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")).alias("ts"))
     return ts.select("doc_id", F.size("ts").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("ts")).cast("bigint").alias("n_distinct"))
 
 
-QUERIES["tokenize_documents"] = _tokenize
+QUERIES["tokenize_documents"] = tokenize_documents
+ORACLE["tokenize_documents"] = f"SELECT doc_id, len(ts) AS n_tokens, len(list_distinct(ts)) AS n_distinct FROM (SELECT doc_id, coalesce({_tokens('text')}, []) AS ts FROM documents)"
 
 
 @query(REQS + _SIMS + "x AS (SELECT 1) SELECT std, art_ord, term, round(n / n_all, 6) AS tf FROM ac")
@@ -271,7 +305,7 @@ def alignment_findings(m):
 
 @query(None)
 def semantic_matching(m):
-    return S.best_ratio(m.reqs, m.arts)
+    return m.ratios()
 
 
 @query(None)
@@ -284,7 +318,7 @@ def term_containment(m):
     return S.containment(m.reqs, m.arts).select("std", "node_ord", F.round("share", 6).alias("share"))
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT std, node_ord, node_id, state FROM states")
+@query(_ALL + "x AS (SELECT 1) SELECT std, node_ord, node_id, state FROM states", fuzzy=True)
 def claim_coverage(m):
     return m.states().select("std", "node_ord", "node_id", "state")
 
@@ -294,7 +328,7 @@ def node_coverage(m):
     return m.states()
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT std, count(*) AS n_requirements, CAST(count(*) FILTER (state = 'full') + 0.5 * count(*) FILTER (state = 'partial') AS DOUBLE) AS covered, round(100.0 * (count(*) FILTER (state = 'full') + 0.5 * count(*) FILTER (state = 'partial')) / count(*), 1) AS score FROM states GROUP BY 1", whole=True)
+@query(_ALL + "x AS (SELECT 1) SELECT std, count(*) AS n_requirements, CAST(count(*) FILTER (state = 'full') + 0.5 * count(*) FILTER (state = 'partial') AS DOUBLE) AS covered, round(100.0 * (count(*) FILTER (state = 'full') + 0.5 * count(*) FILTER (state = 'partial')) / count(*), 1) AS score FROM states GROUP BY 1", fuzzy=True)
 def coverage_score(m):
     return L.coverage_score(m.states()).withColumn("score", F.col("score").cast("double"))
 
@@ -314,9 +348,9 @@ def concept_missing(m):
     return m.concepts().filter("not covered").select("std", "concept")
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT std, count(*) AS n_edges, count(*) FILTER (src_ok AND target_ok) AS n_satisfied, round(100.0 * count(*) FILTER (src_ok AND target_ok) / count(*), 1) AS score FROM edge_states GROUP BY 1")
+@query(_ALL + "x AS (SELECT 1) SELECT n.std, count(e.std) AS n_edges, count(*) FILTER (src_ok AND target_ok) AS n_satisfied, round(100.0 * count(*) FILTER (src_ok AND target_ok) / greatest(count(e.std), 1), 1) AS score FROM (SELECT DISTINCT std FROM nodes) n LEFT JOIN edge_states e USING (std) GROUP BY 1")
 def reference_integrity(m):
-    return L.reference_score(m.edges()).withColumn("score", F.col("score").cast("double"))
+    return L.reference_score(m.edges(), m.stds())
 
 
 @query(_ALL + "x AS (SELECT 1) SELECT std, node_ord, edge_ord, src, target, src_ok, target_ok FROM edge_states WHERE NOT (src_ok AND target_ok)")
@@ -324,30 +358,30 @@ def broken_references(m):
     return m.edges().filter(~(F.col("src_ok") & F.col("target_ok")))
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT std, activity, method, found FROM method_states", whole=True)
+@query(_ALL + "x AS (SELECT 1) SELECT std, activity, method, found FROM method_states", fuzzy=True)
 def method_hits(m):
     return m.methods()
 
 
-@query(None)
+@query(_ALL + "x AS (SELECT 1) SELECT std, count(*) AS n_required, count(*) FILTER (found) AS n_found, round(100.0 * count(*) FILTER (found) / count(*), 1) AS score FROM method_states GROUP BY 1", fuzzy=True)
 def method_audit(m):
-    return L.method_score(m.methods())
+    return L.method_score(m.methods(), m.stds())
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT std, activity, n_missing, methods, severity FROM unmatched", whole=True)
+@query(_ALL + "x AS (SELECT 1) SELECT std, activity, n_missing, methods, severity FROM unmatched", fuzzy=True)
 def unmatched_methods_by_activity(m):
     return L.unmatched_by_activity(m.methods())
 
 
 @query(_ALL + "x AS (SELECT 1) SELECT std, rule_ord, from_item, to_item, satisfied FROM rule_states")
 def traceability_chain(m):
-    return m.rules()
+    return m.traces()
 
 
 # ---- traceability tables
 
 
-@query(REQS + _CLAIMS + "x AS (SELECT 1) SELECT DISTINCT std, art_ord, node_id, coalesce(len(methods), 0) > 0 AS verified FROM claims")
+@query(REQS + _CLAIMS + "x AS (SELECT 1) SELECT DISTINCT std, art_ord, node_id, coalesce(len(methods), 0) > 0 AS verified, coalesce(array_to_string(methods[1:5], '; '), '') AS verified_by FROM claims")
 def trace_matrix(m):
     return L.trace_matrix(m.arts)
 
@@ -362,9 +396,11 @@ def orphan_artifacts(m):
     return L.orphan_artifacts(m.arts)
 
 
-@query(REQS + _CLAIMS + """n AS (SELECT std, count(*) AS n_requirements FROM reqs GROUP BY 1), t AS (SELECT std, count(DISTINCT node_id) AS n_traced FROM claims GROUP BY 1),
+@query(REQS + _CLAIMS + """n AS (SELECT std, count(*) AS n_requirements FROM reqs GROUP BY 1), t AS (SELECT std, count(DISTINCT node_id) AS n_traced, count(DISTINCT art_ord) AS n_with FROM claims GROUP BY 1), a AS (SELECT std, count(*) AS n_artifacts FROM arts GROUP BY 1),
+o AS (SELECT std, count(*) AS n_orphans FROM (SELECT DISTINCT std, node_id FROM reqs ANTI JOIN claims USING (std, node_id)) GROUP BY 1),
 c AS (SELECT std, count(*) AS n_chains, count(*) FILTER (verified) AS n_verified FROM (SELECT DISTINCT std, art_ord, node_id, coalesce(len(methods), 0) > 0 AS verified FROM claims) GROUP BY 1)
-SELECT std, n_requirements, coalesce(n_traced, 0) AS n_traced, coalesce(n_chains, 0) AS n_chains, coalesce(n_verified, 0) AS n_verified, least(100.0, round(100.0 * coalesce(n_traced, 0) / greatest(n_requirements, 1), 1)) AS coverage FROM n LEFT JOIN t USING (std) LEFT JOIN c USING (std)""")
+SELECT std, n_requirements, coalesce(n_traced, 0) AS n_traced, coalesce(n_artifacts, 0) AS n_artifacts, coalesce(n_with, 0) AS n_with_traces, coalesce(n_chains, 0) AS n_chains, coalesce(n_verified, 0) AS n_verified, coalesce(n_orphans, 0) AS n_orphan_requirements, coalesce(n_artifacts, 0) - coalesce(n_with, 0) AS n_orphan_artifacts,
+least(100.0, round(100.0 * coalesce(n_traced, 0) / greatest(n_requirements, 1), 1)) AS coverage FROM n LEFT JOIN t USING (std) LEFT JOIN a USING (std) LEFT JOIN c USING (std) LEFT JOIN o USING (std)""")
 def trace_coverage(m):
     return L.trace_coverage(m.reqs, m.arts).withColumn("coverage", F.col("coverage").cast("double"))
 
@@ -378,12 +414,12 @@ def trace_chains_by_artifact(m):
 # ---- findings and gaps
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT layer, type, severity, count(*) AS n, count(DISTINCT std) AS n_standards FROM findings GROUP BY ALL", whole=True)
+@query(_ALL + "x AS (SELECT 1) SELECT layer, type, severity, count(*) AS n, count(DISTINCT std) AS n_standards FROM findings GROUP BY ALL", fuzzy=True)
 def findings_union(m):
     return m.findings().groupBy("layer", "type", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("std").alias("n_standards"))
 
 
-@query(_ALL + "x AS (SELECT severity, count(*) AS n FROM findings GROUP BY 1) SELECT severity, n, round(100.0 * n / sum(n) OVER (), 1) AS share FROM x", whole=True)
+@query(_ALL + "x AS (SELECT severity, count(*) AS n FROM findings GROUP BY 1) SELECT severity, n, round(100.0 * n / sum(n) OVER (), 1) AS share FROM x", fuzzy=True)
 def severity_histogram(m):
     return L.severity_histogram(m.findings()).withColumn("share", F.col("share").cast("double"))
 
@@ -391,77 +427,139 @@ def severity_histogram(m):
 _GAP = "std, gap_key, n_findings, base_risk, weighted_risk, ['CRITICAL', 'MAJOR', 'WARNING', 'INFO'][rank] AS worst, CASE WHEN weighted_risk >= 80 THEN 'HIGH' WHEN weighted_risk >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS priority"
 
 
-@query(_ALL + f"x AS (SELECT 1) SELECT {_GAP} FROM ranked", whole=True)
+@query(_ALL + f"x AS (SELECT 1) SELECT {_GAP} FROM ranked", fuzzy=True)
 def gap_groups(m):
     return m.gaps().select("std", "gap_key", "n_findings", "base_risk", "weighted_risk", "worst", "priority")
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT std, place, gap_key, weighted_risk FROM ranked WHERE place <= 10", whole=True)
+@query(_ALL + "x AS (SELECT 1) SELECT std, place, gap_key, weighted_risk FROM ranked WHERE place <= 10", fuzzy=True)
 def gap_topk(m):
     return L.top_gaps(m.gaps()).select("std", F.col("place").cast("bigint").alias("place"), "gap_key", "weighted_risk")
 
 
-@query(None)
+_LINE = """'[' || CASE WHEN weighted_risk >= 80 THEN 'HIGH' WHEN weighted_risk >= 20 THEN 'MEDIUM' ELSE 'LOW' END || '] ' || gap_key || ': ' || concat_ws(' ', CASE WHEN list_has_any(types, ['MISSING_COVERAGE', 'PARTIAL_COVERAGE']) THEN 'Add or finish a work product.' END,
+CASE WHEN list_has_any(types, ['LOW_CONTENT_ALIGNMENT', 'LOW_SEMANTIC_MATCH']) THEN 'Say what the clause asks for.' END, CASE WHEN list_contains(types, 'MISSING_METHOD') THEN 'Apply the missing methods.' END, CASE WHEN list_has_any(types, ['BROKEN_REFERENCE', 'MISSING_TRACE_LINK']) THEN 'Complete the links.' END, CASE WHEN list_contains(types, 'MISSING_CONCEPTS') THEN 'Address the missing concepts.' END)"""
+
+
+@query(_ALL + f"x AS (SELECT 1) SELECT std, place, gap_key, {_LINE} AS line FROM ranked WHERE place <= 10", fuzzy=True)
 def gap_recommendations(m):
-    return L.recommendations(m.gaps())
+    return L.recommendations(m.gaps()).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query(_ALL + f"l AS (SELECT std, gap_key, substring({_LINE}, 1) AS line FROM ranked WHERE place <= 10) SELECT r.std, r.gap_key, coalesce(substring(line, position(r.gap_key || ': ' IN line) + length(r.gap_key) + 2), 'Review and close this gap.') AS advice FROM ranked r LEFT JOIN l USING (std, gap_key)", fuzzy=True)
+def gap_advice(m):
+    gaps = m.gaps()
+    return L.gap_advice(gaps, L.recommendations(gaps))
+
+
+@query(_ALL + """k AS (SELECT std, coalesce(node_id, activity, layer) AS gap_key, severity FROM findings) SELECT std, place, gap_key, count(*) FILTER (severity = 'CRITICAL') AS CRITICAL, count(*) FILTER (severity = 'MAJOR') AS MAJOR, count(*) FILTER (severity = 'WARNING') AS WARNING, count(*) FILTER (severity = 'INFO') AS INFO FROM k JOIN ranked USING (std, gap_key) WHERE place <= 10 GROUP BY 1, 2, 3""", fuzzy=True)
+def gap_heatmap(m):
+    return L.gap_heat_map(m.findings(), m.gaps()).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query(_ALL + """p AS (SELECT *, row_number() OVER (PARTITION BY std ORDER BY CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'MAJOR' THEN 2 WHEN 'WARNING' THEN 3 ELSE 4 END, layer_ord, finding_ord, coalesce(activity, '')) AS place FROM findings) SELECT std, place, severity, layer, type, coalesce(node_id, activity, layer) AS about FROM p WHERE place <= 100""", fuzzy=True)
+def findings_appendix(m):
+    """The appendix of findings: the limit of 100 is the report's."""
+    return L.appendix(m.findings()).withColumn("place", F.col("place").cast("bigint"))
+
 
+@query(_ALL + "x AS (SELECT 1) SELECT layer, count(*) AS n, count(*) FILTER (severity = 'CRITICAL') AS n_critical, count(*) FILTER (severity = 'MAJOR') AS n_major FROM findings GROUP BY 1", fuzzy=True)
+def layer_stats(m):
+    return L.layer_stats(m.findings())
 
-@query(_ALL + "x AS (SELECT 1) SELECT std, CAST(round(sum(weighted_risk), 1) AS DOUBLE) AS total_risk FROM ranked GROUP BY 1", whole=True)
+
+@query(_ALL + "x AS (SELECT 1) SELECT std, node_id, finding_ord, severity FROM findings WHERE type = 'MISSING_COVERAGE'", fuzzy=True)
+def missing_coverage(m):
+    """The findings of one kind that other sections of a report are made from."""
+    return m.findings().filter("type = 'MISSING_COVERAGE'").select("std", "node_id", "finding_ord", "severity")
+
+
+@query(_ALL + "x AS (SELECT 1) SELECT std, CAST(round(sum(weighted_risk), 1) AS DOUBLE) AS total_risk FROM ranked GROUP BY 1", fuzzy=True)
 def total_risk(m):
     return m.gaps().groupBy("std").agg(F.round(F.sum("weighted_risk"), 1).alias("total_risk"))
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT CASE WHEN weighted_risk >= 80 THEN 'HIGH' WHEN weighted_risk >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS priority, count(*) AS n FROM ranked GROUP BY 1", whole=True)
+@query(_ALL + "x AS (SELECT 1) SELECT CASE WHEN weighted_risk >= 80 THEN 'HIGH' WHEN weighted_risk >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS priority, count(*) AS n FROM ranked GROUP BY 1", fuzzy=True)
 def priority_banding(m):
     return m.gaps().groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_ALL + "x AS (SELECT 1) SELECT ['CRITICAL', 'MAJOR', 'WARNING', 'INFO'][rank] AS worst, count(*) AS n FROM ranked GROUP BY 1", whole=True)
+@query(_ALL + "x AS (SELECT 1) SELECT ['CRITICAL', 'MAJOR', 'WARNING', 'INFO'][rank] AS worst, count(*) AS n FROM ranked GROUP BY 1", fuzzy=True)
 def worst_severity(m):
     return m.gaps().groupBy("worst").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_ALL + _SCORES + "x AS (SELECT 1) SELECT std, layer, score, weight, round(contribution, 6) AS contribution FROM weighted", whole=True)
+@query(_ALL + _SCORES + "x AS (SELECT 1) SELECT std, layer, score, weight, round(contribution, 6) AS contribution FROM weighted", fuzzy=True)
 def layer_scores_weighted(m):
     return L.weighted_scores(m.scores()).select("std", "layer", "score", "weight", F.round("contribution", 6).alias("contribution"))
 
 
-@query(_ALL + _SCORES + "x AS (SELECT 1) SELECT std, layer, round(sum(contribution) OVER (PARTITION BY std ORDER BY layer_ord ROWS UNBOUNDED PRECEDING), 6) AS running FROM weighted", whole=True)
+@query(_ALL + _SCORES + "x AS (SELECT 1) SELECT std, layer, round(sum(contribution) OVER (PARTITION BY std ORDER BY layer_ord ROWS UNBOUNDED PRECEDING), 6) AS running FROM weighted", fuzzy=True)
 def waterfall(m):
     return L.weighted_scores(m.scores()).select("std", "layer", F.round("running", 6).alias("running"))
 
 
-@query(None)
+_OVERALL = "o AS (SELECT std, round(sum(contribution), 6) AS raw FROM weighted GROUP BY 1), v AS (SELECT *, round(raw, 1) AS score, CASE WHEN raw >= 90 THEN 'A' WHEN raw >= 75 THEN 'B' WHEN raw >= 60 THEN 'C' WHEN raw >= 40 THEN 'D' ELSE 'F' END AS grade FROM o)"
+
+
+@query(_ALL + _SCORES + _OVERALL + " SELECT * FROM v", fuzzy=True)
 def overall_score(m):
     return L.overall(m.scores())
 
 
-@query(_ALL + _SCORES + "x AS (SELECT std, layer, score FROM scores) SELECT std, layer, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM x", whole=True)
+@query(_ALL + _SCORES + "x AS (SELECT std, layer, score FROM scores) SELECT std, layer, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM x", fuzzy=True)
 def grade_banding(m):
     return m.scores().select("std", "layer", L.grade(F.col("score")).alias("grade"))
 
 
-@query(_ALL + """h AS (SELECT group_key, severity FROM findings) SELECT coalesce(group_key, 'unknown') AS group_key, count(*) FILTER (severity = 'CRITICAL') AS CRITICAL, count(*) FILTER (severity = 'MAJOR') AS MAJOR, count(*) FILTER (severity = 'WARNING') AS WARNING, count(*) FILTER (severity = 'INFO') AS INFO FROM h GROUP BY 1""", whole=True)
+@query(_ALL + """h AS (SELECT group_key, severity FROM findings) SELECT coalesce(group_key, 'unknown') AS group_key, count(*) FILTER (severity = 'CRITICAL') AS CRITICAL, count(*) FILTER (severity = 'MAJOR') AS MAJOR, count(*) FILTER (severity = 'WARNING') AS WARNING, count(*) FILTER (severity = 'INFO') AS INFO FROM h GROUP BY 1""", fuzzy=True)
 def severity_heatmap(m):
     return L.heat_map(m.findings())
 
 
-@query(_ALL + """h AS (SELECT coalesce(group_key, 'unknown') AS group_key, severity, std, node_id FROM findings) SELECT group_key, count(*) AS n, count(*) FILTER (severity = 'CRITICAL') AS n_critical, count(DISTINCT CASE WHEN node_id IS NOT NULL THEN std || '/' || node_id END) AS n_nodes, CASE WHEN count(*) FILTER (severity = 'CRITICAL') > 0 THEN 'red' ELSE 'amber' END AS health FROM h GROUP BY 1""", whole=True)
+@query(_ALL + """h AS (SELECT coalesce(group_key, 'unknown') AS group_key, severity, std, node_id FROM findings) SELECT group_key, count(*) AS n, count(*) FILTER (severity = 'CRITICAL') AS n_critical, count(DISTINCT CASE WHEN node_id IS NOT NULL THEN std || '/' || node_id END) AS n_nodes, CASE WHEN count(*) FILTER (severity = 'CRITICAL') > 0 THEN 'red' ELSE 'amber' END AS health FROM h GROUP BY 1""", fuzzy=True)
 def findings_by_part(m):
     return L.findings_by_part(m.findings())
 
 
-@query(_ALL + """cnt AS (SELECT std, art_ord, count(*) AS f, count(*) FILTER (severity = 'CRITICAL') AS c, count(*) FILTER (severity = 'MAJOR') AS j FROM (SELECT DISTINCT std, art_ord, node_id FROM claims) JOIN (SELECT std, node_id, severity FROM findings WHERE node_id IS NOT NULL) USING (std, node_id) GROUP BY 1, 2)
-SELECT std, art_ord, art_id, title, coalesce(f, 0) AS n_findings, coalesce(c, 0) AS n_critical, coalesce(j, 0) AS n_major, CAST(coalesce(len(mapped), 0) AS INTEGER) AS n_mapped, CAST(coalesce(len(tags), 0) AS INTEGER) AS n_tags, CAST(coalesce(len(methods), 0) AS INTEGER) AS n_methods, CAST(length(full_text) AS INTEGER) AS n_chars,
+_REGISTER = _ALL + """fnum AS MATERIALIZED (SELECT *, row_number() OVER () AS fid FROM findings WHERE node_id IS NOT NULL),
+fids AS (SELECT fid, std, severity, CASE WHEN layer = 'reference_integrity' THEN group_key || ':' || node_id ELSE node_id END AS id FROM fnum UNION ALL SELECT fid, std, severity, title FROM fnum WHERE layer = 'reference_integrity' AND title IS NOT NULL),
+cnt AS (SELECT std, art_ord, count(*) AS f, count(*) FILTER (severity = 'CRITICAL') AS c, count(*) FILTER (severity = 'MAJOR') AS j FROM (SELECT DISTINCT c.std, c.art_ord, f.fid, f.severity FROM (SELECT DISTINCT std, art_ord, trim(node_id) AS part FROM claims) c JOIN fids f ON c.std = f.std AND c.part <> '' AND contains(f.id, c.part)) GROUP BY 1, 2),
+reg AS (SELECT std, art_ord, art_id, title, coalesce(f, 0) AS n_findings, coalesce(c, 0) AS n_critical, coalesce(j, 0) AS n_major, CAST(coalesce(len(mapped), 0) AS INTEGER) AS n_mapped, coalesce(array_to_string(list_filter(mapped[1:50], lambda x: x IS NOT NULL), '; '), '') AS mapped, CAST(coalesce(len(tags), 0) AS INTEGER) AS n_tags, CAST(coalesce(len(methods), 0) AS INTEGER) AS n_methods, CAST(length(full_text) AS INTEGER) AS n_chars,
 CASE WHEN trim(full_text) = '' THEN 'Missing' WHEN coalesce(c, 0) > 0 THEN 'Not Compliant' WHEN coalesce(j, 0) > 0 THEN 'Partially Compliant' WHEN coalesce(len(mapped), 0) > 0 THEN 'Compliant' ELSE 'N/A' END AS state, coalesce(c, 0) || 'C / ' || coalesce(j, 0) || 'M' AS counts
-FROM arts LEFT JOIN cnt USING (std, art_ord)""", whole=True)
+FROM arts LEFT JOIN cnt USING (std, art_ord))"""
+
+
+@query(_REGISTER + " SELECT * FROM reg", fuzzy=True)
 def register(m):
-    return L.register(m.arts, m.findings(), m.whole)
+    return L.register(m.shared().arts, m.findings())
+
 
+@query(_REGISTER + " SELECT * FROM reg QUALIFY row_number() OVER (PARTITION BY std, art_id ORDER BY art_ord) = 1", fuzzy=True)
+def register_by_id(m):
+    return L.register_by_id(L.register(m.shared().arts, m.findings()))
 
-@query(_ALL + "p AS (SELECT *, row_number() OVER (PARTITION BY std ORDER BY group_key, node_id, node_ord) AS place FROM states) SELECT std, place, group_key, node_id, state, round(100 * sim, 1) AS alignment FROM p JOIN sims USING (std, node_ord) WHERE place <= 100", whole=True)
+
+@query(_ALL + "l AS (SELECT std, node_id, round(100 * arg_max(sim, node_ord), 1) AS score FROM reqs JOIN sims USING (std, node_ord) GROUP BY 1, 2), g AS (SELECT DISTINCT std, group_key FROM nodes) SELECT l.std, node_id, group_key FROM l JOIN g ON l.std = g.std AND score > 40 AND (contains(node_id, group_key) OR starts_with(node_id, replace(group_key, 'part_', '')))")
+def inferred_groups(m):
+    m.shared()
+    return L.inferred_groups(L.last_scores(m.reqs, m.sims()), m.nodes)
+
+
+@query(_ALL + "d AS (SELECT std, count(DISTINCT CASE WHEN state = 'missing' THEN node_id END) AS n_missing, count(DISTINCT CASE WHEN state = 'partial' THEN node_id END) AS n_partial, count(*) AS n FROM states GROUP BY 1) SELECT std, n_missing, n_partial, greatest(0, n - n_missing - n_partial) AS n_compliant FROM d", fuzzy=True)
+def matrix_summary(m):
+    return L.matrix_summary(m.states())
+
+
+@query(_ALL + "x AS (SELECT std, list_sort(list(concept)) AS cs FROM concepts WHERE NOT covered GROUP BY 1) SELECT std, len(cs) AS n_missing, array_to_string(cs[1:30], '; ') AS concepts FROM x")
+def missing_concepts(m):
+    return L.missing_concepts(m.concepts())
+
+
+@query(_ALL + "p AS (SELECT *, row_number() OVER (PARTITION BY std ORDER BY group_key, node_id, node_ord) AS place FROM states) SELECT std, place, group_key, node_id, state, round(100 * sim, 1) AS alignment FROM p JOIN sims USING (std, node_ord)", fuzzy=True)
 def compliance_matrix(m):
-    return L.compliance_matrix(m.states(), m.sims(), None if m.whole else 100).withColumn("place", F.col("place").cast("bigint"))
+    m.shared()
+    return L.compliance_matrix(m.states(), m.sims()).withColumn("place", F.col("place").cast("bigint"))
 
 
 @query(_ALL + "x AS (SELECT 1) SELECT std, node_id, round(100 * arg_max(sim, node_ord), 1) AS score FROM reqs JOIN sims USING (std, node_ord) GROUP BY 1, 2")
@@ -474,7 +572,8 @@ def first_match(m):
     return R.first_claim(m.arts)
 
 
-@query(None)
+@query(_ALL + _SCORES + _OVERALL + """, h AS (SELECT std, count(*) FILTER (severity = 'CRITICAL') AS n_critical, count(*) FILTER (severity = 'MAJOR') AS n_major FROM findings GROUP BY 1), d AS (SELECT std, score, raw, grade, coalesce(n_critical, 0) AS n_critical, coalesce(n_major, 0) AS n_major FROM v LEFT JOIN h USING (std))
+SELECT std, score, grade, n_critical, n_major, CASE WHEN raw >= 85 AND n_critical = 0 AND n_major <= 2 THEN 'COMPLIANT' WHEN raw >= 60 AND n_critical <= 2 THEN 'CONDITIONALLY COMPLIANT' ELSE 'NOT COMPLIANT' END AS verdict FROM d""", fuzzy=True)
 def assessment_decision(m):
     return L.decision(L.overall(m.scores()), m.findings())
 
@@ -491,21 +590,21 @@ def keyword_evidence(m):
 
 
 @query(_ALL + f"""h AS (SELECT coalesce(group_key, 'unknown') AS group_key, count(*) AS n, count(*) FILTER (severity = 'CRITICAL') AS n_critical FROM findings GROUP BY 1), v AS (SELECT * FROM (VALUES {', '.join(f"('{p}', '{t}')" for p, t in PARTS)}) v(part_id, title))
-SELECT part_id, title, coalesce(n, 0) AS n, coalesce(n_critical, 0) AS n_critical, CASE WHEN coalesce(n, 0) = 0 THEN 'green' WHEN n_critical > 0 THEN 'red' ELSE 'amber' END AS health FROM v LEFT JOIN h ON part_id = group_key""", whole=True)
+SELECT part_id, title, coalesce(n, 0) AS n, coalesce(n_critical, 0) AS n_critical, CASE WHEN coalesce(n, 0) = 0 THEN 'green' WHEN n_critical > 0 THEN 'red' ELSE 'amber' END AS health FROM v LEFT JOIN h ON part_id = group_key""", fuzzy=True)
 def part_coverage(m):
     from traceloom.operators.structure import part_coverage as coverage
 
     return coverage(m.spark.createDataFrame(PARTS, "part_id string, title string"), L.findings_by_part(m.findings()))
 
 
-@query(None)
+@query(_ALL + f"l AS (SELECT std, place, {_LINE} AS line FROM ranked WHERE place <= 10) SELECT std, place, CASE WHEN contains(line, '[HIGH]') THEN 'HIGH' WHEN contains(line, '[MEDIUM]') THEN 'MEDIUM' ELSE 'LOW' END AS priority, trim(regexp_replace(line, '\\[(HIGH|MEDIUM|LOW)\\]', '', 'g')) AS action, 'OPEN' AS state FROM l", fuzzy=True)
 def corrective_actions(m):
     from traceloom.operators.structure import corrective_actions as actions
 
-    return actions(L.recommendations(m.gaps()))
+    return actions(L.recommendations(m.gaps())).withColumn("place", F.col("place").cast("bigint"))
 
 
-@query(_ALL + _SCORES + "x AS (SELECT 1) SELECT std, layer, repeat('#', CAST(floor(score / 5) AS INTEGER)) AS bar, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS letter, CASE WHEN score >= 85 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'poor' END AS class, least(100.0, greatest(0.0, 100.0 - score)) AS risk_percent FROM scores", whole=True)
+@query(_ALL + _SCORES + "x AS (SELECT 1) SELECT std, layer, repeat('#', CAST(floor(score / 5) AS INTEGER)) AS bar, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS letter, CASE WHEN score >= 85 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'poor' END AS class, least(100.0, greatest(0.0, 100.0 - score)) AS risk_percent FROM scores", fuzzy=True)
 def score_bands(m):
     s = F.col("score")
     return m.scores().select("std", "layer", T.text_bar(s).alias("bar"), T.dashboard_letter(s).alias("letter"), T.score_class(s).alias("class"), T.inverse_percent(s).alias("risk_percent"))

@@ -27,8 +27,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A cluster names it in spark.checkpoint.dir; only where
-    that is unset (tests, a single machine) a temporary one is made and remembered."""
+    """The folder all executors share. A cluster names it in spark.checkpoint.dir, and has to; only
+    where all runs on one machine (tests) and it is unset, a temporary one is made and remembered."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -36,13 +36,41 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="traceloom-"))
     return sc.getCheckpointDir()
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a path in whatever storage its scheme names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. All of an application's lie in one folder, which goes when
+    the application ends, or with ``clear_scratch``."""
+    home = f"{shared_dir(spark).rstrip('/')}/traceloom-{spark.sparkContext.applicationId}"
+    fs, p = file_system(spark, home)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote so far; frames that still read it must be done with."""
+    fs, p = file_system(spark, f"{shared_dir(spark).rstrip('/')}/traceloom-{spark.sparkContext.applicationId}")
+    fs.delete(p, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A frame written once to the shared folder: read as often as needed, and not made again when an
+    executor is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
@@ -56,6 +84,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
+    # the driver serves it from its own disk; nothing but the driver reads that folder
     sc.addPyFile(str(target))
     sc._traceloom_shipped = True
 
