@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from traceloom.functions import text as T
 from traceloom.functions import vocabulary as V
 from traceloom.operators import discovery, requirements, sections
-from traceloom.plans.compliance import BASE, Model, _list
+from traceloom.plans.compliance import _IS_REQ, BASE, RULES, Model, _list
 from traceloom.session import table
 
 QUERIES: dict = {}
@@ -61,7 +61,8 @@ def section_segments(spark, sf_dir):
     return x.groupBy("doc_id", F.col("section_no").cast("int").alias("section_no")).agg(F.max("level").alias("level"), (N() - 1).alias("n_lines"))
 
 
-@query(None)
+@query(_LINES + r"""x AS (SELECT *, length(regexp_extract(line, '^(#+)', 1)) AS level FROM l), s AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no FROM x)
+SELECT doc_id, CAST(section_no AS INTEGER) AS section_no, CAST(max(level) AS INTEGER) AS level, max(CASE WHEN level > 0 THEN regexp_replace(line, '^#+\s*', '') END) AS heading, regexp_replace(coalesce(string_agg(CASE WHEN level = 0 THEN line END, chr(10) ORDER BY line_no), ''), '^\s+|\s+$', '', 'g') AS body FROM s WHERE section_no > 0 GROUP BY doc_id, section_no""".replace("\\\\", "\\"))
 def markdown_sections(spark, sf_dir):
     return sections.markdown_sections(_docs(spark, sf_dir))
 
@@ -113,11 +114,10 @@ def extract_notes(spark, sf_dir):
 _REF = "(?i)(?:see|in accordance with|according to|per)\\s+([^.;:]+)"
 
 
-@query(BASE + f"""x AS (SELECT node_ord, unnest(regexp_extract_all('see Part ' || right(group_key, 1) || ', ' || coalesce(title, 'x') || '. ' || coalesce(text, ''), '{_REF}', 1)) AS c FROM nodes)
+@query(BASE + f"""x AS (SELECT node_ord, unnest(regexp_extract_all(node_text, '{_REF}', 1)) AS c FROM nodes)
 SELECT node_ord, regexp_extract(c, 'Part\\s+(\\d+)', 1) AS part, regexp_extract(c, '(?:Clause|Section)?\\s+(\\d+\\.\\d+(?:\\.\\d+)?)', 1) AS section, substring(trim(c), 1, 100) AS context FROM x WHERE regexp_extract(c, 'Part\\s+(\\d+)', 1) <> ''""")
 def extract_refs(spark, sf_dir):
-    text = F.concat(F.lit("see Part "), F.right("group_key", F.lit(1)), F.lit(", "), F.coalesce("title", F.lit("x")), F.lit(". "), F.coalesce("text", F.lit("")))
-    return Model(spark, sf_dir).nodes.select("node_ord", F.explode(T.references_in_text(text)).alias("r")).select("node_ord", "r.*")
+    return Model(spark, sf_dir).nodes.select("node_ord", F.explode(T.references_in_text(F.col("node_text"))).alias("r")).select("node_ord", "r.*")
 
 
 _NUM = "([0-9]+(?:\\.[0-9]+)*)"
@@ -129,9 +129,13 @@ def detect_clauses(spark, sf_dir):
     return _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.array_join(T.clauses_in_text(F.col("text")), ";").alias("clauses"))
 
 
+def _marked(x: str) -> str:
+    """A text with marks around its words, so that a term is bounded where the marked one is contained."""
+    return f"regexp_replace({x}, '([\\p{{L}}\\p{{N}}_]+)', chr(1) || '\\1' || chr(2), 'g')"
+
+
 def _terms_sql(terms) -> str:
-    return f"""WITH d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM documents WHERE text IS NOT NULL), v AS (SELECT DISTINCT unnest({_list(sorted(set(terms)))}) AS term)
-SELECT doc_id, term FROM d JOIN v ON contains(t, ' ' || term || ' ')"""
+    return f"WITH d AS (SELECT doc_id, {_marked('lower(text)')} AS t FROM documents WHERE text IS NOT NULL), v AS (SELECT term, {_marked('term')} AS m FROM (SELECT DISTINCT unnest({_list(sorted(set(terms)))}) AS term)) SELECT doc_id, term FROM d JOIN v ON contains(t, m)"
 
 
 @query(_terms_sql(V.CONCEPT_TERMS))
@@ -139,33 +143,63 @@ def detect_vocabulary(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.explode(T.terms_in_text(F.col("text"), V.CONCEPT_TERMS)).alias("term"))
 
 
-@query("""WITH d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, name AS term FROM d JOIN term_catalog ON contains(t, ' ' || name || ' ')""")
+@query(_terms_sql(V.METHOD_TERMS))
+def detect_methods(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.explode(T.terms_in_text(F.col("text"), V.METHOD_TERMS)).alias("term"))
+
+
+@query(f"WITH d AS (SELECT doc_id, {_marked('lower(text)')} AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, name AS term FROM d JOIN (SELECT name, {_marked('name')} AS m FROM (SELECT DISTINCT lower(name) AS name FROM term_catalog WHERE name <> '')) ON contains(t, m)")
 def detect_catalog_terms(spark, sf_dir):
     # the list of terms is a fixed table
-    terms = [r.name for r in table(spark, sf_dir, "term_catalog").select("name").distinct().collect()]
+    terms = [r.name.lower() for r in table(spark, sf_dir, "term_catalog").select("name").distinct().collect() if r.name]
     return _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.explode(T.terms_in_text(F.col("text"), terms)).alias("term"))
 
 
 _TAIL = "\\s+([A-Za-z0-9\\s\\-_]+?)(?:[.,;\\n]|$)"
 
 
-@query(BASE + f"""x AS (SELECT art_ord, 'It is derived from ' || title || '. Traced to ' || art_id || ', ' || full_text AS t FROM arts)
-SELECT art_ord, array_to_string(list_distinct(list_filter(list_transform(regexp_extract_all(t, '(?i)(?:derives?|derived)\\s+from{_TAIL}', 1), lambda v: trim(v)), lambda v: v <> '' AND length(v) < 200)), ';') AS derived_from, len(regexp_extract_all(t, '(?i)(?:traced?|traces)\\s+to{_TAIL}', 1)) > 0 AS is_traced FROM x""")
+def _traces(*patterns: str) -> str:
+    every = "[]"
+    for p in patterns:
+        every = f"list_concat({every}, regexp_extract_all(full_text, '(?i){p}{_TAIL}', 1))"
+    return f"list_distinct(list_filter(list_transform({every}, lambda v: trim(v)), lambda v: v <> '' AND length(v) < 200))"
+
+
+@query(BASE + f"""x AS (SELECT art_ord, list_sort({_traces('(?:derives?|derived)' + chr(92) + 's+from')}) AS f, list_sort({_traces('(?:traced?|traces)' + chr(92) + 's+to', 'satisfies?', 'verified?' + chr(92) + 's+by')}) AS t FROM arts) SELECT art_ord, array_to_string(f, ';') AS derived_from, array_to_string(t, ';') AS traced_to FROM x WHERE len(f) + len(t) > 0""")
 def detect_trace(spark, sf_dir):
-    text = F.concat(F.lit("It is derived from "), "title", F.lit(". Traced to "), "art_id", F.lit(", "), "full_text")
-    a, b = T.traces_in_text(text)
-    return Model(spark, sf_dir).arts.select("art_ord", F.array_join(a, ";").alias("derived_from"), (F.size(b) > 0).alias("is_traced"))
+    a, b = T.traces_in_text(F.col("full_text"))
+    x = Model(spark, sf_dir).arts.select("art_ord", F.array_sort(a).alias("a"), F.array_sort(b).alias("b")).filter(F.size("a") + F.size("b") > 0)
+    return x.select("art_ord", F.array_join("a", ";").alias("derived_from"), F.array_join("b", ";").alias("traced_to"))
 
 
-@query(None)
+@query(f"""WITH d AS (SELECT doc_id, text, {_marked('lower(text)')} AS t FROM documents WHERE text IS NOT NULL), k AS (SELECT unnest({_list(V.TAG_KEYWORDS)}) AS kw),
+m AS (SELECT doc_id, upper(trim(unnest(regexp_extract_all(text, '[*_]{{1,2}}([A-Za-z\\s]+?)[*_]{{1,2}}', 1)))) AS tag FROM d), u AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]{{2,}})\\b', 1)) AS tag FROM d)
+SELECT DISTINCT doc_id, tag FROM (SELECT * FROM m WHERE tag IN ({', '.join(repr(x) for x in (*V.TAG_ACRONYMS, *V.EMPHASISED_ACRONYMS))}) UNION ALL SELECT * FROM u WHERE tag IN ({', '.join(repr(x) for x in V.TAG_ACRONYMS)}) UNION ALL SELECT doc_id, upper(kw[1]) || kw[2:] FROM d JOIN k ON contains(t, chr(1) || kw || chr(2)))""")
 def extract_tags(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.explode(T.tags_in_text(F.col("text"))).alias("tag"))
 
 
-@query(r"""SELECT doc_id, regexp_extract(text, 'level ([A-D])', 1) AS level FROM documents WHERE regexp_extract(text, 'level ([A-D])', 1) <> ''""")
+@query(BASE + r"""x AS (SELECT node_ord, regexp_replace(regexp_replace(trim(regexp_extract(node_text || coalesce(' ASIL ' || risk, ''), '(?i)ASIL\s*[:(]?\s*([A-D][\s,A-D\-&/]*[A-D]?)', 1)), '\s+', ' ', 'g'), '[()\[\]]', '', 'g') AS level FROM nodes) SELECT node_ord, level FROM x WHERE level <> ''""".replace("\\\\", "\\"))
 def levels_in_text(spark, sf_dir):
-    level = F.regexp_extract("text", r"level ([A-D])", 1)
-    return _docs(spark, sf_dir).select("doc_id", level.alias("level")).filter("level <> ''")
+    """Levels that a clause's text, followed by its field, names."""
+    text = F.concat("node_text", F.coalesce(F.concat(F.lit(" ASIL "), "risk"), F.lit("")))
+    return Model(spark, sf_dir).nodes.select("node_ord", T.level_in_text(text).alias("level")).filter("level <> ''")
+
+
+@query(BASE + r"""x AS (SELECT node_ord, coalesce(nullif(regexp_extract(group_key || '_' || node_id || '.md', '(?i)part[_\s-]*(\d+)', 1), ''), '') AS part FROM nodes) SELECT node_ord, part FROM x""".replace("\\\\", "\\"))
+def part_numbers(spark, sf_dir):
+    """The part that a file named after a clause would tell."""
+    return Model(spark, sf_dir).nodes.select("node_ord", T.part_number(F.coalesce("text", F.lit("")), F.concat_ws("_", "group_key", F.concat("node_id", F.lit(".md")))).alias("part"))
+
+
+@query(None)
+def layout_sections(spark, sf_dir):
+    return sections.layout_sections(_docs(spark, sf_dir))
+
+
+@query("SELECT doc_id, coalesce(len(list_filter(string_split(text, chr(10))[1:100], lambda l: starts_with(l, '#'))) = 0 AND len(list_filter(string_split(text, chr(10))[1:100], lambda l: length(l) > 40 AND length(l) - length(ltrim(l, ' ')) > 30)) > 10, false) AS is_layout FROM documents")
+def layout_texts(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.coalesce(sections.is_layout_text(F.col("text")), F.lit(False)).alias("is_layout"))
 
 
 @query("SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'supplier', ''))) // 8 AS n_hits FROM documents WHERE contains(lower(text), 'supplier')")
@@ -247,11 +281,24 @@ def csv_trace_export(spark, sf_dir):
     return trace_export(Model(spark, sf_dir).nodes)
 
 
-@query(BASE + """x AS (SELECT 1) SELECT count(*) AS n_nodes, count(DISTINCT std) AS n_standards, count(DISTINCT group_key) AS n_groups, count(DISTINCT node_type) AS n_types, count(*) FILTER (title IS NULL) AS n_untitled,
-CAST(sum(coalesce(len(refs), 0)) AS BIGINT) AS n_refs, CAST(sum(coalesce(len(tags), 0)) AS BIGINT) AS n_tags, CAST(sum(coalesce(len(notes), 0)) AS BIGINT) AS n_notes FROM nodes""")
+@query(BASE + """m AS (SELECT count(*) AS n_methods FROM term_catalog WHERE kind = 'method') SELECT count(*) AS n_nodes, count(DISTINCT std) AS n_standards, count(DISTINCT group_key) AS n_groups, count(DISTINCT node_type) AS n_types, count(*) FILTER (title IS NULL) AS n_untitled,
+CAST(sum(coalesce(len(refs), 0)) AS BIGINT) AS n_refs, CAST(sum(coalesce(len(tags), 0)) AS BIGINT) AS n_tags, CAST(sum(coalesce(len(notes), 0)) AS BIGINT) AS n_notes, (SELECT count(DISTINCT t) FROM (SELECT unnest(tags) AS t FROM nodes)) AS n_distinct_tags,
+count(*) FILTER (""" + _IS_REQ + """) AS n_requirements, count(*) FILTER (NOT """ + _IS_REQ + """) AS n_guidelines, count(DISTINCT risk) AS n_levels, max(m.n_methods) AS n_methods, CAST(""" + str(len(RULES)) + """ AS BIGINT) AS n_rules FROM nodes, m""")
 def schema_summary(spark, sf_dir):
+    m = Model(spark, sf_dir)
     size = lambda c: F.sum(F.coalesce(F.size(c), F.lit(0))).cast("bigint")
-    return Model(spark, sf_dir).nodes.agg(N().alias("n_nodes"), F.countDistinct("std").alias("n_standards"), F.countDistinct("group_key").alias("n_groups"), F.countDistinct("node_type").alias("n_types"), F.count_if(F.col("title").isNull()).alias("n_untitled"), size("refs").alias("n_refs"), size("tags").alias("n_tags"), size("notes").alias("n_notes"))
+    req = T.is_requirement(F.col("node_type"), F.col("text"))
+    one = m.nodes.agg(N().alias("n_nodes"), F.countDistinct("std").alias("n_standards"), F.countDistinct("group_key").alias("n_groups"), F.countDistinct("node_type").alias("n_types"), F.count_if(F.col("title").isNull()).alias("n_untitled"), size("refs").alias("n_refs"), size("tags").alias("n_tags"), size("notes").alias("n_notes"), F.count_if(req).alias("n_requirements"), F.count_if(~req).alias("n_guidelines"), F.countDistinct("risk").alias("n_levels"))
+    tags = m.nodes.select(F.explode("tags").alias("t")).agg(F.countDistinct("t").alias("n_distinct_tags"))
+    methods = m.catalog.filter("kind = 'method'").agg(N().alias("n_methods"))
+    return one.crossJoin(tags).crossJoin(methods).withColumn("n_rules", F.lit(len(RULES)).cast("bigint"))  # one row each
+
+
+@query(BASE + "x AS (SELECT DISTINCT trim(p) AS level FROM (SELECT unnest(string_split(risk, '-')) AS p FROM nodes)), y AS (SELECT list(level) AS ls FROM x WHERE lower(level) NOT IN ('all', 'n/a', '')) SELECT array_to_string(CASE WHEN len(list_filter(ls, lambda v: try_cast(v AS INTEGER) IS NULL)) > 0 THEN list_sort(ls) ELSE list_transform(list_sort(list_transform(ls, lambda v: CAST(v AS INTEGER))), lambda v: CAST(v AS VARCHAR)) END, ',') AS scale FROM y")
+def sorted_scale(spark, sf_dir):
+    """The risk scale in order, in one row: a standard has a handful of levels."""
+    levels = requirements.discovered_scale(Model(spark, sf_dir).nodes).agg(F.collect_list("level").alias("levels"))
+    return levels.select(F.array_join(requirements.sorted_levels(F.col("levels")), ",").alias("scale"))
 
 
 # ---- projects, metadata, JSON, spreadsheets
