@@ -46,7 +46,7 @@ def test_tree_returns_every_entry_within():
     ("Layered Budget Knockuot Trial ;", 3), ("tbd", 0), ("-", 0), ("???", 0), ("formal postcard photo set", 0), ("formal budget", 0), ("see sheet 4", 0), ("漢字", 0), ("x" * 100_000, 0), ("thermal policy", 0),
 ])
 def test_values(value, want):
-    assert Q.Matcher([(i, n, s) for i, k, n, s in CATALOG if k == "method"]).match(value)[2] == want
+    assert Q.Matcher([(i, n, s) for i, k, n, s in CATALOG if k == "method"]).match(value)[-1] == want
 
 
 def run(spark, products, catalog=None, **more):
@@ -66,3 +66,20 @@ def test_shards_agree(spark, monkeypatch):
     one = run(spark, rows)
     monkeypatch.setattr(Q, "SHARD_ENTRIES", 2)
     assert run(spark, rows) == one and [r[3] for r in one] == [1, 2, 3, 0, 11, 12]
+
+
+def test_no_length_ends_the_search(spark):
+    long = "fault tree analysis of the " + " ".join(f"part{i}" for i in range(60))
+    m = Q.Matcher([(1, "Fault tree analysis", None), (2, long, None)])
+    assert m.match(f"Fault tree analysis ({'x' * 1040})")[-1] == 1 and m.match(f"Fault tre analysis ({'note ' * 900})")[-1] == 1
+    assert m.match(long.upper())[-1] == 2 and m.match(long.replace("part7", "prat7"))[-1] == 2 and m.match("y" * 3000)[-1] == 0
+
+
+def test_shards_agree_on_short_names_and_ties(spark, monkeypatch):
+    catalog = [(i, "method", n, s) for i, n, s in ((9, "gate check", "GC"), (4, "gate cheek", None), (2, "grand circuit", "GC"), (7, "gate check", None), (1, "gc", None), (5, "gated checking plan", None), (6, "gated checks plan", "GCP"))]
+    rows = [(k, [v], None, T1) for k, v in enumerate(("GC", "gc", "gate chexk", "Gate check", "gat. check. plan", "g. c.", "gate chck rev 2", "GCP (all)", "plan, gated checking", "nothing"))]
+    one = run(spark, rows, catalog)
+    for size in (1, 2, 3):
+        monkeypatch.setattr(Q, "SHARD_ENTRIES", size)
+        assert run(spark, rows, catalog) == one
+    assert dict((r[0], r[3]) for r in one)[0] == 2 and dict((r[0], r[3]) for r in one)[4] == 5

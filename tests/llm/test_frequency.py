@@ -1,6 +1,8 @@
 from collections import Counter
 from datetime import datetime as D
 
+import pytest
+
 from traceloom.llm import frequency as Q
 
 CLAUSE = "clause_key long, tags array<string>, asil_level string, loaded_at timestamp_ntz, deleted_at timestamp_ntz, field_name string, term int"
@@ -62,9 +64,56 @@ def test_one_term_in_most_records(spark):
     assert got["tags", "hot"] == (3000, 3000, "common") and all(got["tags", t][1] == n for t, n in want.items())
 
 
+CHANGES = "field_name string, record_key long, before array<string>, after array<string>"
+
+
+def totals(df):
+    return {r.term: r.n_records for r in df.collect()}
+
+
 def test_first_batch_is_kept(spark):
     c, p = frames(spark, [(1, ["a"], None, T1, None), (2, ["a", "b"], None, T1, None)])
     store = Q.TermCounts(spark)
     Q.term_counts(c, p, store)
-    more = spark.createDataFrame([("tags", 2, ["a", "b"], None), ("tags", 3, None, ["a"])], "field_name string, record_key long, before array<string>, after array<string>")
-    assert store.version == 1 and {r.term: r.n_records for r in store.apply(more).collect()} == {None: 2, "a": 2}
+    more = spark.createDataFrame([("tags", 2, ["a", "b"], None), ("tags", 3, None, ["a"])], CHANGES)
+    assert store.state()["version"] == 1 and totals(store.apply(more)) == {None: 2, "a": 2}
+
+
+def test_counts_survive_a_restart(spark, tmp_path):
+    c, p = frames(spark, [(k, ["a", f"t{k}"], None, T1, None) for k in range(40)])
+    Q.term_counts(c, p, Q.TermCounts(spark, str(tmp_path / "counts")))
+    again = Q.TermCounts(spark, str(tmp_path / "counts"))
+    assert again.state()["version"] == 1 and totals(again.read())["a"] == 40
+    # the same records again: no change, all buckets stay where they are
+    before = again.state()["buckets"]
+    assert rows(Q.term_counts(c, p, Q.TermCounts(spark, str(tmp_path / "counts"))))["tags", "a"] == (40, 40, "common")
+    assert again.state()["version"] == 2 and again.state()["buckets"] == before
+    # one record changed, one gone, one new
+    c2, p2 = frames(spark, [(0, ["a", "new"], None, T1, None)] + [(k, ["a", f"t{k}"], None, T1, None) for k in range(2, 41)])
+    assert rows(Q.term_counts(c2, p2, Q.TermCounts(spark, str(tmp_path / "counts")))) == rows(Q.term_counts(c2, p2))
+
+
+def test_a_batch_touches_only_its_buckets(spark, tmp_path):
+    store = Q.TermCounts(spark, str(tmp_path / "counts"))
+    store.apply(spark.createDataFrame([("f", k, None, [f"t{k}"]) for k in range(200)], CHANGES))
+    assert set(store.state()["buckets"].values()) == {1}
+    store.apply(spark.createDataFrame([("f", 7, ["t7"], ["t8"])], CHANGES))
+    versions = list(store.state()["buckets"].values())
+    assert 1 <= versions.count(2) <= 2 and versions.count(1) >= len(versions) - 2
+    got = totals(store.read())
+    assert got[None] == 200 and got["t8"] == 2 and "t7" not in got and len(got) == 200
+    store.vacuum()
+    assert totals(Q.TermCounts(spark, str(tmp_path / "counts")).read()) == got
+
+
+def test_unpublished_batch_and_second_writer(spark, tmp_path):
+    store = Q.TermCounts(spark, str(tmp_path / "counts"))
+    store.apply(spark.createDataFrame([("f", 1, None, ["a"])], CHANGES))
+    (tmp_path / "counts" / "data" / "v=2" / "bucket=0").mkdir(parents=True)
+    (tmp_path / "counts" / "data" / "v=2" / "bucket=0" / "cut-off.parquet").write_bytes(b"half")
+    assert totals(store.read()) == {None: 1, "a": 1}
+    assert totals(store.apply(spark.createDataFrame([("f", 2, None, ["a"])], CHANGES))) == {None: 2, "a": 2}
+    with pytest.raises(RuntimeError):
+        store._publish(store.state())
+    assert totals(store.apply(spark.createDataFrame([("f", 1, ["a"], None), ("f", 2, ["a"], None)], CHANGES))) == {}
+    assert totals(store.apply(spark.createDataFrame([], CHANGES))) == {}

@@ -64,3 +64,8 @@ def test_short_mixed_and_dated_pages():
     assert Q.judge("\n".join(f"{w} {mark} {v} {mark} {w}" + f" {mark} {v}" * n for mark in ("|", ";", "•", "/") for n in (0, 3, 7) for w, v in zip(words, words[1:])))[0]
     assert Q.judge("\n".join("safety kit | 2024 | brake sensor | 2019" for _ in range(9)))[0]
     assert not Q.judge("Scope\nPurpose\nhttps://a.example/1")[0]
+
+
+def test_few_words(spark):
+    assert Q.judge("brake pads\nbrake pads\nbrake pads")[0] and Q.judge("pump, valve, pump, valve")[0]
+    assert not Q.judge("Hazard review")[0] and not Q.judge("pump, valve, seal")[0]

@@ -38,6 +38,8 @@ def test_against_brute_force(spark):
     name = {k if k % 2 else 1000 + k: s for k, s in sets.items()}
     want = {tuple(sorted((a, b))) for a, b in itertools.combinations(name, 2) if min(len(name[a]), len(name[b])) >= 4 and 100 * len(name[a] & name[b]) >= 65 * len(name[a] | name[b])}
     assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.995 * len(want)
+    c, p = (spark.createDataFrame([(k, [f"v{x}" for x in s], T) for k, s in name.items() if (k < 1000) == first], f"{key} long, {field} array<string>, loaded_at timestamp_ntz") for first, key, field in ((True, "clause_key", "tags"), (False, "wp_key", "tags_addressed")))
+    assert {tuple(r) for r in Q.similar_records(Q.tag_sets(c, p), exact=True).collect()} == want
 
 
 def test_delivered_twice_counts_first(spark):

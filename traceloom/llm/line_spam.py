@@ -10,7 +10,8 @@ shapes. Text that looks like sentences but turns round one phrase is a shape of
 The reduction is one narrow pass: a page's shapes are grouped where the page is read.
 
 Defined results
-* null, empty and blank texts, and pages of fewer than ``MIN_WORDS`` plain keywords: not flagged;
+* null, empty and blank texts: not flagged; plain keywords of which none comes again: not flagged,
+  however many (headings and titles are like that);
 * very long texts are read line by line, whole;
 * a doc_id that occurs twice: each row by its own text, flagged once;
 * words are counted between white space; in scripts without blanks two characters count as one;
@@ -29,8 +30,6 @@ from pyspark.sql import functions as F
 
 #: Share of a page's words in non-sentence shapes above which it is flagged.
 MAX_SHARE = 0.5
-#: Such words a page must have, if they are mostly plain keywords.
-MIN_WORDS = 12
 #: Share of a page's sentence words in one repeated phrase that makes its sentences stuffed.
 PHRASE_SHARE = 0.15
 PHRASE_COUNT = 4
@@ -206,7 +205,7 @@ def judge(text: str | None) -> tuple[bool, float, str]:
     if any(k == "phrase" for k, *_ in shapes):
         words = [w.lower() for k, _, _, lines in shapes if k in ("phrase", "keywords") for x in lines for w in _WORDS.findall(x)]
         words = [w for w in words if w not in BINDING]
-        kind = "keywords" if len(words) >= MIN_WORDS and len(set(words)) <= FEW_WORDS * len(words) else "sentence"
+        kind = "keywords" if len(set(words)) <= FEW_WORDS * len(words) else "sentence"
         shapes = [(kind if k == "phrase" else k, *rest) for k, *rest in shapes]
     total = sum(n for _, _, n, _ in shapes)
     bad = sorted(((n, k, lines) for k, _, n, lines in shapes if k in SPAM_KINDS), key=lambda x: (-x[0], x[1]))
@@ -219,15 +218,9 @@ def judge(text: str | None) -> tuple[bool, float, str]:
     # links, tags and stuffed sentences that are most of the page need no further sign
     if sum(n for n, k, _ in bad if k not in ("keywords", "list")) > MAX_SHARE * total:
         return True, share, bad[0][1]
-    if size < MIN_WORDS:
-        return False, share, bad[0][1]
-    plain = [x for n, k, lines in bad if k in ("keywords", "list") for x in lines]
-    if plain and not any(k in ("links", "tags", "stuffed") for _, k, _ in bad):
-        # headings and the like don't repeat themselves: keywords do
-        words = [w.lower() for x in plain for w in _WORDS.findall(x)]
-        if len(words) < MIN_WORDS or len(set(words)) > 0.75 * len(words):
-            return False, share, bad[0][1]
-    return True, share, bad[0][1]
+    # headings and the like don't repeat themselves: keywords do
+    words = [w.lower() for n, k, lines in bad if k in ("keywords", "list") for x in lines for w in _WORDS.findall(x)]
+    return bool(words) and len(set(words)) <= 0.75 * len(words), share, bad[0][1]
 
 
 def page_verdicts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,7 +20,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.term_counts(table(spark, sf_dir, "part_3_concept"), table(spark, sf_dir, "sample_user_doc_v2"))
+    """In the persistent counts that spark.traceloom.counts.dir names, else in new ones."""
+    kept = spark.conf.get("spark.traceloom.counts.dir", None)
+    counts = frequency.TermCounts(spark, kept) if kept else None
+    return frequency.term_counts(table(spark, sf_dir, "part_3_concept"), table(spark, sf_dir, "sample_user_doc_v2"), counts)
 
 
 def p2_live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ exact bounds (sizes, and a bitmap of the elements from which the overlap can't b
 assumed), deduplicated, and verified against the sets themselves.
 
 With 20 bands of 3 rows a pair at the threshold of 0.65 is missed with a chance of 0.16 %, one
-at 0.7 with 0.02 %. There is no cap on buckets or partners; a bucket that many classes share is
+at 0.7 with 0.02 %; ``exact`` takes candidates that miss none. There is no cap on buckets or partners; a bucket that many classes share is
 a skewed key of an equi-join, which adaptive execution splits.
 
 Defined results
@@ -112,6 +112,20 @@ def candidate_pairs(bands: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     return l.join(r, "band").filter((F.col("a") < F.col("b")) & possible).select("a", "b").distinct()
 
 
+def prefix_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """All pairs of classes that may reach the threshold, none missed: two such sets share one of
+    the first elements of both, in the order of how rare elements are; so many that the rest of
+    either is too small to reach it. Costlier than bands where elements are common."""
+    items = classes.select("class_id", F.size("items").alias("n"), F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+    ordered = items.join(often, "item").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("o"))  # of one set
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
+    first = ordered.select("class_id", "n", F.explode(F.slice(F.col("o.item"), F.lit(1), keep.cast("int"))).alias("item"))
+    l, r = (first.select("item", F.col("class_id").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    least = F.lit(threshold) - 1e-9
+    return l.join(r, "item").filter((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, ca, b, cb, n_shared, n_all) of the candidate pairs that reach the threshold by their sets."""
     x = pairs.join(classes.select(F.col("class_id").alias("a"), F.col("check").alias("ca"), F.col("items").alias("ia")), "a")
@@ -125,15 +139,17 @@ def _alike(shared: Column, everything: Column, threshold: float) -> Column:
     return shared * 1000 >= everything * round(threshold * 1000)
 
 
-def class_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(pairs between classes, members of classes): the result in its compact form."""
+def class_pairs(sets: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pairs between classes, members of classes): the result in its compact form. ``exact``: candidates
+    from shared first elements in place of bands, so that no pair can be missed."""
     members, classes = set_classes(sets)
-    return verified(candidate_pairs(band_rows(classes), threshold), classes, threshold), members
+    pairs = prefix_pairs(classes, threshold) if exact else candidate_pairs(band_rows(classes), threshold)
+    return verified(pairs, classes, threshold), members
 
 
-def similar_records(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_records(sets: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """(left_key, right_key), smaller first: pairs within classes and between similar classes."""
-    pairs, members = class_pairs(sets, threshold)
+    pairs, members = class_pairs(sets, threshold, exact)
     left = members.select(F.col("class_id").alias("a"), F.col("check").alias("ca"), F.col("record_key").alias("x"))
     right = members.select(F.col("class_id").alias("b"), F.col("check").alias("cb"), F.col("record_key").alias("y"))
     between = pairs.select("a", "ca", "b", "cb").join(left, ["a", "ca"]).join(right, ["b", "cb"]).select(F.least("x", "y").alias("left_key"), F.greatest("x", "y").alias("right_key"))
@@ -143,13 +159,13 @@ def similar_records(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def linked_records(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(record_key, class_id, n_copies, n_links): the compact form, one row for each record.
-    n_links counts the similar classes, not the copies in them."""
+    ``class_id`` is the class's whole name of 128 bits; n_links counts the similar classes, not the copies in them."""
     pairs, members = class_pairs(sets, threshold)
     name = ["class_id", "check"]
     both = pairs.select(F.col("a").alias("class_id"), F.col("ca").alias("check")).unionAll(pairs.select("b", "cb"))
     links = both.groupBy(*name).agg(F.count(F.lit(1)).alias("n_links"))
     sizes = members.groupBy(*name).agg(F.count(F.lit(1)).alias("n_copies"))
-    return members.join(sizes, name).join(links, name, "left").select("record_key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(sizes, name).join(links, name, "left").select("record_key", F.concat(*[F.lpad(F.hex(c), 16, "0") for c in name]).alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def tag_sets(clauses: DataFrame, products: DataFrame) -> DataFrame:
