@@ -53,7 +53,38 @@ def test_delivered_twice(spark):
 
 
 def test_pieces():
-    assert {"limit", "signal"} <= Q.respellings("1imit") | Q.respellings("si9na1")
-    assert "monitor" in Q.respellings("momtor") and "corrupted" in Q.respellings("corriipted") and "withhold" in Q.respellings("withholcl")
+    for wrong, right in (("1imit", "limit"), ("si9na1", "signal"), ("momtor", "monitor"), ("corriipted", "corrupted"), ("withholcl", "withhold"), ("rnodule", "module")):
+        assert Q.strokes(wrong) == Q.strokes(right) and Q.glyph_edits(wrong, right) in (1, 2)
+    assert all(Q.strokes(a) == Q.strokes(b) for a, b in Q.GLYPHS)
+    assert Q.glyph_edits("same", "same") == 0 and Q.glyph_edits("abc", "abd") is None and Q.glyph_edits("t0ta1t", "fofalf") is None
     assert [x for x in ("— 52 —", "[49]", "p. 7", "Page 12", "75 of 285", "   56", "41 ms", "S1, E2", "1. x", "") if Q.is_page_number(x)] == ["— 52 —", "[49]", "p. 7", "Page 12", "75 of 285", "   56"]
     assert Q.head_key("BRAKE C0NCEPT  PHASE 7") == Q.head_key("BRAKE CONCEPT PHASE 12")
+
+
+def test_strokes_as_expression(spark):
+    words = ["".join(c) for c in zip("rnodule1г!", "clwvvmf9éﬁ", "hbun68d0|ﬂ")] + ["", "module"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert {r.w: r.s for r in df.select("w", Q.stroke_column(df.w).alias("s")).collect()} == {w: Q.strokes(w) for w in words}
+
+
+def test_context_decides_between_readings(spark):
+    # 'hcar' is 'hear' or, by the strokes of h and b, 'bear': only the neighbours tell
+    clean = ["The operator shall hear the loud warning tone in the cabin.", "The main frame shall bear the heavy axle load of the trailer."] * 6
+    got = run(spark, [(1, "V", "The operator shall hcar the loud warning tone.", None), (2, "V", "The main frame shall hcar the heavy axle load.", None)], clean)
+    assert got[1, "text", 0] == (["misread"], "The operator shall hear the loud warning tone.")
+    assert got[2, "text", 0] == (["misread"], "The main frame shall bear the heavy axle load.")
+
+
+def test_real_word_in_the_wrong_place(spark):
+    clean = ["The driver shall clear the fault memory of the unit."] * 40 + ["My dear friend of the old house."] * 2
+    got = run(spark, [(1, "V", "The driver shall dear the fault memory of the unit.", None), (2, "V", "My dear friend of the old house.", None)], clean)
+    assert got[1, "text", 0] == (["misread"], "The driver shall clear the fault memory of the unit.") and got[2, "text", 0][0] == []
+
+
+def test_long_words_and_far_halves(spark):
+    long = "".join(f"part{c}" for c in "abcdefghijklmnopqrst")
+    clean = [f"The {long} shall limit the signal.", *CLEAN]
+    far = "The pedal controller shall con-\n\n\n\n- 17 -\n\n\nBRAKE CONCEPT PHASE   18\n\n\n\nfirm the stored calibration of the backup line."
+    got = run(spark, [(1, "V", f"The {long.replace('m', 'rn', 1).replace('g', '9')} shall limit the signal.", None), (2, "V", far, None)], clean)
+    assert got[1, "text", 0] == (["misread"], f"The {long} shall limit the signal.")
+    assert got[2, "text", 0] == (["broken_word", "page_number", "running_header"], "The pedal controller shall confirm the stored calibration of the backup line.")

@@ -1,16 +1,18 @@
 """Noise in text from scanned pages: divided words, misread characters, head lines, page numbers.
 
 1. Statistics of the whole corpus: words, adjacent pairs and skip-gram pairs, counted apart for
-   texts that were never on paper. Skip-gram vectors come from the pair counts as shifted
-   positive pointwise mutual information, which is what skip-gram training with negative samples
-   factorises, projected to ``DIMENSIONS`` by signed hashing; they need one aggregation and no
-   driver.
-2. Links: a word that only scans hold is respelled by plausible glyph edits; respellings that
-   are frequent words are its neighbours, found by an equi-join. The one whose contexts, by the
-   vectors, are most like its own is its correction.
-3. Lines: a page number is a line that only numbers. A head line is one whose word pairs the
+   texts that were never on paper.
+2. Links: words that look alike to a scanner have the same strokes (``strokes``: every glyph edit
+   keeps them), so a word that only scans hold meets its frequent neighbours by an equi-join on
+   its strokes, whatever their length; pairs that two glyph edits can't explain are dropped.
+3. Context: where several readings are left, or a real word could be a misread, commoner one, each
+   occurrence is decided by itself, by the skip-gram model: the readings' word vectors (shifted positive
+   pointwise mutual information, which is what skip-gram training with negative samples factorises,
+   projected to ``DIMENSIONS`` by signed hashing) against the sum of its neighbours' context vectors
+   (of the same projection). Vectors are made for the readings, and no other words.
+4. Lines: a page number is a line that only numbers. A head line is one whose word pairs the
    unscanned texts don't know and that comes again in its volume, or that is wholly strange.
-4. With that furniture gone, words divided at line ends are joined where the whole is a word or
+5. With that furniture gone, words divided at line ends are joined where the whole is a word or
    the mark only ever divides; misread words are corrected; the lines are reflowed.
 
 Words of a text are joined with the statistics by equi-joins, which adaptive execution
@@ -23,7 +25,11 @@ Defined results
 * identifiers and numbers are never misread words;
 * a corpus without unscanned texts: words are judged by frequency alone, and no line is strange,
   so none is reported as a head line;
-* very long texts are read whole, item by item;
+* a real word is a misread one only where its neighbours say so: the word before it is never followed by
+  it in unscanned texts but by the other, and the other's vector is much nearer to its neighbours' ones;
+* a divided word goes on where a later line begins in lower case, any number of blank lines, page numbers
+  and capitalised lines further on;
+* words, lines and texts of any length are read whole, item by item;
 * a clause delivered twice counts once, as delivered first; other columns are ignored.
 """
 
@@ -35,22 +41,31 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from traceloom.llm.common import once
-from traceloom.session import scratch_path
+from traceloom.session import scratch_path, stored
 
 #: wrong -> right glyphs that scanning confuses (fixed list)
 GLYPHS = (
     ("г", "r"), ("f", "t"), ("t", "f"), ("à", "a"), ("á", "a"), ("é", "e"), ("è", "e"), ("í", "i"), ("ó", "o"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("0", "o"), ("1", "l"), ("1", "i"), ("ii", "u"), ("cl", "d"), ("d", "cl"),
     ("9", "g"), ("5", "s"), ("6", "b"), ("8", "b"), ("rn", "m"), ("m", "rn"), ("m", "in"), ("m", "ni"), ("in", "m"), ("b", "h"), ("h", "b"), ("h", "li"), ("li", "h"), ("vv", "w"), ("c", "e"), ("e", "c"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("u", "ii"), ("i", "l"), ("l", "i"), ("о", "o"), ("а", "a"), ("е", "e"),
 )
+#: What glyphs are made of, so that both sides of each pair above have the same strokes.
+STROKES = {
+    **dict.fromkeys("iІíî1!|rгl", "l"), **dict.fromkeys("cceéèе", "c"), **dict.fromkeys("tf", "t"), **dict.fromkeys("oо0ó", "o"), **dict.fromkeys("aаàá", "a"), **dict.fromkeys("g9", "g"), **dict.fromkeys("s5", "s"),
+    **dict.fromkeys("nuhb68", "ll"), "m": "lll", "d": "cl", "w": "vv", "ﬁ": "tl", "ﬂ": "tl",
+}
+#: How much nearer a reading's vector must be before a real word counts as misread.
+MARGIN = 0.25
+#: Lines in lower case behind a hyphen that may go on its word (others can't, and aren't counted).
+GOES_ON = 4
 #: marks that divide a word at a line end; the last three never stand for anything else
 HYPHENS = "-‑¬\xad‐"
 DIVIDERS = "¬\xad‐"
-DIMENSIONS = 32
+DIMENSIONS = 256
 WINDOW = 2
 #: A frequent neighbour: in so many unscanned texts, or so many times the rare word's count.
 CLEAN_COUNT = 2
@@ -115,17 +130,21 @@ def tokens_of(text: str) -> list[Token]:
 
 
 def joints(tokens: list[Token]) -> Iterator[tuple[int, int, str]]:
-    """(k, n, word): token k ends with a hyphen and may go on in token n, at the start of one of
-    the next lines (page furniture may lie between), or next to it if lines were joined since."""
-    first: dict[int, int] = {}
-    for k, t in enumerate(tokens):
-        first.setdefault(t.line, k)
+    """(k, n, word): token k ends with a hyphen and may go on in token n: next to it if lines were
+    joined since, else at the start of a later line that doesn't begin with a capital, however far page
+    furniture pushed it."""
+    starts = [k for k, t in enumerate(tokens) if (k == 0 or tokens[k - 1].line != t.line) and t.word and not t.word[0].isupper()]
+    at = 0
     for k, t in enumerate(tokens):
         if t.end and t.word:
-            nexts = [k + 1] if k + 1 < len(tokens) and tokens[k + 1].line == t.line else [first[n] for n in range(t.line + 1, t.line + 6) if n in first]
+            if k + 1 < len(tokens) and tokens[k + 1].line == t.line:
+                nexts = [k + 1] if tokens[k + 1].word else []
+            else:
+                while at < len(starts) and starts[at] <= k:
+                    at += 1
+                nexts = starts[at : at + GOES_ON]
             for n in nexts:
-                if tokens[n].word:
-                    yield k, n, (t.word + tokens[n].word).lower()
+                yield k, n, (t.word + tokens[n].word).lower()
 
 
 def is_page_number(line: str) -> bool:
@@ -146,23 +165,46 @@ def _pairs(tokens: list[Token]) -> list[str]:
     return out
 
 
-def respellings(word: str, edits: int = 2) -> set[str]:
-    """What a word may have been before at most two plausible glyph edits."""
-    level, seen = {word}, {word}
-    for _ in range(edits):
-        after = set()
-        for w in level:
-            for wrong, right in GLYPHS:
-                at = w.find(wrong)
-                while at >= 0:
-                    after.add(w[:at] + right + w[at + len(wrong) :])
-                    at = w.find(wrong, at + 1)
-        level = after - seen
-        seen |= after
-        if len(seen) > 4000:
-            break
-    seen.discard(word)
-    return seen
+def strokes(word: str) -> str:
+    """The strokes of a word: equal for words that glyph edits turn into each other."""
+    return "".join([STROKES.get(c, c) for c in word])
+
+
+def stroke_column(word: Column) -> Column:
+    """The same as an expression."""
+    for glyph, made in STROKES.items():
+        if len(made) > 1 or len(glyph) > 1:
+            word = F.replace(word, F.lit(glyph), F.lit(made))
+    single = {g: m for g, m in STROKES.items() if len(g) == 1 and len(m) == 1 and g != m}
+    return F.translate(word, "".join(single), "".join(single.values()))
+
+
+_BY_FIRST: dict[str, list[tuple[str, str]]] = {}
+for _wrong, _right in GLYPHS:
+    _BY_FIRST.setdefault(_wrong[0], []).append((_wrong, _right))
+
+
+def glyph_edits(wrong: str, right: str, most: int = 2) -> int | None:
+    """The least number of glyph edits, at most ``most``, that explain one word as a misreading of another."""
+    level = {(0, 0)}
+    for used in range(most + 1):
+        after, stack, seen = set(), list(level), set(level)
+        while stack:
+            i, j = stack.pop()
+            while True:
+                if i == len(wrong) and j == len(right):
+                    return used
+                if used < most and i < len(wrong):
+                    after.update((i + len(a), j + len(b)) for a, b in _BY_FIRST.get(wrong[i], ()) if wrong.startswith(a, i) and right.startswith(b, j))
+                if i < len(wrong) and j < len(right) and wrong[i] == right[j]:
+                    i, j = i + 1, j + 1
+                    if (i, j) in seen:
+                        break
+                    seen.add((i, j))
+                else:
+                    break
+        level = after
+    return None
 
 
 ITEM = "clause_key bigint, volume string, field_name string, item_pos int, text string"
@@ -199,7 +241,7 @@ def corpus_statistics(items: DataFrame) -> DataFrame:
             rows = [("w", w, "", n, clean[w]) for w, n in words.items()]
             rows += [("j", w, "", n, 0) for w, n in joined.items()]
             rows += [("b", *p, n, n) for p, n in adjacent.items() if all(p)]
-            rows += [("s", *p, n, 0) for p, n in skips.items()] + [("s", *p[::-1], n, 0) for p, n in skips.items()]
+            rows += [("s", *p, n, 0) for p, n in skips.items()]
             kind, a, b, n, m = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["kind", "a", "b", "n", "n_clean"])
 
@@ -207,44 +249,90 @@ def corpus_statistics(items: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("n_clean").alias("n_clean"))
 
 
-def skip_gram_vectors(pairs: DataFrame, shift: float = 1.0) -> DataFrame:
-    """(word, vector) from (a, b, n): shifted positive PMI, projected by signed hashing."""
-    w = pairs.groupBy("a").agg(F.sum("n").alias("n_a"))
-    total = w.agg(F.sum("n_a").alias("n_total"))
-    x = pairs.join(w, "a").join(w.select(F.col("a").alias("b"), F.col("n_a").alias("n_b")), "b").crossJoin(F.broadcast(total))  # one row
-    pmi = F.log(F.col("n").cast("double") * F.col("n_total") / (F.col("n_a").cast("double") * F.col("n_b"))) + F.lit(shift)
-    h = F.xxhash64("b")
-    x = x.withColumn("p", F.greatest(pmi, F.lit(0.0)) * F.when(F.shiftright(h, 20).bitwiseAND(1) == 1, 1.0).otherwise(-1.0)).withColumn("d", F.pmod(h, F.lit(DIMENSIONS)).cast("int"))
+def projected(word: str) -> tuple[Column, Column]:
+    """(dimension, sign) of a word's context vector, by a hash."""
+    h = F.xxhash64(word)
+    return F.pmod(h, F.lit(DIMENSIONS)).cast("int"), F.when(F.shiftright(h, 20).bitwiseAND(1) == 1, 1.0).otherwise(-1.0)
+
+
+def skip_gram_vectors(pairs: DataFrame, words: DataFrame, used: DataFrame, shift: float = 1.0) -> DataFrame:
+    """(word, vector) of the ``used`` words: shifted positive PMI of the pairs (a, b, n), which stand in
+    the order of the text, with the words' counts (word, n); projected by signed hashing."""
+    both = pairs.select("a", "b", "n").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    x = both.join(used.select(F.col("word").alias("a")), "a", "left_semi").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    total = words.agg(F.sum("n").alias("n_total"))
+    x = x.join(words.select(F.col("word").alias("a"), F.col("n").alias("n_a")), "a").join(words.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b").crossJoin(F.broadcast(total))  # one row
+    # each word has up to 2 * WINDOW neighbours
+    pmi = F.log(F.col("n").cast("double") * F.col("n_total") / (2.0 * WINDOW * F.col("n_a") * F.col("n_b"))) + F.lit(shift)
+    d, sign = projected("b")
+    x = x.withColumn("p", F.greatest(pmi, F.lit(0.0)) * sign).withColumn("d", d)
     sums = x.groupBy("a", "d").agg(F.sum("p").alias("p"))
     return sums.groupBy(F.col("a").alias("word")).agg(F.map_from_entries(F.collect_list(F.struct("d", "p"))).alias("vector"))
 
 
 def word_links(statistics: DataFrame) -> DataFrame:
-    """(word, correction, correction_clean, likeness) of words that only scans hold: the most alike frequent neighbour."""
+    """(word, correction, correction_clean, n_correction, edits, real): what a word may be a misreading of. Words
+    that only scans hold: their frequent neighbours by two glyph edits; ``real`` words, which unscanned texts hold
+    too: much commoner words by one."""
     words = statistics.filter("kind = 'w'").select(F.col("a").alias("word"), "n", "n_clean")
     joined = statistics.filter("kind = 'j'").select(F.col("a").alias("word"), "n").join(words.filter("n_clean > 0"), "word", "left_anti")
     rare = words.filter("n_clean = 0").select("word", "n").unionAll(joined).groupBy("word").agg(F.max("n").alias("n"))
+    asked = rare.select("word", "n", F.lit(0).cast("bigint").alias("own_clean")).unionAll(words.filter("n_clean > 0").select("word", "n", F.col("n_clean").alias("own_clean")))
+    asked = asked.withColumn("strokes", stroke_column(F.col("word")))
+    known = words.filter(F.length("word") >= 2).select(F.col("word").alias("correction"), F.col("n").alias("n_correction"), F.col("n_clean").alias("correction_clean"), stroke_column(F.col("word")).alias("strokes"))
+    frequent = (F.col("correction_clean") >= CLEAN_COUNT) | (F.col("n_correction") >= FREQUENT_RATIO * F.col("n"))
+    commoner = F.col("correction_clean") >= FREQUENT_RATIO * F.col("own_clean")
+    x = asked.join(known, "strokes").filter((F.col("word") != F.col("correction")) & F.when(F.col("own_clean") > 0, commoner).otherwise(frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                piece = batch.slice(at, 200)
-                rows = [(w, n, c) for w, n in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()) if len(w) <= 60 for c in respellings(w)]
-                w, n, c = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64()), pa.array(c, pa.string())], names=["word", "n_word", "candidate"])
-
-    spelled = rare.select("word", "n").mapInArrow(run, "word string, n_word bigint, candidate string")
-    known = words.select(F.col("word").alias("candidate"), F.col("n").alias("n_candidate"), "n_clean")
-    links = spelled.join(known, "candidate").filter((F.col("n_clean") >= CLEAN_COUNT) | (F.col("n_candidate") >= FREQUENT_RATIO * F.col("n_word"))).filter(F.length("candidate") >= 2)
-    used = links.select("word").union(links.select("candidate")).distinct()
-    vectors = skip_gram_vectors(statistics.filter("kind = 's'").select("a", "b", "n")).join(used, "word", "left_semi")
-    x = links.join(vectors.withColumnRenamed("vector", "va"), "word", "left").join(vectors.select(F.col("word").alias("candidate"), F.col("vector").alias("vb")), "candidate", "left")
-    at = lambda v, d: F.coalesce(F.element_at(v, d), F.lit(0.0))
-    dims = F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
-    dot = lambda p, q: F.aggregate(dims, F.lit(0.0), lambda s, d: s + at(F.col(p), d) * at(F.col(q), d))
+            edits = [glyph_edits(w, c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, pa.int32())], names=[*batch.schema.names, "edits"])
+
+    x = x.select("word", "correction", "correction_clean", "n_correction", (F.col("own_clean") > 0).alias("real"))
+    x = x.mapInArrow(run, "word string, correction string, correction_clean bigint, n_correction bigint, real boolean, edits int")
+    x = x.filter(F.col("edits") <= F.when(F.col("real"), 1).otherwise(2))
+    # beside a neighbour that unscanned texts hold, one that only scans hold is a misreading of the same
+    known = F.max("correction_clean").over(Window.partitionBy("word", "real"))
+    return x.withColumn("known", known).filter((F.col("correction_clean") > 0) | (F.col("known") == 0)).drop("known")
+
+
+def type_corrections(links: DataFrame) -> DataFrame:
+    """(word, correction, correction_clean) of the words that only scans hold: where contexts say nothing, a
+    neighbour in unscanned texts, then the fewest edits, then the commonest."""
+    best = F.max_by(F.struct("correction", "correction_clean"), F.struct(F.col("correction_clean") > 0, -F.col("edits"), "n_correction", "correction"))
+    return links.filter(~F.col("real")).groupBy("word").agg(best.alias("b")).select("word", "b.*")
+
+
+def context_corrections(items: DataFrame, statistics: DataFrame, links: DataFrame) -> DataFrame:
+    """(item key, k, own, own_clean): corrections of single occurrences, by their neighbours: of words with
+    several readings, and of real words. An occurrence that it leaves alone has no row."""
+    several = links.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.bool_or("real").alias("real")).filter((F.col("n") > 1) | F.col("real")).select("word")
+    w = item_words(items).filter("kind = 't' and word <> ''").select(*_KEY, "k", "word", "before")
+    occurrences = w.join(several, "word", "left_semi")
+    near = w.select(*_KEY, F.col("k").alias("k2"), F.col("word").alias("x"))
+    # the neighbours in the item itself: a join by item, of the few occurrences
+    context = occurrences.join(near, _KEY).filter((F.col("k") != F.col("k2")) & (F.abs(F.col("k") - F.col("k2")) <= WINDOW)).select(*_KEY, "k", "x")
+    readings = links.select("word", "correction", "correction_clean", "n_correction", "real", "edits")
+    own = links.filter("real").select("word").distinct().join(statistics.filter("kind = 'w'").select(F.col("a").alias("word"), F.col("n").alias("n_correction"), F.col("n_clean").alias("correction_clean")), "word")
+    readings = readings.unionByName(own.select("word", F.col("word").alias("correction"), "correction_clean", "n_correction", F.lit(True).alias("real"), F.lit(0).alias("edits")))
+    used = links.join(several, "word", "left_semi").select("correction").union(several).distinct().toDF("word")
+    words = statistics.filter("kind = 'w'").select(F.col("a").alias("word"), "n")
+    vectors = skip_gram_vectors(statistics.filter("kind = 's'").select("a", "b", "n"), words, used)
+    d, sign = projected("x")
+    around = context.groupBy(*_KEY, "k", d.alias("d")).agg(F.sum(sign).alias("p")).groupBy(*_KEY, "k").agg(F.map_from_entries(F.collect_list(F.struct("d", "p"))).alias("va"))
+    x = occurrences.join(readings, "word").join(vectors.select(F.col("word").alias("correction"), F.col("vector").alias("vb")), "correction", "left").join(around, [*_KEY, "k"], "left")
+    at = lambda v, d: F.coalesce(F.try_element_at(v, d), F.lit(0.0))
+    dot = lambda p, q: F.aggregate(F.map_keys(p), F.lit(0.0), lambda s, d: s + at(F.col(p), d) * at(F.col(q), d))
     likeness = F.coalesce(F.try_divide(dot("va", "vb"), F.sqrt(dot("va", "va") * dot("vb", "vb"))), F.lit(0.0))
-    best = F.max_by(F.struct("candidate", "likeness", "n_clean"), F.struct(F.col("n_clean") > 0, "likeness", "n_candidate", "candidate"))
-    return x.withColumn("likeness", likeness).groupBy("word").agg(best.alias("b")).select("word", F.col("b.candidate").alias("correction"), F.col("b.n_clean").alias("correction_clean"), "b.likeness")
+    # whether unscanned texts hold the word before it and this reading, one after the other
+    pairs = statistics.filter("kind = 'b'").select(F.concat_ws("\t", "a", "b").alias("pair"), F.lit(True).alias("known"))
+    x = x.withColumn("likeness", likeness).withColumn("pair", F.concat_ws("\t", F.substring_index("before", "\t", 1), "correction")).join(pairs, "pair", "left")
+    itself = F.col("correction") == F.col("word")
+    r = F.struct(F.coalesce("known", F.lit(False)).alias("known"), "likeness", F.col("correction_clean") > 0, -F.col("edits"), "n_correction", "correction", "correction_clean")
+    g = x.groupBy(*_KEY, "k", "real").agg(F.max(F.when(~itself, r)).alias("best"), F.max(F.when(itself, F.struct(F.coalesce("known", F.lit(False)).alias("known"), "likeness"))).alias("own"))
+    sure = ~F.col("real") | (F.col("best.known") & ~F.col("own.known") & (F.col("best.likeness") > F.col("own.likeness") + MARGIN))
+    return g.filter(F.col("best").isNotNull() & sure).select(*_KEY, "k", F.col("best.correction").alias("own"), F.col("best.correction_clean").alias("own_clean"))
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -278,12 +366,23 @@ def item_words(items: DataFrame) -> DataFrame:
     return items.select("clause_key", "field_name", "item_pos", "text").mapInArrow(run, "clause_key bigint, field_name string, item_pos int, line int, k int, kind string, word string, before string")
 
 
+def _spread(name: str) -> Column:
+    """A join key in which the empty text, which most rows may have, is many keys that nothing else has."""
+    return F.when(F.col(name) == "", F.concat(F.lit("\0"), F.pmod(F.xxhash64(*_KEY, "k"), F.lit(4096)).cast("string"))).otherwise(F.col(name))
+
+
 def judged_items(items: DataFrame, statistics: DataFrame, links: DataFrame) -> DataFrame:
     """Each scanned item with what is known of its words: the arrays of FACTS, side by side."""
-    info = statistics.filter("kind = 'w'").select(F.col("a").alias("word"), "n", "n_clean").join(links.select("word", "correction", "correction_clean"), "word", "full_outer")
-    pairs = statistics.filter("kind = 'b'").select(F.concat_ws("\t", "a", "b").alias("before"), F.lit(True).alias("pair"))
-    w = item_words(items).join(info, "word", "left").join(pairs, "before", "left")
-    fact = F.struct("k", "kind", F.coalesce("n_clean", F.lit(0)).alias("clean"), F.coalesce("n", F.lit(0)).alias("n"), "correction", F.coalesce("correction_clean", F.lit(0)).alias("fixed"), F.coalesce("pair", F.col("before") == "").alias("pair"))
+    info = statistics.filter("kind = 'w'").select(F.col("a").alias("word"), "n", "n_clean").join(type_corrections(links), "word", "full_outer").withColumnRenamed("word", "__word")
+    pairs = statistics.filter("kind = 'b'").select(F.concat_ws("\t", "a", "b").alias("__before"), F.lit(True).alias("pair"))
+    w = item_words(items).withColumn("__word", _spread("word")).withColumn("__before", _spread("before"))
+    w = w.join(info, "__word", "left").join(pairs, "__before", "left")
+    several = links.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.bool_or("real").alias("real")).filter("n > 1 or real")
+    if several.isEmpty():
+        w = w.withColumns({"own": F.lit(None).cast("string"), "own_clean": F.lit(None).cast("bigint")})
+    else:
+        w = w.join(context_corrections(items, statistics, links).withColumn("kind", F.lit("t")), [*_KEY, "k", "kind"], "left")
+    fact = F.struct("k", "kind", F.coalesce("n_clean", F.lit(0)).alias("clean"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("own", "correction").alias("correction"), F.coalesce("own_clean", "correction_clean", F.lit(0)).alias("fixed"), F.coalesce("pair", F.col("before") == "").alias("pair"))
     facts = w.groupBy(*_KEY).agg(F.collect_list(fact).alias("f"))
     # side by side as plain arrays, which Arrow hands to Python fastest
     flat = facts.select(*_KEY, *[F.col(f"f.{c}").alias(c) for c in FACTS])
@@ -343,7 +442,7 @@ class Page:
         """Whether a line begins, in lower case, where the last one ended within a word."""
         if not self.tokens[self.of_line[line][0]].word[:1].islower():
             return False
-        for n in range(line - 1, max(-1, line - 6), -1):
+        for n in range(line - 1, -1, -1):
             if n in self.of_line and n not in self.numbers:
                 return bool(self.tokens[self.of_line[n][-1]].end)
         return False
@@ -435,13 +534,9 @@ class Page:
 
 
 def head_key(line: str) -> str:
-    """What a head line says, without numbers, marks and the commonest misreadings."""
-    low = re.sub(r"(?<![^\W_])\d+(?![^\W_])", " ", line.lower()).replace("0", "o").replace("1", "l")
-    for wrong, right in (("г", "r"), ("à", "a"), ("!", "i"), ("9", "g"), ("5", "s"), ("6", "b"), ("ﬁ", "fi")):
-        low = re.sub(rf"(?<=[^\W\d]){wrong}|{wrong}(?=[^\W\d])", right, low)
-    for wrong, right in (("rn", "m"), ("in", "m"), ("ni", "m"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("f", "t"), ("c", "e"), ("b", "h"), ("l", "i")):
-        low = low.replace(wrong, right)
-    return re.sub(r"[^a-z]", "", low)
+    """What a head line says, without numbers and marks: its strokes, which misreadings keep."""
+    low = re.sub(r"(?<![^\W_])\d+(?![^\W_])", " ", line.lower())
+    return re.sub(r"[\W\d_]", "", strokes(low))
 
 
 def _strange_glyphs(word: str) -> bool:
@@ -477,9 +572,11 @@ def head_lines(judged: DataFrame) -> DataFrame:
 
     schema = "clause_key bigint, field_name string, item_pos int, volume string, line int, says string, sure int"
     c = judged.select(*_KEY, "volume", "text", *FACTS).mapInArrow(run, schema)
-    strange = F.count_if(F.col("sure") >= 1).over(Window.partitionBy("volume", "says"))
-    others = strange - F.when(F.col("sure") >= 1, 1).otherwise(0)
-    heads = c.withColumn("others", others).filter((F.col("sure") == 2) | (F.col("others") > 0))
+    c = stored(c, "scan-lines")
+    # how often a line comes in its volume: summed before it is shuffled, so one head may fill a volume
+    strange = c.filter("sure >= 1").groupBy("volume", "says").agg(F.count(F.lit(1)).alias("n"))
+    others = F.coalesce("n", F.lit(0)) - F.when(F.col("sure") >= 1, 1).otherwise(0)
+    heads = c.join(strange, ["volume", "says"], "left").withColumn("others", others).filter((F.col("sure") == 2) | (F.col("others") > 0))
     return heads.groupBy(*_KEY).agg(F.collect_list("line").alias("heads"))
 
 
@@ -491,7 +588,8 @@ def repaired(clauses: DataFrame) -> DataFrame:
     corpus_statistics(items).write.partitionBy("kind").parquet(path := scratch_path(spark, "scan-statistics"))
     statistics = spark.read.schema("a string, b string, n bigint, n_clean bigint, kind string").parquet(path)
     scanned = items.filter(F.col("volume").isNotNull())
-    judged_items(scanned, statistics, word_links(statistics)).write.parquet(path := scratch_path(spark, "scan-judged"))
+    links = stored(word_links(statistics), "scan-links")
+    judged_items(scanned, statistics, links).write.parquet(path := scratch_path(spark, "scan-judged"))
     judged = spark.read.parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
