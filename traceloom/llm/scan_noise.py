@@ -304,15 +304,35 @@ def type_corrections(links: DataFrame) -> DataFrame:
     return links.filter(~F.col("real")).groupBy("word").agg(best.alias("b")).select("word", "b.*")
 
 
-def context_corrections(items: DataFrame, statistics: DataFrame, links: DataFrame) -> DataFrame:
-    """(item key, k, own, own_clean): corrections of single occurrences, by their neighbours: of words with
-    several readings, and of real words. An occurrence that it leaves alone has no row."""
-    several = links.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.bool_or("real").alias("real")).filter((F.col("n") > 1) | F.col("real")).select("word")
-    w = item_words(items).filter("kind = 't' and word <> ''").select(*_KEY, "k", "word", "before")
-    occurrences = w.join(several, "word", "left_semi")
-    near = w.select(*_KEY, F.col("k").alias("k2"), F.col("word").alias("x"))
-    # the neighbours in the item itself: a join by item, of the few occurrences
-    context = occurrences.join(near, _KEY).filter((F.col("k") != F.col("k2")) & (F.abs(F.col("k") - F.col("k2")) <= WINDOW)).select(*_KEY, "k", "x")
+def open_words(links: DataFrame) -> DataFrame:
+    """(word) of words whose occurrences are decided by context: those with several readings, and real ones."""
+    return links.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.bool_or("real").alias("real")).filter("n > 1 or real").select("word")
+
+
+def open_occurrences(judged: DataFrame) -> DataFrame:
+    """(item key, k, word, before, near): the occurrences that context decides, with their neighbours."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["clause_key", "field_name", "item_pos", "k", "word", "before", "near"]
+        types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
+        for batch in batches:
+            rows = []
+            for key, field, pos, text, ks, kinds, opens in zip(*(c.to_pylist() for c in batch.columns)):
+                seq = _pairs(tokens_of(text))
+                for k in sorted(k for k, kind, x in zip(ks, kinds, opens) if x and kind == "t"):
+                    near = [w for w in (*seq[max(0, k - WINDOW) : k], *seq[k + 1 : k + 1 + WINDOW]) if w]
+                    rows.append((key, field, pos, k, seq[k], seq[k - 1] if k else "", near))
+            columns = zip(*rows) if rows else ([] for _ in names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    few = judged.filter(F.exists("open", lambda x: x)).select(*_KEY, "text", "k", "kind", "open")
+    return few.mapInArrow(run, "clause_key bigint, field_name string, item_pos int, k int, word string, before string, near array<string>")
+
+
+def context_corrections(occurrences: DataFrame, statistics: DataFrame, links: DataFrame) -> DataFrame:
+    """(item key, k, own, own_clean): corrections of single occurrences, by their neighbours. An
+    occurrence that this leaves alone has no row."""
+    several = open_words(links)
+    context = occurrences.select(*_KEY, "k", F.explode("near").alias("x"))
     readings = links.select("word", "correction", "correction_clean", "n_correction", "real", "edits")
     own = links.filter("real").select("word").distinct().join(statistics.filter("kind = 'w'").select(F.col("a").alias("word"), F.col("n").alias("n_correction"), F.col("n_clean").alias("correction_clean")), "word")
     readings = readings.unionByName(own.select("word", F.col("word").alias("correction"), "correction_clean", "n_correction", F.lit(True).alias("real"), F.lit(0).alias("edits")))
@@ -327,7 +347,7 @@ def context_corrections(items: DataFrame, statistics: DataFrame, links: DataFram
     likeness = F.coalesce(F.try_divide(dot("va", "vb"), F.sqrt(dot("va", "va") * dot("vb", "vb"))), F.lit(0.0))
     # whether unscanned texts hold the word before it and this reading, one after the other
     pairs = statistics.filter("kind = 'b'").select(F.concat_ws("\t", "a", "b").alias("pair"), F.lit(True).alias("known"))
-    x = x.withColumn("likeness", likeness).withColumn("pair", F.concat_ws("\t", F.substring_index("before", "\t", 1), "correction")).join(pairs, "pair", "left")
+    x = x.withColumn("likeness", likeness).withColumn("pair", F.concat_ws("\t", "before", "correction")).join(pairs, "pair", "left")
     itself = F.col("correction") == F.col("word")
     r = F.struct(F.coalesce("known", F.lit(False)).alias("known"), "likeness", F.col("correction_clean") > 0, -F.col("edits"), "n_correction", "correction", "correction_clean")
     g = x.groupBy(*_KEY, "k", "real").agg(F.max(F.when(~itself, r)).alias("best"), F.max(F.when(itself, F.struct(F.coalesce("known", F.lit(False)).alias("known"), "likeness"))).alias("own"))
@@ -373,24 +393,27 @@ def _spread(name: str) -> Column:
 
 def judged_items(items: DataFrame, statistics: DataFrame, links: DataFrame) -> DataFrame:
     """Each scanned item with what is known of its words: the arrays of FACTS, side by side."""
-    info = statistics.filter("kind = 'w'").select(F.col("a").alias("word"), "n", "n_clean").join(type_corrections(links), "word", "full_outer").withColumnRenamed("word", "__word")
+    info = statistics.filter("kind = 'w'").select(F.col("a").alias("word"), "n", "n_clean").join(type_corrections(links), "word", "full_outer")
+    info = info.join(open_words(links).withColumn("open", F.lit(True)), "word", "left").withColumnRenamed("word", "__word")
     pairs = statistics.filter("kind = 'b'").select(F.concat_ws("\t", "a", "b").alias("__before"), F.lit(True).alias("pair"))
     w = item_words(items).withColumn("__word", _spread("word")).withColumn("__before", _spread("before"))
     w = w.join(info, "__word", "left").join(pairs, "__before", "left")
-    several = links.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.bool_or("real").alias("real")).filter("n > 1 or real")
-    if several.isEmpty():
-        w = w.withColumns({"own": F.lit(None).cast("string"), "own_clean": F.lit(None).cast("bigint")})
-    else:
-        w = w.join(context_corrections(items, statistics, links).withColumn("kind", F.lit("t")), [*_KEY, "k", "kind"], "left")
-    fact = F.struct("k", "kind", F.coalesce("n_clean", F.lit(0)).alias("clean"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("own", "correction").alias("correction"), F.coalesce("own_clean", "correction_clean", F.lit(0)).alias("fixed"), F.coalesce("pair", F.col("before") == "").alias("pair"))
-    facts = w.groupBy(*_KEY).agg(F.collect_list(fact).alias("f"))
+    fact = F.struct("kind", "k", F.coalesce("n_clean", F.lit(0)).alias("clean"), F.coalesce("n", F.lit(0)).alias("n"), "correction", F.coalesce("correction_clean", F.lit(0)).alias("fixed"), F.coalesce("pair", F.col("before") == "").alias("pair"), F.coalesce("open", F.lit(False)).alias("open"))
+    facts = w.groupBy(*_KEY).agg(F.array_sort(F.collect_list(fact)).alias("f"))  # tokens last, in their order
     # side by side as plain arrays, which Arrow hands to Python fastest
-    flat = facts.select(*_KEY, *[F.col(f"f.{c}").alias(c) for c in FACTS])
-    return items.join(flat, _KEY, "left")
+    flat = facts.select(*_KEY, *[F.col(f"f.{c}").alias(c) for c in (*FACTS, "open")])
+    judged = stored(items.join(flat, _KEY, "left"), "scan-judged")
+    some = F.coalesce(F.exists("open", lambda x: x), F.lit(False))
+    own = context_corrections(open_occurrences(judged), statistics, links).groupBy(*_KEY).agg(F.collect_list(F.struct("k", F.col("own").alias("correction"), F.col("own_clean").alias("fixed"))).alias("own"))
+    # the few items with such occurrences are joined with what was decided, the others pass as they are
+    kept = [*_KEY, "volume", "text", *FACTS]
+    none = F.lit(None).cast("array<struct<k:int,correction:string,fixed:bigint>>").alias("own")
+    return judged.filter(~some).select(*kept, none).unionAll(judged.filter(some).select(*kept).join(own, _KEY, "left").select(*kept, "own"))
 
 
 #: What is known of a word: its place, what it is to the item, counts in unscanned texts and in
-#: all, its correction with that one's count in unscanned texts, and whether the pair is known.
+#: all, its correction with that one's count in unscanned texts, and whether the pair is known. The
+#: tokens ('t') come last, in their order; before them words over line ends ('c' and 'j').
 FACTS = ("k", "kind", "clean", "n", "correction", "fixed", "pair")
 
 
@@ -403,19 +426,22 @@ class Fact(NamedTuple):
 
 
 class Page:
-    """One scanned item with its facts."""
+    """One scanned item with its facts: of each token in lists, of words over line ends by their places."""
 
-    def __init__(self, text: str, *facts: list | None):
+    def __init__(self, text: str, own: list | None, *facts: list | None):
         self.text, self.lines, self.tokens = text, lines_of(text), tokens_of(text)
-        self.fact: dict[int, Fact] = {}
+        ks, kinds, *rest = (f or [] for f in facts)
+        at = len(ks) - len(self.tokens)
+        self.clean, self.n, self.correction, self.fixed, self.pair = (r[at:] for r in rest)
+        for o in own or ():
+            self.correction[o["k"]], self.fixed[o["k"]] = o["correction"], o["fixed"]
         self.joint: dict[tuple[int, int], Fact] = {}
         self.compound: set[tuple[int, int]] = set()
-        for k, kind, *rest in zip(*(f or () for f in facts)):
-            if kind == "t":
-                self.fact[k] = Fact._make(rest)
-            elif kind[0] == "j":
-                self.joint[k, int(kind[1:])] = Fact._make(rest)
-            elif rest[0] > 0:
+        for i in range(at):
+            k, kind = ks[i], kinds[i]
+            if kind[0] == "j":
+                self.joint[k, int(kind[1:])] = Fact(*(r[i] for r in rest))
+            elif rest[0][i] > 0:
                 self.compound.add((k, int(kind[1:])))
         self.of_line: dict[int, list[int]] = {}
         for k, t in enumerate(self.tokens):
@@ -428,14 +454,14 @@ class Page:
         ks = self.of_line[line]
         judged = known = words = 0
         for i, k in enumerate(ks):
-            t, f = self.tokens[k], self.fact[k]
-            words += bool(t.word) and not (i == len(ks) - 1 and t.end) and not (i == 0 and self._divided_before(line)) and (f.clean > 0 or f.fixed > 0)
+            t = self.tokens[k]
+            words += bool(t.word) and not (i == len(ks) - 1 and t.end) and not (i == 0 and self._divided_before(line)) and (self.clean[k] > 0 or self.fixed[k] > 0)
             if i == 0 or not t.word or not self.tokens[ks[i - 1]].word:
                 continue
-            if any(self.fact[x].fixed or self.tokens[x].end for x in (k, ks[i - 1])) or i == 1 and line > 0 and self._divided_before(line):
+            if self.fixed[k] or t.end or self.fixed[ks[i - 1]] or self.tokens[ks[i - 1]].end or i == 1 and line > 0 and self._divided_before(line):
                 continue
             judged += 1
-            known += f.pair
+            known += self.pair[k]
         return judged, known, words
 
     def _divided_before(self, line: int) -> bool:
@@ -478,8 +504,8 @@ class Page:
         if f.correction:
             return True
         # a plain hyphen: a word of its own on either side belongs to a compound
-        whole = lambda x: self.fact[x].clean > 0 and len(self.tokens[x].word) > 2
-        return f.n > 2 * max(1, self.fact[k].n) or not whole(n) and not whole(k)
+        whole = lambda x: self.clean[x] > 0 and len(self.tokens[x].word) > 2
+        return f.n > 2 * max(1, self.n[k]) or not whole(n) and not whole(k)
 
     def read(self, heads: set[int]) -> tuple[set[str], str]:
         """(kinds of defects, the repaired and reflowed text)."""
@@ -494,7 +520,7 @@ class Page:
         i = 0
         while i < len(keep):
             k = keep[i]
-            t, f = self.tokens[k], self.fact[k]
+            t = self.tokens[k]
             if t.inner:
                 defects.add("broken_word")
             n = keep[i + 1] if i + 1 < len(keep) else None
@@ -507,7 +533,7 @@ class Page:
                 parts.append((t.line, _respell(stem, t.word + self.tokens[n].word, fix)))
                 i += 2
                 continue
-            fix = f.correction if t.word and not (t.end and n is not None and self.tokens[n].line != t.line and t.end in DIVIDERS) else None
+            fix = self.correction[k] if t.word and not (t.end and n is not None and self.tokens[n].line != t.line and t.end in DIVIDERS) else None
             if fix or t.word and _strange_glyphs(t.word):
                 defects.add("misread")
             raw = t.raw.replace("¬", "").replace("\xad", "") if t.inner else t.raw
@@ -571,7 +597,7 @@ def head_lines(judged: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     schema = "clause_key bigint, field_name string, item_pos int, volume string, line int, says string, sure int"
-    c = judged.select(*_KEY, "volume", "text", *FACTS).mapInArrow(run, schema)
+    c = judged.select(*_KEY, "volume", "text", "own", *FACTS).mapInArrow(run, schema)
     c = stored(c, "scan-lines")
     # how often a line comes in its volume: summed before it is shuffled, so one head may fill a volume
     strange = c.filter("sure >= 1").groupBy("volume", "says").agg(F.count(F.lit(1)).alias("n"))
@@ -588,9 +614,7 @@ def repaired(clauses: DataFrame) -> DataFrame:
     corpus_statistics(items).write.partitionBy("kind").parquet(path := scratch_path(spark, "scan-statistics"))
     statistics = spark.read.schema("a string, b string, n bigint, n_clean bigint, kind string").parquet(path)
     scanned = items.filter(F.col("volume").isNotNull())
-    links = stored(word_links(statistics), "scan-links")
-    judged_items(scanned, statistics, links).write.parquet(path := scratch_path(spark, "scan-judged"))
-    judged = spark.read.parquet(path)
+    judged = judged_items(scanned, statistics, stored(word_links(statistics), "scan-links"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -605,7 +629,7 @@ def repaired(clauses: DataFrame) -> DataFrame:
     heads = head_lines(judged)
     if statistics.filter("kind = 'b'").isEmpty():
         heads = heads.limit(0)
-    both = judged.join(heads, _KEY, "left").select(*_KEY, "heads", "text", *FACTS)
+    both = judged.join(heads, _KEY, "left").select(*_KEY, "heads", "text", "own", *FACTS)
     return both.mapInArrow(run, "clause_key bigint, field_name string, item_pos int, defects array<string>, text string")
 
 
