@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -175,12 +176,12 @@ def markdown_standard(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: JSON files of a standard's folder that are no part of it, by their names.
-NOT_STANDARDS = r"(?i)(_report|_meta|settings)[^/]*\.json$"
+NOT_STANDARDS = r"compliance_report|^compliance_meta\.json$"
 
 
 def json_standard(spark: SparkSession, path: str, skip: str = NOT_STANDARDS) -> DataFrame:
     """Clause rows of JSON standards: the arrays under 'clauses', 'sections' and the like, with group
-    and file; glossary-only files give none, and neither do reports and settings, known by their names."""
+    and file; glossary-only files give none, and neither do reports and the settings file, known by their names."""
     schema = "array<struct<section:string,id:string,title:string,type:string,text:string,tags:array<string>,asil_level:string,notes:array<string>,cross_references:array<string>>>"
     x = extracted_json(spark, path).filter(~F.col("file_name").rlike(skip))
     arrays = [F.from_json(F.get_json_object("text", f"$.{n}"), schema) for n in CLAUSE_FIELDS]
@@ -202,13 +203,56 @@ def glossary(spark: SparkSession, path: str) -> DataFrame:
     return extracted_json(spark, path).select("file_name", F.explode(rows).alias("g")).select("file_name", "g.*")
 
 
+# How a standard's folder names its settings, and the reports left there.
+SETTINGS_NAME, REPORT_NAME = "compliance_meta.json", "compliance_report"
+
+
+def own_settings(path: str) -> str | None:
+    """The settings file in a standard's folder, if it has one."""
+    inside = os.path.join(path, SETTINGS_NAME)
+    return inside if os.path.isdir(path) and os.path.exists(inside) else None
+
+
 def settings(path: str) -> dict:
-    """A settings file, read by the driver: field_mappings, risk_scale, traceability_paths."""
+    """A settings file, read by the driver: field_mappings, risk_scale, traceability_paths; empty if there is none."""
+    if not path or not os.path.exists(path):
+        return {}
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
     return {k: data[k] for k in ("field_mappings", "risk_scale", "traceability_paths") if k in data}
 
 
+def has_markdown(path: str) -> bool:
+    return path.lower().endswith(".md") or os.path.isdir(path) and any(n.lower().endswith(".md") for n in os.listdir(path))
+
+
+def standard_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file_ord, file_name, text) of a standard's JSON files, by name; settings and reports are left out.
+    A markdown file or a converted PDF has none."""
+    if os.path.isdir(path):
+        x = extracted_json(spark, path).filter((F.col("file_name") != SETTINGS_NAME) & ~F.contains("file_name", F.lit(REPORT_NAME)))
+    elif path.lower().endswith(".json"):
+        x = extracted_json(spark, path)
+    elif path.lower().endswith(".md"):
+        return spark.createDataFrame([], "file_ord int, file_name string, text string")
+    else:
+        raise ValueError(f"neither .json nor .md: {path}")
+    # a standard is a handful of files; only their names are numbered
+    order = x.select("file_name").distinct().withColumn("file_ord", F.row_number().over(Window.orderBy("file_name")))
+    return x.join(F.broadcast(order), "file_name").select("file_ord", "file_name", "text")
+
+
+def unread(files: DataFrame) -> DataFrame:
+    """(path, error) of the files that couldn't be read."""
+    return files.filter("error is not null").select("path", "error")
+
+
+def newest_file(spark: SparkSession, path: str, glob: str = "*") -> str | None:
+    """The path of the file that was changed last; of equal times the last by name."""
+    row = binary_files(spark, path, glob).agg(F.max(F.struct("modificationTime", "path")).alias("m")).first()
+    return row.m.path if row.m else None
+
+
 def saved_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
