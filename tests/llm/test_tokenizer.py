@@ -66,3 +66,12 @@ def test_frame(spark, known):
     assert sorted(str(r.text) for r in Q.decode(Q.encode(df)).collect()) == sorted(t or "" for _, t, _ in rows)
     assert sorted(r.n_tokens for r in Q.token_counts(df, ["doc_id"]).collect()) == sorted(len(i) for _, i in got)
     assert Q.encode(df.limit(0)).collect() == []
+
+
+def test_states_are_bounded_within_a_unit(monkeypatch):
+    encoder = Q.Encoder(Q.vocabulary_bytes())
+    texts = ["x" + "abcdefghijklmnopqrstuvwxyz"[k % 26] * (k % 5) + "qzjxkvw" * k for k in range(1, 40)]
+    want = [list(encoder.encode(t)) for t in texts]
+    monkeypatch.setattr(Q, "STATES_KEPT", 8)
+    tight = Q.Encoder(Q.vocabulary_bytes())
+    assert [list(tight.encode(t)) for t in texts] == want and len(tight.transducer.states) <= 10

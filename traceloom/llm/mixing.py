@@ -9,7 +9,8 @@ in which the target is reached. The documents are exploded by their counts and s
 by a hash.
 
 The total is the largest at which every source can keep its share under its cap; a smaller one
-may be asked for.
+may be asked for. At the largest, the source that limits it is used up: each of its documents
+comes as often as the cap allows, which is the Poisson count cut at the cap for a great mean.
 
 Defined results
 * documents whose source is null or not on the list, and null keys: left out;

@@ -63,7 +63,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's number of tokens, and whether its ids decode to its text again."""
+    """Whether each document's ids decode to its text again."""
     documents = table(spark, sf_dir, "documents")
     encoded = tokenizer.encode(documents)
     decoded = tokenizer.decode(encoded).withColumnRenamed("text", "decoded")

@@ -141,11 +141,14 @@ class BpeTransducer:
         return made
 
     def encode_unit(self, data: bytes) -> tuple[int, ...]:
-        if len(self.states) > STATES_KEPT:
-            self._reset()
         state, out = self.start, []
         for byte in data:
-            made = state.step.get(byte) or self.advance(state, byte)
+            made = state.step.get(byte)
+            if made is None:
+                if len(self.states) > STATES_KEPT:  # begin again from here, also within a long unit
+                    self._reset()
+                    state = self.states.setdefault((state.suffix, state.pending), State(state.suffix, state.pending))
+                made = self.advance(state, byte)
             state = made[0]
             if made[1]:
                 out.extend(made[1])
