@@ -171,6 +171,7 @@ class Model:
         return L.coverage(self.reqs, self.arts, self.fuzzy)
 
     def sims(self) -> DataFrame:
+        self.shared()  # read several times: for counts, for documents of a standard, for the weights
         return S.alignment(self.reqs, self.arts)
 
     def ratios(self) -> DataFrame:
