@@ -145,5 +145,12 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"""WITH {_sets_sql()}
 SELECT a AS left_key, b AS right_key FROM shared JOIN sizes l ON l.k = a JOIN sizes r ON r.k = b
 WHERE 1000 * s >= 650 * (l.n + r.n - s)""",
+        "p3_links": f"""WITH {_sets_sql()},
+sets AS (SELECT k, list_sort(list(item)) AS s FROM items SEMI JOIN sizes USING (k) GROUP BY 1),
+classes AS (SELECT k, min(k) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS n_copies FROM sets),
+alike AS (SELECT a, b FROM shared JOIN sizes l ON l.k = a JOIN sizes r ON r.k = b WHERE 1000 * s >= 650 * (l.n + r.n - s)),
+linked AS (SELECT DISTINCT least(x.class_id, y.class_id) AS p, greatest(x.class_id, y.class_id) AS q FROM alike JOIN classes x ON x.k = a JOIN classes y ON y.k = b WHERE x.class_id <> y.class_id),
+n AS (SELECT class_id, count(*) AS n_links FROM (SELECT p AS class_id FROM linked UNION ALL SELECT q FROM linked) GROUP BY 1)
+SELECT k AS record_key, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM classes LEFT JOIN n USING (class_id)""",
         "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
     }

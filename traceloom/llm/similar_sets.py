@@ -159,13 +159,13 @@ def similar_records(sets: DataFrame, threshold: float = THRESHOLD, exact: bool =
 
 def linked_records(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(record_key, class_id, n_copies, n_links): the compact form, one row for each record.
-    ``class_id`` is the class's whole name of 128 bits; n_links counts the similar classes, not the copies in them."""
+    ``class_id`` is the smallest key of the class; n_links counts the similar classes, not the copies in them."""
     pairs, members = class_pairs(sets, threshold)
     name = ["class_id", "check"]
     both = pairs.select(F.col("a").alias("class_id"), F.col("ca").alias("check")).unionAll(pairs.select("b", "cb"))
     links = both.groupBy(*name).agg(F.count(F.lit(1)).alias("n_links"))
-    sizes = members.groupBy(*name).agg(F.count(F.lit(1)).alias("n_copies"))
-    return members.join(sizes, name).join(links, name, "left").select("record_key", F.concat(*[F.lpad(F.hex(c), 16, "0") for c in name]).alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sizes = members.groupBy(*name).agg(F.count(F.lit(1)).alias("n_copies"), F.min("record_key").alias("first_key"))
+    return members.join(sizes, name).join(links, name, "left").select("record_key", F.col("first_key").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def tag_sets(clauses: DataFrame, products: DataFrame) -> DataFrame:
