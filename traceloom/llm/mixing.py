@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,19 +44,15 @@ def _uniform(key: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def _steps(caps: int) -> list[list[float]]:
-    """For k = 1..caps: P(N < k) at each bin's mean, falling along the bins."""
-    out = []
-    for k in range(1, caps + 1):
-        row = []
-        for b in range(BINS + 1):
-            m = 2.0 ** (_LOW + (_HIGH - _LOW) * b / BINS)
-            term = total = math.exp(-m)
-            for i in range(1, k):
-                term *= m / i
-                total += term
-            row.append(total)
-        out.append(row)
+def _steps(caps: int) -> list[np.ndarray]:
+    """For k = 1..caps: P(N < k) at each bin's mean, falling along the bins. Each row adds one term to
+    the one before."""
+    means = np.array([2.0 ** (_LOW + (_HIGH - _LOW) * b / BINS) for b in range(BINS + 1)])
+    term = np.array([math.exp(-m) for m in means])
+    out = [term.copy()]
+    for k in range(1, caps):
+        term = term * means / k
+        out.append(out[-1] + term)
     return out
 
 
@@ -88,10 +85,9 @@ def replicate(documents: DataFrame, targets: DataFrame, key: str = "doc_id", tot
 
     # the bins at which a document's count steps to 1, 2, ... cap
     def step_bins(batches):
-        import numpy as np
         import pyarrow as pa
 
-        falling = [-np.array(row) for row in table.value]
+        falling = [-row for row in table.value]
         for batch in batches:
             u = batch.column("u").to_numpy(zero_copy_only=False)
             steps = np.stack([np.searchsorted(f, -u, side="left") for f in falling], axis=1).astype(np.int32)
