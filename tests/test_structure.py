@@ -26,3 +26,13 @@ def test_formats(spark):
     rows = df.select(T.priority_of(F.col("line")), T.without_priority(F.col("line")), T.html_escaped(F.col("t")), T.text_bar(F.col("s")), T.inverse_percent(F.col("s")), T.document_id("TL", F.col("d"))).collect()
     assert tuple(rows[0]) == ("HIGH", "5.1: x", "&lt;a &amp; &#x27;b&#x27;&gt;", "#" * 9, 53.0, "TL-20260102")
     assert tuple(rows[1]) == ("LOW", "y", "", "#" * 24, 0.0, "TL-DRAFT")
+
+
+def test_numbers_of_hot_groups(spark):
+    from traceloom.operators import requirements
+
+    rows = [("hot", k * 3) for k in range(500)] + [("cold", 7), (None, 4), (None, 2), ("hot", -5)]
+    df = spark.createDataFrame(rows, "g string, k long").repartition(5)
+    got = {(r.g, r.k): r.n for r in requirements.numbered(df, "g", "k", bits=4).collect()}
+    want = {(g, k): n for g in ("hot", "cold", None) for n, k in enumerate(sorted(k for h, k in rows if h == g), 1)}
+    assert got == want

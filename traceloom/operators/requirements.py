@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from traceloom.functions import text as T
 
@@ -59,6 +60,19 @@ def first_claim(arts: DataFrame) -> DataFrame:
     return claims(arts).groupBy("std", "node_id").agg(F.min_by("status", "art_ord").alias("status"))
 
 
+def numbered(df: DataFrame, group: str, order: str, bits: int = 16) -> DataFrame:
+    """The rows with ``n``, their number from 1 in the order of a distinct integer inside a group (null is
+    one). A group is numbered piece by piece, a piece holding at most 2 ** bits integers, and pieces follow
+    each other by their sizes: no task gets a whole group."""
+    x = df.withColumn("__piece", F.shiftright(order, bits))
+    sizes = x.groupBy(group, "__piece").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(group).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))
+    start = sizes.select(F.col(group).alias("__group"), F.col("__piece").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))
+    x = x.withColumn("__n", F.row_number().over(Window.partitionBy(group, "__piece").orderBy(order)))
+    x = x.join(start, x[group].eqNullSafe(start["__group"]) & (x["__piece"] == start["__p"]))
+    return x.withColumn("n", F.col("__n") + F.col("__before")).drop("__piece", "__n", "__group", "__p", "__before")
+
+
 def tag_rows(df: DataFrame, key: str) -> DataFrame:
     """(std, key, tag) of valid concepts, lower case and trimmed."""
     return df.select("std", key, F.explode("tags").alias("t")).filter(T.is_concept(F.col("t"))).select("std", key, F.lower(F.trim("t")).alias("tag"))

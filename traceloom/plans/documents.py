@@ -246,14 +246,12 @@ def validation_issues(spark, sf_dir):
 
 @query(BASE + "x AS (SELECT std, title, min(art_ord) AS art_ord FROM arts WHERE title <> '' GROUP BY 1, 2) SELECT std, title, art_ord FROM x")
 def keep_first_dedup(spark, sf_dir):
-    w = Window.partitionBy("std", "title").orderBy("art_ord")
-    return Model(spark, sf_dir).arts.filter("title <> ''").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("std", "title", "art_ord")
+    return Model(spark, sf_dir).arts.filter("title <> ''").groupBy("std", "title").agg(F.min("art_ord").alias("art_ord"))
 
 
 @query(BASE + "x AS (SELECT project_id, art_ord, row_number() OVER (PARTITION BY project_id ORDER BY art_ord) AS n FROM arts) SELECT project_id, art_ord, 'WP-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS seq_id FROM x")
 def sequence_ids(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("project_id").orderBy("art_ord"))
-    x = Model(spark, sf_dir).arts.select("project_id", "art_ord", n.alias("n"))
+    x = requirements.numbered(Model(spark, sf_dir).arts.select("project_id", "art_ord"), "project_id", "art_ord")
     return x.select("project_id", "art_ord", F.concat(F.lit("WP-"), F.when(F.col("n") < 1000, F.lpad(F.col("n").cast("string"), 3, "0")).otherwise(F.col("n").cast("string"))).alias("seq_id"))
 
 
