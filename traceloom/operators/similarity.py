@@ -1,16 +1,18 @@
-"""Text likeness inside a standard: TF-IDF cosine as an inverted-index join, fuzzy ratios in
-bounded blocks, containment of terms.
+"""Text likeness inside a standard: TF-IDF cosines and fuzzy ratios in bounded blocks,
+containment of terms.
 
-The cosine never pairs a requirement with an artifact that shares no term: pairs arise from an
-equi-join on (std, term). Fuzzy ratios have to see each pair, so the rows of either side of a
-standard are spread over blocks of bounded size and blocks meet blocks: a row travels once for
-each block of the other side, not once for each pair, and no group grows with the data.
+Cosines and fuzzy ratios have to see the pairs of a standard, so the rows of either side are spread
+over blocks of bounded size and blocks meet blocks: a row travels once for each block of the other
+side, not once for each pair, and no group grows with the data.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from traceloom.functions.likeness import Prepared, likeness
 GRAMS = (6, 3, 2, 1)
 #: Rows of one side in a block, on average.
 BLOCK = 256
+#: The same for cosines, and the numbers held at a time in a block of them.
+DOCUMENTS, DENSE = 1024, 2_000_000
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -41,26 +45,94 @@ def inverse_document_frequency(arts: DataFrame, counts: DataFrame) -> DataFrame:
     return df.join(n, "std").select("std", "term", F.log(F.col("n_docs") / (1 + F.col("df"))).alias("idf"))
 
 
+def _weights(texts: list[str], number: dict[str, int], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each row of blank-separated terms, the numbers of the terms that have one, and their weights
+    in a vector of unit length. A term without a number weighs 1 and counts in the length."""
+    out = []
+    for text in texts:
+        counts = Counter(text.split())
+        n_all = counts.total()
+        known = [(number[t], n) for t, n in counts.items() if t in number]
+        rest = sum(n * n for t, n in counts.items() if t not in number)
+        at = np.fromiter((k for k, _ in known), np.int64, len(known))
+        w = np.fromiter((n for _, n in known), np.float64, len(known)) * idf[at]
+        length = math.sqrt(float(w @ w) + rest) / n_all if n_all else 0.0
+        out.append((at, w / n_all / length if length else np.zeros(len(known))))
+    return out
+
+
+def _vocabulary(left: pa.Table) -> pa.Table:
+    """(std, n, terms, counts) of a block of artifacts (std, n, b): in how many rows each term occurs."""
+    counts = Counter(t for text in left["b"].to_pylist() for t in set(text.split()))
+    return pa.table({"std": left["std"][:1], "n": pa.array([left.num_rows], pa.int64()), "terms": pa.array([list(counts)], pa.list_(pa.string())), "counts": pa.array([list(counts.values())], pa.list_(pa.int64()))})
+
+
+def _idf(blocks: pa.Table) -> pa.Table:
+    """(std, terms, idf) of the vocabularies of a standard's blocks, terms joined by blanks."""
+    n, counts = sum(blocks["n"].to_pylist()), Counter()
+    for terms, times in zip(blocks["terms"], blocks["counts"]):
+        for t, k in zip(terms.as_py(), times.as_py()):
+            counts[t] += k
+    return pa.table({"std": blocks["std"][:1], "terms": pa.array([" ".join(counts)]), "idf": pa.array([[math.log(n / (1 + k)) for k in counts.values()]], pa.list_(pa.float64()))})
+
+
+def _best_cosine(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(node_ord, best) of a block of requirements, and a row of its standard's idf, with artifacts. Vectors
+    of artifacts are laid out densely by the terms of the requirements, a bounded piece at a time."""
+    empty = pa.table({"node_ord": pa.array([], pa.int64()), "best": pa.array([], pa.float64())})
+    if not right.num_rows:
+        return empty
+    rows = list(zip(left["node_ord"].to_pylist(), left["b"].to_pylist(), left["idf"].to_pylist()))
+    terms, idf = next(((b, w) for k, b, w in rows if k is None), ("", []))
+    keys = [k for k, _, _ in rows if k is not None]
+    if not keys:
+        return empty
+    number, weight = {t: i for i, t in enumerate(terms.split())}, np.asarray(idf, np.float64)
+    nodes = _weights([b for k, b, _ in rows if k is not None], number, weight)
+    used = np.unique(np.concatenate([at for at, _ in nodes]))
+    place = np.full(len(number), -1, np.int64)
+    place[used] = np.arange(len(used))
+    nodes = [(place[at], w) for at, w in nodes]
+    best, texts = np.zeros(len(keys)), right["b"].to_pylist()
+    size = max(1, DENSE // max(1, len(used)))
+    for i in range(0, len(texts), size):
+        arts = _weights(texts[i : i + size], number, weight)
+        dense = np.zeros((len(used), len(arts)))
+        for j, (at, w) in enumerate(arts):
+            kept = place[at] >= 0
+            dense[place[at[kept]], j] = w[kept]
+        for j, (at, w) in enumerate(nodes):
+            if len(at):
+                best[j] = max(best[j], (w @ dense[at]).max())
+    return pa.table({"node_ord": pa.array(keys, pa.int64()), "best": pa.array(best)})
+
+
 def alignment(node_rows: DataFrame, arts: DataFrame) -> DataFrame:
-    """(std, node_ord, sim): the best cosine of a requirement with any artifact of its standard, 0
-    if none shares a term. Vectors get unit length before they meet, row by row, so that no pair has
-    to look its lengths up."""
-    a_counts = term_counts(arts, "art_ord", "full_text")
-    idf = inverse_document_frequency(arts, a_counts)
-
-    def unit(counts: DataFrame, key: str, weight: Column, name: str) -> DataFrame:
-        x = counts.join(idf, ["std", "term"], "left").select("std", key, F.struct("term", (F.col("n") / F.col("n_all") * weight).alias("w")).alias("t"))
-        x = x.groupBy(key, "std").agg(F.collect_list("t").alias("ts"))  # the terms of one row
-        length = F.sqrt(F.aggregate("ts", F.lit(0.0), lambda s, t: s + t.w * t.w))
-        x = x.select("std", key, F.explode("ts").alias("t"), length.alias("length"))
-        return x.select("std", key, "t.term", F.coalesce(F.try_divide(F.col("t.w"), F.col("length")), F.lit(0.0)).alias(name))
-
-    # a term without an idf (of no artifact) weighs 1 in a requirement; node_ord and art_ord are unique over all standards
-    n = unit(term_counts(node_rows, "node_ord", "node_text"), "node_ord", F.coalesce("idf", F.lit(1.0)), "wn")
-    pairs = n.join(unit(a_counts, "art_ord", F.col("idf"), "wa"), ["std", "term"])
-    cosines = pairs.groupBy("node_ord", "art_ord").agg(F.sum(F.col("wn") * F.col("wa")).alias("cosine"))
-    best = cosines.groupBy("node_ord").agg(F.max("cosine").alias("best"))
-    return node_rows.select("std", "node_ord").join(best, "node_ord", "left").select("std", "node_ord", F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)).alias("sim"))
+    """(std, node_ord, sim): the best cosine of a requirement with any artifact of its standard, 0 if
+    none shares a term. Rows travel as texts of terms, once for each block of the other side, and a
+    block gives one number for each requirement: no pair of rows and no term of a row is shuffled."""
+    text = lambda c: F.coalesce(F.concat_ws(" ", T.tokens(F.col(c))), F.lit("")).alias("b")
+    a = arts.filter("std is not null").select("std", "art_ord", text("full_text"))
+    n = node_rows.filter("std is not null").select("std", "node_ord", text("node_text"))
+
+    def bins(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("std").agg(F.ceil(F.count(F.lit(1)) / DOCUMENTS).cast("int").alias(name))
+
+    # standards with both sides; an idf is of no use to the others
+    counts = bins(n, "__nl").join(bins(a, "__nr"), "std")
+    of = lambda key, size: F.pmod(F.xxhash64(key), F.col(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
+    a = a.join(counts, "std").withColumn("__br", of("art_ord", "__nr"))
+    vocabulary = a.select("std", "__br", "b").groupBy("std", "__br").applyInArrow(_vocabulary, "std string, n long, terms array<string>, counts array<long>")
+    idf = vocabulary.groupBy("std").applyInArrow(_idf, "std string, terms string, idf array<double>")
+    left = n.join(counts, "std").select("std", "node_ord", "b", F.lit(None).cast("array<double>").alias("idf"), of("node_ord", "__nl").alias("__bl"), every("__nr").alias("__br"))
+    of_all = idf.join(counts, "std").select("std", F.lit(None).cast("long").alias("node_ord"), F.col("terms").alias("b"), "idf", every("__nl").alias("__bl"), "__nr")
+    left = left.unionByName(of_all.select("std", "node_ord", "b", "idf", "__bl", every("__nr").alias("__br")))
+    right = a.select("std", "b", every("__nl").alias("__bl"), "__br")
+    group = ["std", "__bl", "__br"]
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(_best_cosine, "node_ord long, best double")
+    best = found.groupBy("node_ord").agg(F.max("best").alias("best"))
+    return node_rows.select("std", "node_ord").join(best, "node_ord", "left").select("std", "node_ord", F.coalesce("best", F.lit(0.0)).alias("sim"))
 
 
 def blocked(left: DataFrame, right: DataFrame, key: str, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK) -> DataFrame:
