@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter
 
+from traceloom.operators import layers as L
+from traceloom.operators import requirements as R
 from traceloom.operators import similarity as S
 
 WORDS = ["brake", "lamp", "duct", "valve", "pump", "wheel", "shaft", "gear", "fuse", "relay"]
@@ -37,3 +39,25 @@ def test_cosines_meet_in_blocks(spark, monkeypatch):
         x = unit((words or "").split(), idf)
         best = max([sum(x.get(t, 0.0) * w for t, w in unit(a, idf).items()) for a in own], default=0.0)
         assert abs(got[key] - max(best, 0.0)) < 1e-12, key
+
+
+def test_words_of_texts_stay_with_them(spark, monkeypatch):
+    monkeypatch.setattr(S, "DOCUMENTS", 4, raising=False)
+    rng = __import__("random").Random(7)
+    arts = spark.createDataFrame([("s", i, " ".join(rng.choices(["Brakes", "lamp-duct", "a1b2", "x"], k=2))) for i in range(20)] + [("s", 20, ""), (None, 21, "lamp"), ("u", 22, "lamp")], "std string, art_ord long, full_text string")
+    nodes = spark.createDataFrame([("s", 1, "brake lamp"), ("s", 2, "brake pump gear"), ("v", 3, "lamp"), (None, 4, "lamp"), ("s", 5, "of"), ("s", 6, "pump"), ("u", 7, "lamp")], "std string, node_ord long, node_text string")
+    shares = S.containment(nodes, arts)
+    assert not [x for x in exchanges(shares) if "word" in x]
+    assert {r.node_ord: round(r.share, 9) for r in shares.collect()} == {1: 1.0, 2: round(1 / 3, 9), 3: 0.0, 4: 0.0, 6: 0.0, 7: 1.0}
+    phrases = spark.createDataFrame([("s", "Lamp-D"), ("s", "pump"), ("v", "lamp"), (None, "lamp"), ("u", "AM")], "std string, p string")
+    hits = L.text_hits(phrases, arts, "p")
+    assert not [x for x in exchanges(hits) if "word" in x or "gram" in x]
+    assert {(r.std, r.p) for r in hits.collect()} == {("s", "Lamp-D"), ("u", "AM")}
+
+
+def test_rows_of_single_keys_stay(spark):
+    rows = spark.createDataFrame([(1, "late", 2), (1, "early", 1), (2, "only", None), (None, "none", 1), (3, "undated", None), (3, "dated", 9)], "k long, v string, loaded_at int")
+    kept = {(1, "early"), (2, "only"), (3, "dated")}
+    assert {(r.k, r.v) for r in R.first_delivery(rows, "k").collect()} == kept
+    for most in (10, 1):  # few repeated keys; more than are sent to every executor
+        assert sorted((r.k, r.v) for r in R.few_repeats(rows, "k", most=most).collect()) == sorted(kept)

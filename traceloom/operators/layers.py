@@ -93,25 +93,14 @@ def concepts(reqs: DataFrame, arts: DataFrame) -> DataFrame:
     return required.join(covered, ["std", "concept"], "left").select("std", "concept", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
-_RUN = r"[\p{L}\p{N}]+"
-
-
-def _longest_run(text: Column) -> Column:
-    runs = F.transform(F.regexp_extract_all(text, F.lit(_RUN), 0), lambda x: F.struct(F.length(x).alias("n"), x.alias("word")))
-    return F.coalesce(F.array_max(runs)["word"], F.lit(""))
-
-
 def text_hits(phrases: DataFrame, arts: DataFrame, column: str) -> DataFrame:
-    """(std, phrase) of phrases that occur, as substrings, in a text of their standard. Phrases meet
-    only the texts that hold, inside a word (of any script), their longest run of letters and digits;
-    there they are looked for, in a text that travels once for all of them. The few phrases without any
-    letter or digit meet each text of their standard, by an empty word."""
-    p = phrases.select("std", F.col(column).alias("__phrase"), F.lower(column).alias("__low")).filter("__low <> ''").distinct().withColumn("piece", _longest_run(F.col("__low")))
-    texts = arts.select("std", "art_ord", F.lower("full_text").alias("__text"))
-    words = texts.select("std", "art_ord", F.explode(F.array_append(F.array_distinct(F.regexp_extract_all("__text", F.lit(_RUN), 0)), F.lit(""))).alias("word"))
-    held = words.join(S.held_pieces(p, words), "word").select("std", "art_ord", "piece").distinct()
-    wanted = held.join(p, ["std", "piece"]).groupBy("art_ord").agg(F.collect_set(F.struct("__low", "__phrase")).alias("__wanted"))
-    found = texts.join(wanted, "art_ord").select("std", F.explode(F.filter("__wanted", lambda w: F.contains(F.col("__text"), w["__low"]))).alias("w"))
+    """(std, phrase) of phrases that occur, as substrings, in a text of their standard. The phrases of a
+    standard are gathered in one row, which meets its texts; so a text travels once, without its words.
+    What a row gives is distinct before it travels again."""
+    p = phrases.select("std", F.col(column).alias("__phrase"), F.lower(column).alias("__low")).filter("__low <> ''")
+    wanted = p.groupBy("std").agg(F.collect_set(F.struct("__low", "__phrase")).alias("__wanted"))
+    texts = arts.select("std", F.lower("full_text").alias("__text")).filter("__text <> ''")
+    found = texts.join(wanted, "std").select("std", F.explode(F.filter("__wanted", lambda w: F.contains(F.col("__text"), w["__low"]))).alias("w"))
     return found.select("std", F.col("w.__phrase").alias(column)).distinct()
 
 

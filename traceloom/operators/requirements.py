@@ -7,7 +7,7 @@ Columns ``node_ord`` and ``art_ord`` carry the order that first-match and last-w
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +23,21 @@ def first_delivery(df: DataFrame, key: str, order: str = "loaded_at") -> DataFra
     return first.select("__row.*")
 
 
-def nodes(*clauses: DataFrame) -> DataFrame:
+def few_repeats(df: DataFrame, key: str, order: str = "loaded_at", most: int = 1_000_000) -> DataFrame:
+    """The same as ``first_delivery``. Where few keys come again, which a job over the keys finds out, only
+    their rows travel, and the others stay where they are read."""
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col(key).isNotNull() & (F.col("__n") > 1)).select(key)
+    if repeated.limit(most + 1).count() > most:
+        return first_delivery(df, key, order)
+    repeated = F.broadcast(repeated)
+    once = df.filter(F.col(key).isNotNull()).join(repeated, key, "left_anti")
+    return once.unionByName(first_delivery(df.join(repeated, key, "left_semi"), key, order))
+
+
+def nodes(*clauses: DataFrame, first: Callable[..., DataFrame] = first_delivery) -> DataFrame:
     out = None
     for c in clauses:
-        one = first_delivery(c.select("clause_key", "standard_id", "part", "section", "title", "type", "text", "tags", "notes", "asil_level", "cross_references", "loaded_at"), "clause_key").select(
+        one = first(c.select("clause_key", "standard_id", "part", "section", "title", "type", "text", "tags", "notes", "asil_level", "cross_references", "loaded_at"), "clause_key").select(
             F.col("standard_id").alias("std"), F.concat(F.lit("part_"), "part").alias("group_key"), F.col("clause_key").alias("node_ord"), F.col("section").alias("node_id"),
             "title", F.col("type").alias("node_type"), "text", "tags", "notes", F.coalesce("asil_level", F.lit("all")).alias("risk"), F.col("cross_references").alias("refs"),
         )
@@ -34,9 +45,9 @@ def nodes(*clauses: DataFrame) -> DataFrame:
     return out.withColumn("node_text", T.node_text(F.col("text"), F.col("title"), F.col("notes"), F.col("tags")))
 
 
-def artifacts(products: DataFrame) -> DataFrame:
+def artifacts(products: DataFrame, first: Callable[..., DataFrame] = first_delivery) -> DataFrame:
     columns = ("wp_key", "id", "project_id", "standard_id", "title", "mapped_sections", "status", "content", "tags_addressed", "methods_used", "traceability_links", "loaded_at")
-    return first_delivery(products.select(*columns), "wp_key").select(
+    return first(products.select(*columns), "wp_key").select(
         F.col("standard_id").alias("std"), F.col("wp_key").alias("art_ord"), F.col("id").alias("art_id"), "project_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("full_text"),
         F.coalesce("status", F.lit("")).alias("status"), F.col("tags_addressed").alias("tags"), F.col("methods_used").alias("methods"), F.col("mapped_sections").alias("mapped"), F.col("traceability_links").alias("links"),
     )

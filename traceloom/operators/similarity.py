@@ -244,10 +244,18 @@ def words_with(pieces: DataFrame, words: DataFrame) -> DataFrame:
 
 def containment(node_rows: DataFrame, arts: DataFrame) -> DataFrame:
     """(std, node_ord, share): which share of a requirement's distinct terms occurs, as substrings,
-    in any artifact text of its standard. A term of letters and digits lies inside one word, so distinct
-    terms are looked up among distinct words."""
-    terms = node_rows.select("std", "node_ord", F.explode(F.array_distinct(T.tokens(F.col("node_text")))).alias("term"))
-    words = arts.select("std", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("full_text"), F.lit("[a-z0-9]+"), 0))).alias("word")).distinct()
-    hit = words_with(terms.select("std", F.col("term").alias("piece")), words).select("std", F.col("piece").alias("term")).distinct().withColumn("hit", F.lit(1))
-    x = terms.join(hit, ["std", "term"], "left")
-    return x.groupBy("std", "node_ord").agg((F.count("hit") / F.count(F.lit(1))).alias("share"))
+    in any artifact text of its standard. A term of letters and digits lies inside one word, so the distinct
+    terms of a standard are looked for in blocks of its texts; the terms that no block holds go back."""
+    terms = node_rows.select("std", "node_ord", F.array_distinct(T.tokens(F.col("node_text"))).alias("terms")).filter("size(terms) > 0")
+    wanted = terms.select("std", F.explode("terms").alias("term")).groupBy("std").agg(F.collect_set("term").alias("wanted"))
+    bins = arts.groupBy("std").agg(F.ceil(F.count(F.lit(1)) / DOCUMENTS).cast("int").alias("__n"))
+    texts = arts.select("std", "art_ord", F.lower("full_text").alias("text")).join(bins, "std")
+    blocks = texts.groupBy("std", F.pmod(F.xxhash64("art_ord"), F.col("__n")).alias("__b")).agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    lacking = blocks.join(wanted, "std").select("std", F.explode(F.filter("wanted", lambda t: ~F.contains(F.col("text"), t))).alias("term"))
+    # a block that happens to be empty lacks nothing, so the blocks that there are count
+    there = blocks.groupBy("std").agg(F.count(F.lit(1)).alias("__there"))
+    lacking = lacking.groupBy("std", "term").agg(F.count(F.lit(1)).alias("__k")).join(there, "std").filter("__k = __there").groupBy("std").agg(F.collect_list("term").alias("lacking"))
+    known = there.join(lacking, "std", "left").select("std", F.coalesce("lacking", F.array().cast("array<string>")).alias("lacking"))
+    n = F.size("terms")
+    share = (n - F.size(F.array_intersect("terms", "lacking"))) / n
+    return terms.join(known, "std", "left").select("std", "node_ord", F.coalesce(share, F.lit(0.0)).alias("share"))

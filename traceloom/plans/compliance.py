@@ -149,10 +149,13 @@ class Model:
     """The frames that queries share, built lazily. Without ``fuzzy`` it is the part that SQL can say:
     no fuzzy ratios, so no layer 3, no alike titles in layer 1 and no alike method names in layer 6."""
 
+    #: The tables that nodes and artifacts are made from, until they are shared.
+    delivered: tuple | None = None
+
     def __init__(self, spark: SparkSession, sf_dir: str, fuzzy: bool = True):
         self.spark, self.fuzzy = spark, fuzzy
-        self.nodes = R.nodes(table(spark, sf_dir, "part_3_concept"), table(spark, sf_dir, "part_4_system"))
-        self.arts = R.artifacts(table(spark, sf_dir, "sample_user_doc_v2"))
+        self.delivered = (table(spark, sf_dir, "part_3_concept"), table(spark, sf_dir, "part_4_system")), table(spark, sf_dir, "sample_user_doc_v2")
+        self.nodes, self.arts = R.nodes(*self.delivered[0]), R.artifacts(self.delivered[1])
         self.catalog = table(spark, sf_dir, "term_catalog")
         self.rules, self.target, self.scale, self.groups = RULES, TARGET, SCALE, GROUPS
         self.made: dict[str, DataFrame] = {}
@@ -164,6 +167,9 @@ class Model:
     def shared(self) -> Model:
         """Nodes and artifacts deduplicated once for all layers; kept as far as memory goes, then on
         disk, and computed again where an executor is lost."""
+        if self.delivered:
+            clauses, products = self.delivered
+            self.nodes, self.arts, self.delivered = R.nodes(*clauses, first=R.few_repeats), R.artifacts(products, first=R.few_repeats), None
         self.nodes, self.arts = self.nodes.persist(), self.arts.persist()
         return self
 
