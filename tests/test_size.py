@@ -7,6 +7,8 @@ from collections import Counter
 from traceloom.operators import layers as L
 from traceloom.operators import requirements as R
 from traceloom.operators import similarity as S
+from traceloom.plans import compliance as C
+from traceloom.session import SHUFFLES_GO, stored
 
 WORDS = ["brake", "lamp", "duct", "valve", "pump", "wheel", "shaft", "gear", "fuse", "relay"]
 
@@ -61,3 +63,32 @@ def test_rows_of_single_keys_stay(spark):
     assert {(r.k, r.v) for r in R.first_delivery(rows, "k").collect()} == kept
     for most in (10, 1):  # few repeated keys; more than are sent to every executor
         assert sorted((r.k, r.v) for r in R.few_repeats(rows, "k", most=most).collect()) == sorted(kept)
+
+
+def test_layers_do_not_fill_the_driver(spark, data, monkeypatch):
+    running, most = set(), []
+
+    def counted(df, name):
+        running.add(name)
+        most.append(len(running))
+        try:
+            return stored(df, name)
+        finally:
+            running.discard(name)
+
+    monkeypatch.setattr(C, "stored", counted)
+    m = C.Model(spark, data, fuzzy=False)
+    findings = m.findings()
+    assert max(most) == 1 and len(most) == 2 + len(m.layers())
+    assert "InMemory" not in findings._jdf.queryExecution().optimizedPlan().toString()
+    matrix = C.QUERIES["compliance_matrix_exact"](spark, data)
+    assert "InMemory" not in matrix._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shuffles_go_when_a_table_is_written(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {n for n in files.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+    before, set_to = shuffles(), spark.conf.get(SHUFFLES_GO)
+    kept = stored(spark.range(100).selectExpr("id % 7 AS k").groupBy("k").count(), "counts")
+    assert shuffles() <= before and spark.conf.get(SHUFFLES_GO) == set_to
+    assert {r["count"] for r in kept.collect()} == {14, 15}

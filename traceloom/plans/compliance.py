@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,6 +149,8 @@ class Model:
 
     #: The tables that nodes and artifacts are made from, until they are shared.
     delivered: tuple | None = None
+    #: Whether nodes and artifacts are shared or written.
+    kept: bool = False
 
     def __init__(self, spark: SparkSession, sf_dir: str, fuzzy: bool = True):
         self.spark, self.fuzzy = spark, fuzzy
@@ -164,13 +164,25 @@ class Model:
     def reqs(self) -> DataFrame:
         return R.applicable(self.nodes, self.target, self.scale, self.groups)
 
-    def shared(self) -> Model:
-        """Nodes and artifacts deduplicated once for all layers; kept as far as memory goes, then on
-        disk, and computed again where an executor is lost."""
+    def few_travel(self) -> None:
         if self.delivered:
             clauses, products = self.delivered
             self.nodes, self.arts, self.delivered = R.nodes(*clauses, first=R.few_repeats), R.artifacts(products, first=R.few_repeats), None
-        self.nodes, self.arts = self.nodes.persist(), self.arts.persist()
+
+    def shared(self) -> Model:
+        """Nodes and artifacts deduplicated once for all layers; kept as far as memory goes, then on
+        disk, and computed again where an executor is lost."""
+        if not self.kept:
+            self.few_travel()
+            self.nodes, self.arts, self.kept = self.nodes.persist(), self.arts.persist(), True
+        return self
+
+    def written(self) -> Model:
+        """The same, written to tables, for queries over all layers: they read nodes and artifacts in dozens of
+        places, each of which would carry the whole plan of a kept frame through the driver."""
+        if not self.kept:
+            self.few_travel()
+            self.nodes, self.arts, self.kept = stored(self.nodes, "nodes"), stored(self.arts, "artifacts"), True
         return self
 
     def states(self) -> DataFrame:
@@ -205,15 +217,14 @@ class Model:
 
     def layers(self) -> dict[str, DataFrame]:
         """The rows of each layer, by its name: narrow tables, written once, from which scores and
-        findings are made. The layers are independent jobs and run side by side."""
+        findings are made. They are written one after another: side by side, their plans and broadcasts
+        would fill the driver's memory, and all their shuffles the disk."""
         if not self.made:
-            m = self.shared()
+            m = self.written()
             made = {"node_coverage": m.states, "content_alignment": m.sims, "semantic_matching": m.ratios, "concept_coverage": m.concepts, "reference_integrity": m.edges, "method_audit": m.methods, "traceability_chain": m.traces}
             if not m.fuzzy:
                 del made["semantic_matching"]
-            with ThreadPoolExecutor(len(made)) as pool:
-                frames = pool.map(lambda x: stored(x[1](), f"layer-{x[0]}"), made.items())
-                self.made = dict(zip(made, frames))
+            self.made = {name: stored(rows(), f"layer-{name}") for name, rows in made.items()}
         return self.made
 
     def findings(self) -> DataFrame:
@@ -539,12 +550,12 @@ FROM arts LEFT JOIN cnt USING (std, art_ord))"""
 
 @query(_REGISTER + " SELECT * FROM reg", fuzzy=True)
 def register(m):
-    return L.register(m.shared().arts, m.findings())
+    return L.register(m.written().arts, m.findings())
 
 
 @query(_REGISTER + " SELECT * FROM reg QUALIFY row_number() OVER (PARTITION BY std, art_id ORDER BY art_ord) = 1", fuzzy=True)
 def register_by_id(m):
-    return L.register_by_id(L.register(m.shared().arts, m.findings()))
+    return L.register_by_id(L.register(m.written().arts, m.findings()))
 
 
 @query(_ALL + "l AS (SELECT std, node_id, round(100 * arg_max(sim, node_ord), 1) AS score FROM reqs JOIN sims USING (std, node_ord) GROUP BY 1, 2), g AS (SELECT DISTINCT std, group_key FROM nodes) SELECT l.std, node_id, group_key FROM l JOIN g ON l.std = g.std AND score > 40 AND (contains(node_id, group_key) OR starts_with(node_id, replace(group_key, 'part_', '')))")
@@ -565,8 +576,8 @@ def missing_concepts(m):
 
 @query(_ALL + "p AS (SELECT *, row_number() OVER (PARTITION BY std ORDER BY group_key, node_id, node_ord) AS place FROM states) SELECT std, place, group_key, node_id, state, round(100 * sim, 1) AS alignment FROM p JOIN sims USING (std, node_ord)", fuzzy=True)
 def compliance_matrix(m):
-    m.shared()
-    return L.compliance_matrix(m.states(), m.sims()).withColumn("place", F.col("place").cast("bigint"))
+    m.written()
+    return L.compliance_matrix(stored(m.states(), "layer-node_coverage"), stored(m.sims(), "layer-content_alignment")).withColumn("place", F.col("place").cast("bigint"))
 
 
 @query(_ALL + "x AS (SELECT 1) SELECT std, node_id, round(100 * arg_max(sim, node_ord), 1) AS score FROM reqs JOIN sims USING (std, node_ord) GROUP BY 1, 2")

@@ -10,6 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether shuffle files are deleted when their query ends, not when the driver collects its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "traceloom") -> SparkSession:
     """A local session with the settings the tests and the bench use."""
@@ -67,10 +70,16 @@ def clear_scratch(spark: SparkSession) -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A frame written once to the shared folder: read as often as needed, and not made again when an
-    executor is lost."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor is lost. The shuffles that made it go when it is written."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
