@@ -92,3 +92,22 @@ def test_shuffles_go_when_a_table_is_written(spark):
     kept = stored(spark.range(100).selectExpr("id % 7 AS k").groupBy("k").count(), "counts")
     assert shuffles() <= before and spark.conf.get(SHUFFLES_GO) == set_to
     assert {r["count"] for r in kept.collect()} == {14, 15}
+
+
+def test_findings_stop_rating_at_enough(spark, data, monkeypatch):
+    rng = __import__("random").Random(11)
+    text = lambda: " ".join(rng.choices([*WORDS, "q" * 30, "z" * 40], k=rng.randint(0, 6)))
+    n = spark.createDataFrame([("s", i, text()) for i in range(40)] + [("t", 40, "x")], "std string, node_ord long, text string")
+    a = spark.createDataFrame([("s", i, text()) for i in range(60)], "std string, art_ord long, full_text string")
+    best = {r.node_ord: r.ratio for r in S.best_ratio(n, a).collect()}
+    for enough in (0.0, 0.5, 0.9):
+        got = {r.node_ord: r.ratio for r in S.best_ratio(n, a, enough=enough).collect()}
+        assert got.keys() == best.keys() and all(got[k] == b if b < enough else enough <= got[k] <= b for k, b in best.items())
+        assert enough > 0.5 or got != best
+    asked = []
+    monkeypatch.setattr(S, "best_ratio", lambda reqs, arts, enough=None: asked.append(enough) or reqs.select("std", "node_ord", L.F.lit(1.0).alias("ratio")))
+    m = C.Model(spark, data)
+    m.findings(), m.gaps()
+    assert asked == [L.LOW_RATIO]
+    m.scores(), m.findings()  # scores need all ratios, once
+    assert asked == [L.LOW_RATIO, None]

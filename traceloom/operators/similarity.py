@@ -155,12 +155,15 @@ def blocked(left: DataFrame, right: DataFrame, key: str, run: Callable[[pa.Table
     return x.cogroup(y).applyInArrow(run, schema)
 
 
-def best_ratio(node_rows: DataFrame, arts: DataFrame, prefix: int = 500) -> DataFrame:
+def best_ratio(node_rows: DataFrame, arts: DataFrame, prefix: int = 500, enough: float | None = None) -> DataFrame:
     """(std, node_ord, ratio): the best fuzzy likeness of a requirement's text with an artifact's.
 
     Only the prefix counts, as defined for this measure. Equal texts are rated once; in a block
     each artifact's text is prepared once, and pairs that by their lengths can't raise a
     requirement's maximum so far are passed over. Maxima are merged by an aggregation.
+
+    ``enough``: for who asks only which requirements stay below it. Those have their best ratio; one
+    that reaches it in a block is rated no further there, and has some ratio that reaches it.
     """
     n = node_rows.select("std", F.lower(F.substring(F.coalesce("text", F.lit("")), 1, prefix)).alias("a"), "node_ord")
     b = arts.select("std", F.lower(F.substring("full_text", 1, prefix)).alias("b")).distinct()
@@ -171,9 +174,10 @@ def best_ratio(node_rows: DataFrame, arts: DataFrame, prefix: int = 500) -> Data
             return pa.table({"std": pa.array([], pa.string()), "a": pa.array([], pa.string()), "best": pa.array([], pa.float64())})
         texts = left["a"].to_pylist()
         best = [-1.0] * len(texts)
+        wanting = list(enumerate(texts))
         for y in right["b"].to_pylist():
-            prepared, m = None, len(y)
-            for i, x in enumerate(texts):
+            prepared, m, done = None, len(y), False
+            for i, x in wanting:
                 size = len(x) + m
                 if size and 2.0 * min(len(x), m) / size <= best[i]:
                     continue
@@ -181,6 +185,11 @@ def best_ratio(node_rows: DataFrame, arts: DataFrame, prefix: int = 500) -> Data
                 r = likeness(x, prepared)
                 if r > best[i]:
                     best[i] = r
+                    done = done or enough is not None and r >= enough
+            if done:
+                wanting = [w for w in wanting if best[w[0]] < enough]
+                if not wanting:
+                    break
         return pa.table([left["std"], left["a"], pa.array(best, pa.float64())], names=names)
 
     found = blocked(n.select("std", "a").distinct(), b, "std", run, "std string, a string, best double").groupBy("std", "a").agg(F.max("best").alias("best"))

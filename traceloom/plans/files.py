@@ -171,7 +171,7 @@ class FileModel(Model):
 
 def report_sections(m: Model) -> dict[str, DataFrame]:
     """The data sets of a report, each in its order."""
-    findings, scores, gaps = m.findings(), m.scores(), m.gaps()
+    scores, findings, gaps = m.scores(), m.findings(), m.gaps()
     lines = L.recommendations(gaps)
     unread = {"unread": m.unread.orderBy("path")} if isinstance(m, FileModel) else {}
     return unread | {
