@@ -109,3 +109,20 @@ def test_best_ratio_and_containment_against_brute_force(spark):
     share = {r.node_ord: r.share for r in S.containment(n, a).collect()}
     words = [w for t in texts[:1] for w in ("brake", "controller", "limit", "signal")]
     assert share[0] == sum(any(w in x for x in arts) for w in words) / len(words) and share[9] == 0
+
+
+def test_bounds_of_likeness():
+    from difflib import SequenceMatcher
+
+    from traceloom.functions.likeness import Bounds, Prepared
+
+    rng = __import__("random").Random(13)
+    for letters in ("ab", "abcdefé", "abcdefghijklmnopqrstuvwxyz eeeaaa", "ab\0😀"):
+        for _ in range(12):
+            text = lambda: "".join(rng.choices(letters, k=rng.choice([0, 1, 40, 199, 200, 330, 500])))
+            others = [text() for _ in range(5)]
+            for a in (text(), others[0][:120] + text()[:80] + others[1][5:90], ""):
+                most = Bounds([Prepared(b) for b in others]).of(a)
+                assert all(m >= SequenceMatcher(None, a, b).ratio() for m, b in zip(most, others))
+    # a short text in another order, a long one whose rare characters are not in the other
+    assert list(Bounds([Prepared("abcd"), Prepared("e " * 100 + "xyz")]).of("dcba" + " e" * 10)) == [2 * 1 / 28, 0.0]

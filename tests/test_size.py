@@ -111,3 +111,21 @@ def test_findings_stop_rating_at_enough(spark, data, monkeypatch):
     assert asked == [L.LOW_RATIO]
     m.scores(), m.findings()  # scores need all ratios, once
     assert asked == [L.LOW_RATIO, None]
+
+
+def test_scores_take_one_aggregation(spark, data):
+    m = C.Model(spark, data, fuzzy=False)
+    scores = m.scores()
+    assert "Join" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    t, stds = m.layers(), m.stds()
+    traces = L.trace_score(t["traceability_chain"])
+    apart = {"node_coverage": L.coverage_score(t["node_coverage"]), "content_alignment": L.mean_score(t["content_alignment"], "sim"), "concept_coverage": L.concept_score(t["concept_coverage"]), "reference_integrity": L.reference_score(t["reference_integrity"]), "method_audit": L.method_score(t["method_audit"]), "traceability_chain": traces}
+    wanted = {(r.std, n, r.score) for n, p in apart.items() for r in L.scored(stds, p, 100.0 if n == "method_audit" else 0.0).collect()}
+    assert {(r.std, r.layer, r.score) for r in scores.collect()} == wanted
+
+
+def test_scores_of_standards_with_nothing(spark):
+    rows = lambda *xs: spark.createDataFrame(xs, "std string, points double")
+    stds = spark.createDataFrame([("s",), ("s",), ("t",), (None,)], "std string")
+    got = {(r.std, r.layer): r.score for r in L.layer_scores(stds, {"method_audit": rows(("s", 1.0), ("s", 0.0), ("s", 0.0), ("u", 1.0), (None, 0.5)), "content_alignment": rows(("t", 0.12345))}).collect()}
+    assert got == {("s", "method_audit"): 33.3, ("t", "method_audit"): 100.0, (None, "method_audit"): 100.0, ("s", "content_alignment"): 0.0, ("t", "content_alignment"): 12.3, (None, "content_alignment"): 0.0}

@@ -4,12 +4,17 @@ The second text is prepared once. From 200 characters on, its popular characters
 a hundred) begin no match, as in the measure's definition; the few places of the others are then
 looked up alone. Below, matches are looked up by three and by two characters, so that single ones
 are compared only where nothing longer is left.
+
+Matches follow each other in both texts, so none have more characters than the longest common
+subsequence. ``Bounds`` has its length for a text with many others at once.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
+
 
 class Prepared:
     """A second text with the places of its characters, pairs and triples."""
@@ -131,3 +136,75 @@ def _dense(a: str, prepared: Prepared) -> int:
 def likeness(a: str, prepared: Prepared) -> float:
     size = len(a) + len(prepared.text)
     return 2.0 * matched(a, prepared) / size if size else 1.0
+
+
+class Bounds:
+    """Of prepared texts, upper bounds of their likeness to a text.
+
+    The texts lie one after another in the bits of long integers, a bit that is always 0 after each, where
+    carries end: an addition and a subtraction for each character of the other text give its longest common
+    subsequence with each of them. In a text whose popular characters begin no match, only those places
+    count that a match can hold: a character that isn't popular, the first of both texts, and what can go on
+    from these, to the right or left, by pairs and triples that the other text has.
+    """
+
+    def __init__(self, texts: list[Prepared]):
+        self.sizes = np.array([len(t.text) for t in texts], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes + 1)[:-1])).astype(np.int64)
+        whole = "".join(t.text + "\0" for t in texts)
+        self.bytes = len(whole) // 8 + 1
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.ones(len(whole), bool)
+        inside[self.starts + self.sizes] = False
+        self.full = self._bits(inside)
+        self.masks = {chr(c): self._bits((codes == c) & inside) for c in np.unique(codes)}
+        sparse, rare, first = (np.zeros(len(whole), bool) for _ in range(3))
+        for t, at, n in zip(texts, self.starts, self.sizes):
+            if t.places is not None:
+                sparse[at : at + n], first[at] = True, True
+                rare[[at + j for js in t.places.values() for j in js]] = True
+        self.free, self.rare, self.first = self._bits(inside & ~sparse), self._bits(rare), self._bits(first)
+        self.popular = self._bits(sparse & ~rare)
+        # the number of the pair and of the triple that ends at a place, 0 where none does
+        self.numbers: list[dict[str, int]] = [{}, {}]
+        self.ends = [np.zeros(len(whole), np.int64) for _ in range(2)]
+        for g, number, ends in zip((2, 3), self.numbers, self.ends):
+            for t, at in zip(texts, self.starts.tolist()):
+                if t.places is not None:
+                    for j in range(len(t.text) - g + 1):
+                        ends[at + j + g - 1] = number.setdefault(t.text[j : j + g], len(number) + 1)
+
+    @staticmethod
+    def _bits(flags: np.ndarray) -> int:
+        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+    def _places(self, a: str) -> int:
+        """The places that a match with the text can hold."""
+        if not self.popular or not a:
+            return self.full
+        ends = []
+        for g, number, at in zip((2, 3), self.numbers, self.ends):
+            here = np.zeros(len(number) + 1, bool)
+            here[[k for x in {a[i : i + g] for i in range(len(a) - g + 1)} if (k := number.get(x))]] = True
+            ends.append(self._bits(here[at]))
+        two, three = ends
+        begun = self.rare | self.first & self.masks.get(a[0], 0)
+        out, right, left = begun, (begun << 1) & two & self.popular, (begun >> 1) & (two >> 1) & self.popular
+        while right or left:
+            out |= right | left
+            right, left = (right << 1) & three & self.popular, (left >> 1) & (three >> 2) & self.popular
+        return out | self.free
+
+    def of(self, a: str) -> np.ndarray:
+        """An upper bound of ``likeness(a, t)`` for each text t."""
+        places = self._places(a)
+        masks = {c: m & places for c in set(a) if (m := self.masks.get(c))}
+        full = left = self.full
+        for c in a:
+            if m := masks.get(c):
+                u = left & m
+                left = ((left + u) | (left - u)) & full
+        bits = np.unpackbits(np.frombuffer(left.to_bytes(self.bytes, "little"), np.uint8), bitorder="little")
+        common = self.sizes - np.add.reduceat(bits, self.starts, dtype=np.int64)
+        sizes = self.sizes + len(a)
+        return np.where(sizes > 0, 2.0 * common / np.maximum(sizes, 1), 1.0)

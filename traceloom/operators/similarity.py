@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions import text as T
-from traceloom.functions.likeness import Prepared, likeness
+from traceloom.functions.likeness import Bounds, Prepared, likeness
 
 #: Sizes of the pieces of words that substrings are looked up by.
 GRAMS = (6, 3, 2, 1)
@@ -159,8 +159,8 @@ def best_ratio(node_rows: DataFrame, arts: DataFrame, prefix: int = 500, enough:
     """(std, node_ord, ratio): the best fuzzy likeness of a requirement's text with an artifact's.
 
     Only the prefix counts, as defined for this measure. Equal texts are rated once; in a block
-    each artifact's text is prepared once, and pairs that by their lengths can't raise a
-    requirement's maximum so far are passed over. Maxima are merged by an aggregation.
+    each artifact's text is prepared once. A requirement meets the artifacts by descending upper bounds
+    of their likeness, until none can raise its maximum. Maxima are merged by an aggregation.
 
     ``enough``: for who asks only which requirements stay below it. Those have their best ratio; one
     that reaches it in a block is rated no further there, and has some ratio that reaches it.
@@ -172,24 +172,15 @@ def best_ratio(node_rows: DataFrame, arts: DataFrame, prefix: int = 500, enough:
         names = ["std", "a", "best"]
         if not left.num_rows or not right.num_rows:
             return pa.table({"std": pa.array([], pa.string()), "a": pa.array([], pa.string()), "best": pa.array([], pa.float64())})
-        texts = left["a"].to_pylist()
-        best = [-1.0] * len(texts)
-        wanting = list(enumerate(texts))
-        for y in right["b"].to_pylist():
-            prepared, m, done = None, len(y), False
-            for i, x in wanting:
-                size = len(x) + m
-                if size and 2.0 * min(len(x), m) / size <= best[i]:
-                    continue
-                prepared = prepared or Prepared(y)
-                r = likeness(x, prepared)
-                if r > best[i]:
-                    best[i] = r
-                    done = done or enough is not None and r >= enough
-            if done:
-                wanting = [w for w in wanting if best[w[0]] < enough]
-                if not wanting:
+        texts, best = left["a"].to_pylist(), [-1.0] * left.num_rows
+        prepared = [Prepared(y) for y in right["b"].to_pylist()]
+        bounds = Bounds(prepared)
+        for i, x in enumerate(texts):
+            most = bounds.of(x)
+            for j in np.argsort(-most, kind="stable").tolist():
+                if most[j] <= best[i] or enough is not None and best[i] >= enough:
                     break
+                best[i] = max(best[i], likeness(x, prepared[j]))
         return pa.table([left["std"], left["a"], pa.array(best, pa.float64())], names=names)
 
     found = blocked(n.select("std", "a").distinct(), b, "std", run, "std string, a string, best double").groupBy("std", "a").agg(F.max("best").alias("best"))
@@ -201,17 +192,14 @@ def alike(left: DataFrame, right: DataFrame, least: float, strict: bool = False,
     ``strict``: above it."""
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         texts, keys, found = x["a"].to_pylist(), x[key].to_pylist(), []
-        for b in y["b"].to_pylist():
-            m, prepared = len(b), None
-            for k, a in zip(keys, texts):
-                n = len(a)
-                bound = 2.0 * min(n, m) / (n + m) if n + m else 1.0
-                if bound < least or strict and bound == least:
-                    continue
-                prepared = prepared or Prepared(b)
-                r = likeness(a, prepared)
+        prepared = [Prepared(b) for b in y["b"].to_pylist()]
+        bounds = Bounds(prepared) if prepared else None
+        for k, a in zip(keys, texts) if bounds else ():
+            most = bounds.of(a)
+            for j in np.flatnonzero(most > least if strict else most >= least).tolist():
+                r = likeness(a, prepared[j])
                 if r > least or not strict and r == least:
-                    found.append((k, a, b))
+                    found.append((k, a, prepared[j].text))
         columns = zip(*found) if found else ([], [], [])
         return pa.table([pa.array(c, pa.string()) for c in columns], names=[key, "a", "b"])
 

@@ -241,14 +241,13 @@ class Model:
         return L.united(*parts)
 
     def scores(self) -> DataFrame:
-        t, stds = self.layers(), self.stds()
-        traces = L.trace_score(t["traceability_chain"]) if self.rules else L.trace_default(self.arts)
-        parts = {"node_coverage": L.coverage_score(t["node_coverage"]), "content_alignment": L.mean_score(t["content_alignment"], "sim"), "concept_coverage": L.concept_score(t["concept_coverage"]), "reference_integrity": L.reference_score(t["reference_integrity"]), "method_audit": L.method_score(t["method_audit"]), "traceability_chain": traces}
+        t = self.layers()
+        rows = lambda name, points: t[name].select("std", points.cast("double").alias("points"))
+        traces = rows("traceability_chain", F.col("satisfied")) if self.rules else L.trace_default(self.arts).select("std", (F.col("score") / 100).alias("points"))
+        points = {"node_coverage": L.coverage_points(t["node_coverage"]), "content_alignment": rows("content_alignment", F.col("sim")), "concept_coverage": rows("concept_coverage", F.col("covered")), "reference_integrity": rows("reference_integrity", F.col("src_ok") & F.col("target_ok")), "method_audit": rows("method_audit", F.col("found")), "traceability_chain": traces}
         if self.fuzzy:
-            parts["semantic_matching"] = L.mean_score(t["semantic_matching"], "ratio")
-        # a standard that a layer has nothing to measure in gets that layer's default
-        every = {n: L.scored(stds, p, 100.0 if n == "method_audit" else 0.0) for n, p in parts.items()}
-        return L.united(*[p.select("std", F.lit(n).alias("layer"), "score") for n, p in every.items()])
+            points["semantic_matching"] = rows("semantic_matching", F.col("ratio"))
+        return L.layer_scores(self.stds(), points)
 
     def gaps(self) -> DataFrame:
         return L.gap_groups(self.findings(), L.level_multiplier(self.target, self.scale))
