@@ -24,6 +24,8 @@ from traceloom.functions.likeness import Bounds, Prepared, likeness
 GRAMS = (6, 3, 2, 1)
 #: Rows of one side in a block, on average.
 BLOCK = 256
+#: Texts that a requirement is rated with before bounds, where some ratio is enough.
+TRIES = 16
 #: The same for cosines, and the numbers held at a time in a block of them.
 DOCUMENTS, DENSE = 1024, 2_000_000
 
@@ -174,8 +176,17 @@ def best_ratio(node_rows: DataFrame, arts: DataFrame, prefix: int = 500, enough:
             return pa.table({"std": pa.array([], pa.string()), "a": pa.array([], pa.string()), "best": pa.array([], pa.float64())})
         texts, best = left["a"].to_pylist(), [-1.0] * left.num_rows
         prepared = [Prepared(y) for y in right["b"].to_pylist()]
-        bounds = Bounds(prepared)
+        # short texts have the higher ratios: a few of them mostly are enough, before bounds are looked for
+        first = sorted(range(len(prepared)), key=lambda j: prepared[j].places is not None)[:TRIES] if enough is not None else []
+        bounds = None
         for i, x in enumerate(texts):
+            for j in first:
+                best[i] = max(best[i], likeness(x, prepared[j]))
+                if best[i] >= enough:
+                    break
+            if enough is not None and best[i] >= enough:
+                continue
+            bounds = bounds or Bounds(prepared)
             most = bounds.of(x)
             for j in np.argsort(-most, kind="stable").tolist():
                 if most[j] <= best[i] or enough is not None and best[i] >= enough:
