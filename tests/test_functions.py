@@ -111,6 +111,52 @@ def test_best_ratio_and_containment_against_brute_force(spark):
     assert share[0] == sum(any(w in x for x in arts) for w in words) / len(words) and share[9] == 0
 
 
+def test_best_ratio_of_whole_texts(spark):
+    from traceloom.operators import similarity as S
+
+    rng = __import__("random").Random(17)
+    words = "brake signal limit unit shall İ ß 😀 controller pump test of the".split()
+    text = lambda k: " ".join(rng.choices(words, k=k))
+    same = text(110)
+    assert len(same) > 500
+    # alike only after 500 characters, and alike only before
+    texts = ["x" * 500 + same, same + "y" * 900, "", text(400), text(30), same]
+    arts = ["z" * 500 + same, text(400) + same, same[:500] + "q" * 700, text(20), "", text(3000)]
+    n = spark.createDataFrame([("S", i, t) for i, t in enumerate(texts)] + [("S", 8, texts[0]), ("T", 9, same), (None, 10, same)], "std string, node_ord long, text string")
+    a = spark.createDataFrame([("S", i, t) for i, t in enumerate(arts)] + [(None, 7, same)], "std string, art_ord long, full_text string")
+    low = lambda t: spark.createDataFrame([(t,)], "t string").selectExpr("lower(t)").first()[0]
+    ratios = {i: max(difflib.SequenceMatcher(None, low(t), low(b)).ratio() for b in arts) for i, t in enumerate(texts)}
+    wanted = ratios | {8: ratios[0], 9: 0.0, 10: 0.0}
+    assert {r.node_ord: r.ratio for r in S.best_ratio(n, a).collect()} == wanted
+    some = {r.node_ord: r.ratio for r in S.best_ratio(n, a, enough=0.5).collect()}
+    assert some.keys() == wanted.keys() and all(some[k] == w if w < 0.5 else 0.5 <= some[k] <= w for k, w in wanted.items())
+
+
+def test_ranked_pieces_of_long_texts():
+    from traceloom.functions.likeness import Prepared, Ranked
+
+    rng = __import__("random").Random(19)
+    text = lambda k: "".join(rng.choices("abcdefgh stuvwxyz", k=k))
+    others = [text(rng.choice([0, 3, 60, 250, 700])) for _ in range(30)]
+    for piece in (1, 400, 10**6):
+        ranked = Ranked([Prepared(b) for b in others], piece)
+        assert sorted(p.text for part in ranked.parts for p in part) == sorted(others)
+        assert all(len(part) == 1 or sum(len(p.text) for p in part) <= piece for part in ranked.parts)
+        for a in ("", text(2), text(90), others[4] + text(300), text(1500)):
+            best = max(difflib.SequenceMatcher(None, a, b).ratio() for b in others)
+            assert ranked.best(a, -1.0, 2.0) == best and ranked.best(a, 1.5, 2.0) == 1.5
+            some = ranked.best(a, -1.0, 0.3)
+            assert some == best if best < 0.3 else 0.3 <= some <= best
+
+
+def test_long_texts_make_more_blocks(spark):
+    from traceloom.operators import similarity as S
+
+    rows = lambda k, n: spark.createDataFrame([("s", f"{i} " + "x" * n) for i in range(k)], f"std string, {'a' if n else 'b'} string")
+    sizes = S.blocked(rows(8, S.LETTERS), rows(3, 0), "std", lambda x, y: __import__("pyarrow").table({"rows": [x.num_rows], "pairs": [x.num_rows * y.num_rows]}), "rows long, pairs long").collect()
+    assert sum(r.pairs for r in sizes) == 24 and max(r.rows for r in sizes) < 8
+
+
 def test_bounds_of_likeness():
     from difflib import SequenceMatcher
 

@@ -6,7 +6,8 @@ looked up alone. Below, matches are looked up by three and by two characters, so
 are compared only where nothing longer is left.
 
 Matches follow each other in both texts, so none have more characters than the longest common
-subsequence. ``Bounds`` has its length for a text with many others at once.
+subsequence. ``Bounds`` has its length for a text with many others at once, ``Ranked`` the best
+likeness by them, for texts of any length.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from bisect import bisect_left
 
 import numpy as np
 
+#: Characters of the texts whose bounds are held together.
+PIECE = 2**17
+
 
 class Prepared:
     """A second text with the places of its characters, pairs and triples."""
@@ -208,3 +212,42 @@ class Bounds:
         common = self.sizes - np.add.reduceat(bits, self.starts, dtype=np.int64)
         sizes = self.sizes + len(a)
         return np.where(sizes > 0, 2.0 * common / np.maximum(sizes, 1), 1.0)
+
+
+class Ranked:
+    """Prepared texts by length, in pieces of bounded size: a piece none of whose lengths can be alike
+    enough isn't looked at, and bounds are made of a piece when it is first asked. A text that is larger
+    than a piece has only the bound by its length."""
+
+    def __init__(self, texts: list[Prepared], piece: int = PIECE):
+        self.piece, self.parts, held = piece, [], 0
+        for t in sorted(texts, key=lambda t: len(t.text)):
+            held += len(t.text)
+            if not self.parts or held > piece:
+                self.parts.append([])
+                held = len(t.text)
+            self.parts[-1].append(t)
+        self.bounds: list[Bounds | None] = [None] * len(self.parts)
+
+    def _most(self, k: int, n: int) -> float:
+        """An upper bound of the likeness of a text of n characters to those of a piece."""
+        m = min(max(n, len(self.parts[k][0].text)), len(self.parts[k][-1].text))
+        return 2.0 * min(n, m) / (n + m) if n + m else 1.0
+
+    def best(self, a: str, best: float, enough: float) -> float:
+        """The best likeness of a text, or ``best`` if that is higher; rated no further from ``enough`` on."""
+        by_length = [self._most(k, len(a)) for k in range(len(self.parts))]
+        for k in sorted(range(len(self.parts)), key=lambda k: -by_length[k]):
+            if by_length[k] <= best or best >= enough:
+                break
+            part = self.parts[k]
+            if len(part[-1].text) > self.piece:
+                best = max(best, likeness(a, part[0]))
+                continue
+            bounds = self.bounds[k] = self.bounds[k] or Bounds(part)
+            most = bounds.of(a)
+            for j in np.argsort(-most, kind="stable").tolist():
+                if most[j] <= best or best >= enough:
+                    break
+                best = max(best, likeness(a, part[j]))
+        return best

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions import text as T
-from traceloom.functions.likeness import Bounds, Prepared, likeness
+from traceloom.functions.likeness import Bounds, Prepared, Ranked, likeness
 
 #: Sizes of the pieces of words that substrings are looked up by.
 GRAMS = (6, 3, 2, 1)
-#: Rows of one side in a block, on average.
-BLOCK = 256
+#: Rows of one side in a block, and characters of their texts, on average.
+BLOCK, LETTERS = 256, 2**19
 #: Texts that a requirement is rated with before bounds, where some ratio is enough.
 TRIES = 16
 #: The same for cosines, and the numbers held at a time in a block of them.
@@ -139,9 +140,11 @@ def alignment(node_rows: DataFrame, arts: DataFrame) -> DataFrame:
 
 def blocked(left: DataFrame, right: DataFrame, key: str, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK) -> DataFrame:
     """``run`` over all pairs of blocks of two tables of the same ``key``, as a cogroup. A key of n and
-    m rows gives about n/block x m/block groups, so a key that holds a third of all rows is spread."""
+    m rows gives about n/block x m/block groups, so a key that holds a third of all rows is spread.
+    Long texts make more blocks, so that none holds more than ``LETTERS`` characters on average."""
     def bins(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+        letters = F.sum(F.length(F.concat_ws("", *[c for c in df.columns if c != key])))
+        return df.groupBy(key).agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, letters / LETTERS)).cast("int").alias(name))
 
     counts = bins(left, "__nl").join(bins(right, "__nr"), key)
 
@@ -157,45 +160,41 @@ def blocked(left: DataFrame, right: DataFrame, key: str, run: Callable[[pa.Table
     return x.cogroup(y).applyInArrow(run, schema)
 
 
-def best_ratio(node_rows: DataFrame, arts: DataFrame, prefix: int = 500, enough: float | None = None) -> DataFrame:
+def best_ratio(node_rows: DataFrame, arts: DataFrame, enough: float | None = None) -> DataFrame:
     """(std, node_ord, ratio): the best fuzzy likeness of a requirement's text with an artifact's.
 
-    Only the prefix counts, as defined for this measure. Equal texts are rated once; in a block
-    each artifact's text is prepared once. A requirement meets the artifacts by descending upper bounds
-    of their likeness, until none can raise its maximum. Maxima are merged by an aggregation.
+    Both texts count whole. Equal texts are rated once; in a block each artifact's text is prepared
+    once. A requirement meets the artifacts by descending upper bounds of their likeness, until none can
+    raise its maximum. Maxima are merged by an aggregation; texts don't return from the blocks, but
+    their digests.
 
     ``enough``: for who asks only which requirements stay below it. Those have their best ratio; one
     that reaches it in a block is rated no further there, and has some ratio that reaches it.
     """
-    n = node_rows.select("std", F.lower(F.substring(F.coalesce("text", F.lit("")), 1, prefix)).alias("a"), "node_ord")
-    b = arts.select("std", F.lower(F.substring("full_text", 1, prefix)).alias("b")).distinct()
+    text = F.lower(F.coalesce("text", F.lit("")))
+    n = node_rows.select("std", text.alias("a"))
+    b = arts.select("std", F.lower("full_text").alias("b")).distinct()
+    limit = math.inf if enough is None else enough
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["std", "a", "best"]
+        names = ["std", "digest", "best"]
         if not left.num_rows or not right.num_rows:
-            return pa.table({"std": pa.array([], pa.string()), "a": pa.array([], pa.string()), "best": pa.array([], pa.float64())})
+            return pa.table({"std": pa.array([], pa.string()), "digest": pa.array([], pa.string()), "best": pa.array([], pa.float64())})
         texts, best = left["a"].to_pylist(), [-1.0] * left.num_rows
         prepared = [Prepared(y) for y in right["b"].to_pylist()]
         # short texts have the higher ratios: a few of them mostly are enough, before bounds are looked for
-        first = sorted(range(len(prepared)), key=lambda j: prepared[j].places is not None)[:TRIES] if enough is not None else []
-        bounds = None
+        first = sorted(prepared, key=lambda p: p.places is not None)[:TRIES] if enough is not None else []
+        ranked = Ranked(prepared)
         for i, x in enumerate(texts):
-            for j in first:
-                best[i] = max(best[i], likeness(x, prepared[j]))
-                if best[i] >= enough:
+            for p in first:
+                best[i] = max(best[i], likeness(x, p))
+                if best[i] >= limit:
                     break
-            if enough is not None and best[i] >= enough:
-                continue
-            bounds = bounds or Bounds(prepared)
-            most = bounds.of(x)
-            for j in np.argsort(-most, kind="stable").tolist():
-                if most[j] <= best[i] or enough is not None and best[i] >= enough:
-                    break
-                best[i] = max(best[i], likeness(x, prepared[j]))
-        return pa.table([left["std"], left["a"], pa.array(best, pa.float64())], names=names)
+            best[i] = ranked.best(x, best[i], limit)
+        return pa.table([left["std"], pa.array([sha256(x.encode()).hexdigest() for x in texts]), pa.array(best, pa.float64())], names=names)
 
-    found = blocked(n.select("std", "a").distinct(), b, "std", run, "std string, a string, best double").groupBy("std", "a").agg(F.max("best").alias("best"))
-    return n.join(found, ["std", "a"], "left").select("std", "node_ord", F.coalesce("best", F.lit(0.0)).alias("ratio"))
+    found = blocked(n.distinct(), b, "std", run, "std string, digest string, best double").groupBy("std", "digest").agg(F.max("best").alias("best"))
+    return node_rows.select("std", "node_ord", F.sha2(text.cast("binary"), 256).alias("digest")).join(found, ["std", "digest"], "left").select("std", "node_ord", F.coalesce("best", F.lit(0.0)).alias("ratio"))
 
 
 def alike(left: DataFrame, right: DataFrame, least: float, strict: bool = False, key: str = "std") -> DataFrame:
